@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import chat_format, line_dedup, sharding, url_filters
 
-MODULES = [sharding, line_dedup]
+MODULES = [sharding, line_dedup, url_filters, chat_format]
 
 
 def queries() -> dict:
