@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, mixing, packing, quality_rules, sharding, url_filters
+from . import chat_format, line_dedup, mixing, packing, pii, quality_rules, sharding, tiff, url_filters
 
-MODULES = [sharding, quality_rules, mixing, line_dedup, packing, url_filters, chat_format]
+MODULES = [pii, sharding, quality_rules, mixing, line_dedup, packing, tiff, url_filters, chat_format]
 
 
 def queries() -> dict:
