@@ -103,7 +103,7 @@ def lost_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_d
     for b in range(n_batches):
         runs.add(counted(entries.where(F.col("batch") == b)))
     common = runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "last")
-    lost = entries.join(common, KEY).where(F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("last"))))
+    lost = entries.join(common.hint("merge"), KEY).where(F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("last"))))
     lost = written(lost.groupBy("d_id", "d_null").agg(F.collect_set("h1").alias("lost")), "lost")
     dropped(entries, *runs.all())
     release(docs.sparkSession)
@@ -124,7 +124,7 @@ def line_dedup(
     lost = lost_keys(docs, id_col, text_col, min_chars, min_docs, n_batches, fanin)
     keys = doc_key(id_col, text_col)
     side = docs.withColumns({"__d_id": keys[0], "__d_null": keys[1]})
-    met = side.join(lost.toDF("__d_id", "__d_null", "__lost"), ["__d_id", "__d_null"], "left")
+    met = side.join(lost.toDF("__d_id", "__d_null", "__lost").hint("merge"), ["__d_id", "__d_null"], "left")
     lines = lines_of(F.col(text_col))
     # ASCII case and white space at the ends don't move newlines, so lines and keys match by place
     kept = F.filter(lines, lambda s: ~F.array_contains(F.col("__lost"), line_hash(_line_key(s))))
