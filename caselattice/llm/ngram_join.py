@@ -24,7 +24,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,32 +42,55 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def gram_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """Each text's distinct n-grams of lower-cased words, as sorted 64-bit hashes. A shorter text is one n-gram; one without words has none."""
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each (non-empty) word: a multilinear form of its bytes, mixed with its length."""
+    if not len(words):
+        return np.zeros(0, U)
+    words = pa.concat_arrays([words]).cast(pa.binary())
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(start, size)
+    of_byte, of_place = mixed_bits(np.arange(256, dtype=U) + GOLD), mixed_bits(np.arange(size.max(), dtype=U) ^ GOLD)
+    return mixed_bits(np.add.reduceat(of_byte[data] * of_place[place], start) + size.astype(U))
+
+
+def gram_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of lower-cased words of all texts, text by text, each sorted, as 64-bit hashes; and each text's number of them.
+    A text of fewer words is one n-gram; one without words has none."""
     words, doc = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
-    enc = words.dictionary_encode()
-    of_word = np.array([xxhash.xxh64_intdigest(w) for w in enc.dictionary.cast(pa.binary()).to_pylist()], U)
-    h = of_word[enc.indices.to_numpy()] if len(words) else np.zeros(0, U)
+    h, doc = word_hashes(words), doc.astype(np.int64)
     count = np.bincount(doc, minlength=len(texts))
-    end = np.cumsum(count)
     gram = mixed_bits(h + U(width))
     for k in range(1, width):
         gram = mixed_bits(gram[:-1] * U(3) + h[k:]) if len(gram) > 1 else gram[:0]
-    for n, stop in zip(count.tolist(), end.tolist()):
-        if n >= width:
-            yield np.unique(gram[stop - n:stop - width + 1])
-        elif n:
-            g = mixed_bits(h[stop - n:stop - n + 1] + U(n))
-            for k in range(1, n):
-                g = mixed_bits(g * U(3) + h[stop - n + k:stop - n + k + 1])
-            yield mixed_bits(g + GOLD)
-        else:
-            yield np.zeros(0, U)
-
-
-def set_id(grams: np.ndarray) -> int:
-    """A set's 64-bit identity (signed): equal sets, equal identity."""
-    return int(mixed_bits(mixed_bits(grams ^ GOLD).sum(keepdims=True) + U(len(grams))).view(np.int64)[0])
+    whole = doc[:len(gram)] == doc[width - 1:width - 1 + len(gram)]
+    gram, own = gram[whole], doc[:len(whole)][whole]
+    start = np.cumsum(count) - count
+    for c in range(1, width):
+        short = np.flatnonzero(count == c)
+        if len(short):
+            g = mixed_bits(h[start[short]] + U(c))
+            for k in range(1, c):
+                g = mixed_bits(g * U(3) + h[start[short] + k])
+            at = np.searchsorted(own, short)
+            gram, own = np.insert(gram, at, mixed_bits(g + GOLD)), np.insert(own, at, short)
+    n = np.bincount(own, minlength=len(texts))
+    stop = np.cumsum(n).tolist()
+    for a, b in zip([0, *stop], stop):
+        gram[a:b].sort()
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
+    return gram[new], np.bincount(own[new], minlength=len(texts))
+
+
+def set_ids(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each set's 64-bit identity (signed): equal sets, equal identity. Empty sets: 0."""
+    out, some = np.zeros(len(n), U), n > 0
+    if some.any():
+        sums = np.add.reduceat(mixed_bits(grams ^ GOLD), (np.cumsum(n) - n)[some])
+        out[some] = mixed_bits(mixed_bits(sums) + n[some].astype(U))
+    return out.view(np.int64)
 
 
 def salt(k: int) -> np.uint64:
@@ -76,31 +98,43 @@ def salt(k: int) -> np.uint64:
 
 
 @lru_cache
-def size_classes(percent: int) -> tuple[list[int], list[int]]:
-    """Upper ends of the classes of set sizes, and the fragments of each."""
+def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each class of set sizes: its upper end, fragments, allowed empty segments, and two salts."""
     ends, step = [1], max(STEP, 100 / percent)
     while ends[-1] < 1 << 32:
         ends.append(max(ends[-1] + 1, int(ends[-1] * step)))
-    return ends, [2 * e * (100 - percent) // (100 + percent) + 1 + SLACK for e in ends]
-
-
-def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set's segments, in its own class and in those larger ones that hold possible partners."""
-    ends, fragments = size_classes(percent)
-    n, out = len(grams), []
-    k = int(np.searchsorted(ends, n))
-    while k == 0 or 100 * n >= percent * (ends[k - 1] + 1) or n > ends[k - 1]:
-        cut = (grams >> U(32)) * U(fragments[k]) >> U(32)
-        first = np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1])))
-        segment = np.add.reduceat(mixed_bits(grams ^ U(0x5DEECE66D)), first)
-        out.append(mixed_bits(mixed_bits(segment + salt(k + 1)) + cut[first]))
-        if fragments[k] - len(first) > SLACK:
-            prefix = n - -(-percent * n // 100) + 1
-            out.append(mixed_bits(mixed_bits(grams[:prefix]) + salt(~k)))
-        if ends[k] >= 1 << 32:
-            break
-        k += 1
-    return np.concatenate(out)
+    differ = [2 * e * (100 - percent) // (100 + percent) for e in ends]
+    slack = [SLACK + d // 24 for d in differ]
+    fragments = [d + 1 + s for d, s in zip(differ, slack)]
+    salts = [[salt(k + 1) for k in range(len(ends))], [salt(~k) for k in range(len(ends))]]
+    return np.array(ends), np.array(fragments), np.array(slack), np.array(salts[0], U), np.array(salts[1], U)
+
+
+def signatures(grams: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets' segments and the number of the set that each is from: in the set's own class of sizes, and in those
+    larger ones that hold possible partners."""
+    ends, fragments, slack, salts, prefix_salts = size_classes(percent)
+    doc, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    k, sigs, owners = np.searchsorted(ends, n), [], []
+    here = n > 0
+    while True:
+        mine = here[doc]
+        g, d = grams[mine], doc[mine]
+        if not len(g):
+            return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
+        cut = (g >> U(32)) * fragments[k[d]].astype(U) >> U(32)
+        first = np.flatnonzero(np.concatenate(([True], (cut[1:] != cut[:-1]) | (d[1:] != d[:-1]))))
+        segment, owner = np.add.reduceat(mixed_bits(g ^ U(0x5DEECE66D)), first), d[first]
+        sigs.append(mixed_bits(mixed_bits(segment + salts[k[owner]]) + cut[first]))
+        owners.append(owner)
+        empty = fragments[k] - np.bincount(owner, minlength=len(n))
+        sparse = here & (empty > slack[k])
+        rank = np.arange(len(grams)) - start[doc]
+        early = sparse[doc] & (rank <= n[doc] - -(-percent * n[doc] // 100))
+        sigs.append(mixed_bits(mixed_bits(grams[early]) + prefix_salts[k[doc[early]]]))
+        owners.append(doc[early])
+        here = here & (100 * n >= percent * (ends[k] + 1)) & (k + 1 < len(ends))
+        k = np.minimum(k + 1, len(ends) - 1)
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
@@ -111,7 +145,7 @@ def parity_sketch(grams: np.ndarray) -> bytes:
 
 
 def _per_text(docs: DataFrame, text_col: str, schema: str, make) -> DataFrame:
-    """make(keys of the batch, its sets as an iterator, state) yields record batches."""
+    """make(batch, state) yields record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
@@ -122,47 +156,49 @@ def _per_text(docs: DataFrame, text_col: str, schema: str, make) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def doc_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n, set_id) of each document; set_id is null where there are no words."""
-
-    def make(b, state):
-        n, ids = [], []
-        for g in gram_sets(b[text_col], width):
-            n.append(len(g))
-            ids.append(set_id(g) if len(g) else None)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n", "set_id"])
-
-    return _per_text(docs, text_col, "doc_id long, n long, set_id long", make)
+ROWS = "sig long, set_id long, doc_id long, n long"
 
 
 def signature_rows(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(sig, set_id). A task skips copies of sets that it has seen lately."""
+    """(sig, set_id, doc_id, n): a row for each document, with n (set_id null where there are no words), and one for each signature of its
+    set, without doc_id and n. A task skips signatures of sets that it has seen lately."""
 
     def make(b, state):
-        seen, sigs, ids = state.setdefault("seen", set()), [], []
+        seen = state.setdefault("seen", set())
         if len(seen) > 1_000_000:
             seen.clear()
-        for g in gram_sets(b[text_col], width):
-            if len(g) and (i := set_id(g)) not in seen:
-                seen.add(i)
-                s = signatures(g, percent).view(np.int64)
-                sigs.append(s)
-                ids.append(np.full(len(s), i, np.int64))
-        if sigs:
-            sig, own = np.concatenate(sigs), np.concatenate(ids)
-            for k in range(0, len(sig), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[k:k + 100_000]), pa.array(own[k:k + 100_000])], names=["sig", "set_id"])
-
-    return _per_text(docs, text_col, "sig long, set_id long", make)
+        grams, n = gram_sets(b[text_col], width)
+        ids = set_ids(grams, n)
+        own = pa.array(ids, mask=n == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(mixed_bits(ids.view(U)).view(np.int64)), own, b["doc_id"], pa.array(n, pa.int64())], names=["sig", "set_id", "doc_id", "n"])
+        new = np.zeros(len(n), bool)
+        new[np.unique(ids, return_index=True)[1]] = True
+        new &= np.array([i not in seen for i in ids.tolist()], bool) & (n > 0)
+        seen.update(ids[new].tolist())
+        sig, owner = signatures(grams[np.repeat(new, n)], n[new], percent)
+        owner = ids[new][owner] if len(owner) else owner
+        for k in range(0, len(sig), 100_000):
+            part = pa.array(sig[k:k + 100_000].view(np.int64)), pa.array(owner[k:k + 100_000])
+            none = pa.nulls(len(part[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*part, none, none], names=["sig", "set_id", "doc_id", "n"])
+
+    return _per_text(docs, text_col, ROWS, make)
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(sig, set_id, leader) for signatures of two or more sets; leader is the smallest. One pass over sorted rows; a group of any size needs constant memory."""
+    """The documents' rows as they are, and (sig, set_id, leader) for signatures of two or more sets; leader is the smallest.
+    One pass over sorted rows; a group of any size needs constant memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig = last_id = leader = None
         pending = False  # the open group's first row waits for a second one
+        names = ["sig", "set_id", "leader", "doc_id", "n"]
         for b in batches:
+            is_doc = pc.is_valid(b["n"])
+            docs = b.filter(is_doc)
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([docs["sig"], docs["set_id"], pa.nulls(docs.num_rows, pa.int64()), docs["doc_id"], docs["n"]], names=names)
+            b = b.filter(pc.invert(is_doc))
             if not b.num_rows:
                 continue
             sig, own = b["sig"].to_numpy(), b["set_id"].to_numpy()
@@ -187,40 +223,42 @@ def shared(rows: DataFrame) -> DataFrame:
             last_sig, last_id, leader = sig[-1], own[-1], lead[-1]
             pending = not keep[-1]
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["sig", "set_id", "leader"])
+                none = pa.nulls(len(out[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[pa.array(o, pa.int64()) for o in out], none, none], names=names)
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(run, "sig long, set_id long, leader long")
+    by_sig = rows.repartition("sig").sortWithinPartitions("sig", "set_id")
+    return by_sig.mapInArrow(run, "sig long, set_id long, leader long, doc_id long, n long")
 
 
 def gram_table(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     """(set_id, n, sketch, parts): each set's elements by coarse fragment."""
+    inner_cuts = np.arange(1, PARTS, dtype=U) * U((1 << 64) // PARTS)
 
     def make(b, state):
-        ids, n, sketches, values, ends, outer = [], [], [], [], [0], [0]
-        for g in gram_sets(b[text_col], width):
-            if len(g):
-                ids.append(set_id(g))
-                n.append(len(g))
-                sketches.append(parity_sketch(g))
-                cuts = np.searchsorted(g, np.arange(1, PARTS, dtype=U) * U((1 << 64) // PARTS))
-                values.append(g.view(np.int64))
-                ends += [ends[-1] + c for c in [*cuts.tolist(), len(g)]]
-                outer.append(outer[-1] + PARTS)
-        inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-        parts = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), parts], names=["set_id", "n", "sketch", "parts"])
+        grams, n = gram_sets(b[text_col], width)
+        some = n > 0
+        stops = np.cumsum(n)[some].tolist()
+        sketches, ends = [], [0]
+        for a, z in zip([0, *stops], stops):
+            g = grams[a:z]
+            sketches.append(parity_sketch(g))
+            ends += [a + c for c in [*np.searchsorted(g, inner_cuts).tolist(), z - a]]
+        inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams.view(np.int64)))
+        parts = pa.ListArray.from_arrays(pa.array(np.arange(len(stops) + 1) * PARTS, pa.int32()), inner)
+        ids = set_ids(grams, n)[some]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[some], pa.int64()), pa.array(sketches, pa.binary()), parts], names=["set_id", "n", "sketch", "parts"])
 
     return _per_text(docs, text_col, "set_id long, n long, sketch binary, parts array<array<long>>", make)
 
 
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps counted in each fragment, then summed per pair."""
-    parts = grams.select("set_id", "n", F.posexplode("parts").alias("part", "seg")).where(F.size("seg") > 0)
-    side = lambda x: parts.toDF(x, f"n_{x}", "part", f"seg_{x}")
-    met = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), ["b", "part"])
-    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o"))
-    return total.where(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
+    """The pairs (a, b) that link: overlaps counted in each fragment by itself, then summed per pair."""
+    side = lambda x: grams.select("set_id", "n", "parts").toDF(x, f"n_{x}", f"parts_{x}").hint("merge")
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    partial = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    total = met.select("a", "b", "n_a", "n_b", F.aggregate(partial, F.lit(0), lambda x, y: x + y).alias("o"))
+    linked = total.where(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o")))
+    return linked.select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -354,26 +392,25 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", width: int = 4,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = docs.where("doc_id is not null")
-    sets = written(doc_sets(docs, "text", width), "sets")
-    reps = sets.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    rows = written(shared(signature_rows(named, "text", width, percent)), "shared")
+    all_rows = written(shared(signature_rows(docs, "text", width, percent)), "shared")
     release(spark)
-    wanted = rows.select("set_id").distinct().join(reps.hint("merge"), "set_id")
-    texts = named.join(wanted.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    grams = written(gram_table(texts, "text", width).dropDuplicates(["set_id"]), "grams")
+    sets = all_rows.where("n is not null").select("doc_id", "n", "set_id")
+    rows = all_rows.where("n is null").select("sig", "set_id", "leader")
+    reps = sets.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    wanted = rows.select("set_id").distinct().join(reps.hint("merge"), "set_id").select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.where("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left_semi")
+    grams = written(gram_table(texts, "text", width), "grams")
     release(spark)
     first = rows.where("leader <> set_id").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
     links = written(verified(first, grams, percent), "linked")
-    roots = components(links)
+    release(spark)
+    roots, open_rows = components(links), rows
     for best in (True, False):
-        pairs = between_components(in_components(rows, roots), grams, percent, best)
-        more = written(verified(pairs, grams, percent), "linked")
-        old, links = links, more
+        open_rows = written(in_components(open_rows, roots), "open")
+        more = written(verified(between_components(open_rows, grams, percent, best), grams, percent), "linked")
         roots = components(roots.toDF("a", "b").unionByName(more))
-        dropped(old)
         release(spark)
-    dropped(rows, grams, links)
+    dropped(grams)
     of_set = reps.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     lowest = of_set.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = of_set.join(lowest.hint("merge"), "root").select("set_id", "component_id")
