@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from . import queries as _q
+
 
 def queries() -> dict:
-    return {}
+    return dict(_q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_q.ORACLE)
 
 
 def flagship(spark, sf_dir):
-    return queries()["case_justification"](spark, sf_dir)
+    return _q.QUERIES["case_justification"](spark, sf_dir)
