@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import numbered
 from ..functions.scalars import verdict
 from .clustering import denoised, kmeans
 from .similarity import agreement, silhouette
@@ -16,9 +17,9 @@ ROUNDS, FRACTION = 12, 0.8
 
 def subsample(vectors: DataFrame, round_no: int, fraction: float = FRACTION) -> DataFrame:
     """The share of ids that comes first in the round's pseudo-random order."""
-    n = vectors.count()
     order = F.md5(F.concat(F.lit(f"{round_no}:"), F.col("id").cast("string")))
-    return vectors.withColumn("__o", order).orderBy("__o").limit(int(n * fraction)).drop("__o")
+    ranked = numbered(vectors.withColumn("__o", order).orderBy("__o"), "__n")
+    return ranked.where(F.col("__n") <= int(vectors.count() * fraction)).drop("__o", "__n")
 
 
 def column_shuffled(vectors: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.rows import numbered
 from ..functions.vectors import norm, unit
 from ..operators import clustering, geometry, resampling, similarity, taxonomy, text_naming
 from ..sources import store, tabular
@@ -161,7 +162,6 @@ def silhouette_exact(spark, d):
 def covariance_matrix(spark, d):
     """The basis of denoising, summed per pair of dimensions inside each task."""
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import DenseMatrix  # noqa: F401
     from pyspark.ml.stat import Summarizer
 
     v = vectors(spark, d)
@@ -291,7 +291,7 @@ def coerce_date(spark, d):
 @query("select doc_id, printf('ROW-%04d', row_number() over (order by doc_id)) as case_id from documents")
 def row_ids(spark, d):
     docs = table(spark, d, "documents").select("doc_id").orderBy("doc_id")
-    return tabular.numbered(docs, "n").select("doc_id", F.format_string("ROW-%04d", "n").alias("case_id"))
+    return numbered(docs, "n").select("doc_id", F.format_string("ROW-%04d", "n").alias("case_id"))
 
 
 @query("select sep, count(*) as n from (values (','), (';'), (chr(9))) t(sep), documents group by sep")

@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import numbered
 from ..functions.scalars import date, na_to_null, severity
 
 DELIMITED, SHEETS = {".csv", ".tsv", ".txt"}, {".xlsx", ".xlsm"}
@@ -40,18 +41,6 @@ SYNONYMS: dict[str, list[str]] = {
 }
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with row numbers from 1 in its own order, without a shuffle: each partition's rows follow those of the partitions before it."""
-    at = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = {r["__p"]: r["count"] for r in at.groupBy("__p").count().collect()}
-    starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    start = F.get(F.lit(starts).cast("array<long>") if starts else F.array().cast("array<long>"), F.col("__p"))
-    return at.withColumn(name, start + F.col("__i") + 1).drop("__p", "__i")
-
-
 def squashed(name: object) -> str:
     return "".join(c for c in str(name).lower() if c.isascii() and c.isalnum())
 
