@@ -295,15 +295,38 @@ def in_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _fold(sketches: list[bytes], words: int) -> np.ndarray:
-    out = np.empty((len(sketches), words), U)
-    for i, s in enumerate(sketches):
-        v = np.frombuffer(s, U)
-        while len(v) > words:
-            v = v[: len(v) // 2] ^ v[len(v) // 2:]
-        out[i] = v
+    """Sketches of one size or several as rows of ``words`` words: halves of a sketch XORed are the sketch of half the size."""
+    sizes, out = np.array([len(s) for s in sketches]), np.empty((len(sketches), words), U)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        v = np.frombuffer(b"".join([sketches[i] for i in at]), U).reshape(len(at), -1)
+        while v.shape[1] > words:
+            v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2:]
+        out[at] = v
     return out
 
 
+def possible(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sizes and sketches allow to link: far fewer bytes than their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b["s_a"].to_pylist(), b["s_b"].to_pylist()
+            n, m = b["n_a"].to_numpy(), b["n_b"].to_numpy()
+            least = np.array([min(len(p), len(q)) for p, q in zip(x, y)], np.int64)
+            far = np.zeros(len(x), np.int64)
+            for size in np.unique(least):
+                at = np.flatnonzero(least == size)
+                one, two = (_fold([v[i] for i in at], int(size) // 8) for v in (x, y))
+                far[at] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            ok = (far <= (n + m) * (100 - percent) // (100 + percent)) & (100 * n >= percent * m) & (100 * m >= percent * n)
+            yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(ok)), b["b"].filter(pa.array(ok))], names=["a", "b"])
+
+    side = lambda x: grams.select("set_id", "n", "sketch").toDF(x, f"n_{x}", f"s_{x}").hint("merge")
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+
+
 def close_pairs(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], block: np.ndarray, percent: int, best: bool) -> np.ndarray:
     """Places (i, j) of members of different components that may link. block: members of equal block meet only if there is one block
     (other tiles have them). best: for each member outside the largest component only its best partner."""
@@ -402,7 +425,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", width: int = 4,
     grams = written(gram_table(texts, "text", width), "grams")
     release(spark)
     first = rows.where("leader <> set_id").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = written(verified(first, grams, percent), "linked")
+    links = written(verified(possible(first, grams, percent), grams, percent), "linked")
     release(spark)
     roots, open_rows = components(links), rows
     for best in (True, False):
