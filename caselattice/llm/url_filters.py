@@ -35,23 +35,25 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def _branches(level: DataFrame, min_share: float, min_count: int, z: float) -> DataFrame:
+def _branches(level: DataFrame, min_share: float, min_count: int, z: float, min_labelled: int = 10) -> DataFrame:
     """For each node, its literal branches: an array of (seg, branch). At most 1 / min_share of them.
 
-    level: (host, template, seg, n, labelled, bad), one row for each child of a node.
+    level: (host, template, seg, n, labelled, bad), one row for each child of a node. Siblings with fewer than
+    min_labelled labelled pages are like none: each is a branch of its own.
     """
-    node = Window.partitionBy("host", "template")
+    known = F.col("labelled") >= min_labelled
+    node = Window.partitionBy("host", "template", "known")
     total = level.groupBy("host", "template").agg(F.sum("n").alias("total"))
     common = level.join(total, ["host", "template"]).where((F.col("n") >= min_count) & (F.col("n") >= min_share * F.col("total")))
     # siblings in order of their share of bad pages; a significant step opens a new branch
-    common = common.withColumn("p", (F.col("bad") + 0.5) / (F.col("labelled") + 1))
+    common = common.withColumns({"p": (F.col("bad") + 0.5) / (F.col("labelled") + 1), "known": known})
     in_order = node.orderBy("p", "labelled", "seg")
     before = lambda c: F.lag(c).over(in_order)
     pooled = (F.col("bad") + before("bad") + 1) / (F.col("labelled") + before("labelled") + 2)
     spread = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("labelled") + 1) + 1 / (before("labelled") + 1)))
-    opens = F.coalesce((F.col("p") - before("p") > z * spread).cast("int"), F.lit(0))
+    opens = F.when(~F.col("known"), 1).otherwise(F.coalesce((F.col("p") - before("p") > z * spread).cast("int"), F.lit(0)))
     grouped = common.withColumn("opens", opens).withColumn("g", F.sum("opens").over(in_order))
-    branch = F.array_join(F.array_sort(F.collect_set("seg").over(Window.partitionBy("host", "template", "g"))), "|")
+    branch = F.array_join(F.array_sort(F.collect_set("seg").over(Window.partitionBy("host", "template", "known", "g"))), "|")
     return (
         grouped.withColumn("branch", branch).groupBy("host", "template")
         .agg(F.collect_list(F.struct("seg", "branch")).alias("branches"))
