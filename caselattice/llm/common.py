@@ -79,5 +79,10 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
+def content_hash(df: DataFrame, seed: int) -> Column:
+    """A seeded 64-bit hash of a row's values (maps left out): the same wherever the row lies in the input."""
+    return F.xxhash64(F.lit(seed), *[df[c] for c, t in df.dtypes if "map<" not in t])
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, n_words, unit_hash, written
+from .common import content_hash, documents, n_words, unit_hash, written
 
 WEIGHTS = (5, 2, 1)
 LEAF, FANIN = 20_000, 4_096
@@ -78,10 +78,10 @@ def _round_group(keys: list[str]):
 
 
 def rounded(rows: DataFrame, seed: int) -> DataFrame:
-    """rows (source, leaf, rid, w long over 0, p double) with ``take`` 0 or 1: the tree of pivotal steps, of as many levels as it takes."""
-    dice = lambda k: {"u": unit_hash(seed + k, F.col("source"), F.col("leaf"), F.col("rid")), "u2": unit_hash(seed + 7919 + k, F.col("source"), F.col("leaf"), F.col("rid"))}
-    schema = "source string, leaf long, rid long, w long, p double, node long, open boolean"
-    cols = ["source", "leaf", "rid", "w", "p", "node"]
+    """rows (source, leaf, rid, dice, w long over 0, p double) with ``take`` 0 or 1: the tree of pivotal steps, of as many levels as it takes."""
+    dice = lambda k: {"u": unit_hash(seed + k, F.col("source"), F.col("dice")), "u2": unit_hash(seed + 7919 + k, F.col("source"), F.col("dice"))}
+    schema = "source string, leaf long, rid long, dice long, w long, p double, node long, open boolean"
+    cols = ["source", "leaf", "rid", "dice", "w", "p", "node"]
     step = lambda df, k: df.withColumns(dice(k)).groupBy("source", "node").applyInPandas(
         lambda pdf: _round_group(["rid", "leaf"])(pdf)[[*cols, "open"]], schema)
     level, out, k = written(step(rows.withColumn("node", F.col("leaf")), 0), "leaves"), [], 0
@@ -89,7 +89,7 @@ def rounded(rows: DataFrame, seed: int) -> DataFrame:
         out.append(level.where(~F.col("open")).select("rid", F.col("p").cast("int").alias("take")))
         left = level.where("open").select(*cols)
         if not left.groupBy("source").count().where("count > 1").limit(1).count():
-            last = left.select("rid", (unit_hash(seed + 104729, F.col("source"), F.col("leaf")) < F.col("p")).cast("int").alias("take"))
+            last = left.select("rid", (unit_hash(seed + 104729, F.col("source"), F.col("dice")) < F.col("p")).cast("int").alias("take"))
             break
         k += 1
         level = written(step(left.withColumn("node", F.floor(F.col("node") / FANIN)), k), f"level{k}")
@@ -103,13 +103,15 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
 
     carry: the columns to pass on (all). Rows are told apart by their place, so null and repeated ids are no matter;
     null sources are one source; texts without words, or null, have size 0 and are taken as often as their source's
-    whole part. A hot source is cut into leaves like any other. The sizes of all sources, one row each, are gathered
-    on the driver: the mix's weights are a setting with an entry for every source. Reruns over the same files agree.
+    whole part. A hot source is cut into leaves like any other, by a hash of all columns; rows equal in every column
+    share a leaf. The sizes of all sources, one row each, are gathered
+    on the driver: the mix's weights are a setting with an entry for every source. Reruns agree, however the input is
+    laid out in files.
     An empty table gives an empty result. Added columns replace columns of the same names.
     """
     added = ["size", "source_size", "target", "copies"]
     carry = [c for c in (carry or docs.columns) if c not in added]
-    base = docs.select(F.struct(*carry).alias("rec"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    base = docs.select(F.struct(*carry).alias("rec"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), content_hash(docs, seed).alias("dice"))
     base = written(base.withColumn("rid", F.monotonically_increasing_id()), "mix")
     stats = {r["source"]: (r["size"], r["n"]) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     if not stats:
@@ -123,8 +125,8 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     plan_df = docs.sparkSession.createDataFrame(plan, "p_source string, source_size long, target double, whole long, p double, n_leaves long")
     met = base.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     some = met.where((F.col("p") > 0) & (F.col("size") > 0))
-    leaf = F.pmod(F.xxhash64(F.lit(seed), F.col("rid")), F.col("n_leaves"))
-    takes = rounded(some.select("source", leaf.alias("leaf"), "rid", F.col("size").alias("w"), "p"), seed)
+    leaf = F.pmod(F.xxhash64(F.lit(seed), F.col("dice")), F.col("n_leaves"))
+    takes = rounded(some.select("source", leaf.alias("leaf"), "rid", "dice", F.col("size").alias("w"), "p"), seed)
     out = met.join(takes, "rid", "left")
     return out.select("rec.*", "size", "source_size", "target", (F.col("whole") + F.coalesce("take", F.lit(0))).alias("copies"))
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, n_words, unit_hash, written
+from .common import content_hash, documents, n_words, unit_hash, written
 
 EXACT, STEPS = 1024, 128
 CHUNK = 50_000
@@ -68,13 +68,14 @@ def packed(
     length: tokens of a row (default: words; a null text has none). A batch holds as many rows as fit its budget at the
     bucket's padded length, and one row where even that doesn't fit (``oversize``). Batches of a bucket are numbered
     from 0 and all but its last are full. Rows without tokens share a bucket of length 0, of ``token_budget`` rows a
-    batch. Null and repeated ids are no matter: rows are told apart by their place. An empty table gives an empty
+    batch. Null and repeated ids are no matter: rows equal in
+    every column are alike. The order is the same however the input is laid out in files. An empty table gives an empty
     result. Added columns replace columns of the same names. A hot bucket is ranked in chunks of about CHUNK rows.
     """
     added = ["n_tokens", "bucket", "bucket_len", "batch", "slot", "padding", "oversize"]
     carry = [c for c in (carry or docs.columns) if c not in added]
     n = (n_words(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0))).cast("long")
-    base = docs.select(F.struct(*carry).alias("rec") if carry else F.struct(F.lit(0)).alias("rec"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("rid"))
+    base = docs.select(F.struct(*carry).alias("rec") if carry else F.struct(F.lit(0)).alias("rec"), n.alias("n_tokens"), content_hash(docs, seed).alias("dice"))
     base = written(base.withColumn("grid", grid(F.col("n_tokens"))), "pack")
     hist = sorted((r["grid"], r["n"]) for r in base.groupBy("grid").agg(F.count("*").alias("n")).collect())
     counts = {g: k for g, k in hist}
@@ -86,12 +87,12 @@ def packed(
     bucket = F.size(F.filter(array(ends, "long"), lambda e: e < F.col("grid")))
     at = lambda xs, t: F.get(array(xs, t), F.col("bucket"))
     dealt = base.withColumn("bucket", bucket).withColumns({
-        "bucket_len": at(ends, "long"), "chunks": at([max(1, -(-t // CHUNK)) for t in totals], "long"), "dice": unit_hash(seed, F.col("rid")),
+        "bucket_len": at(ends, "long"), "chunks": at([max(1, -(-t // CHUNK)) for t in totals], "long"), "dice": unit_hash(seed, F.col("dice")),
     })
     dealt = dealt.withColumn("chunk", F.floor(F.col("dice") * F.col("chunks")))
     before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("bucket", "chunk").agg(F.count("*").alias("n")).select("bucket", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("dice", "rid")) - 1)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("dice")) - 1)
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest("bucket_len", F.lit(1))))
     pos = F.col("start") + F.col("rank")
     return ranked.join(starts, ["bucket", "chunk"]).select(

@@ -224,6 +224,9 @@ def _pattern() -> re.Pattern:
 
 
 PATTERN = _pattern()
+#: Every value holds one of these, and none a newline: other lines need no closer look.
+HOT = re.compile(r"[0-9@:=]")
+INSIDE = re.compile(r"[^\w+(]")
 MAKE = {name: f for name, _, f in KINDS}
 
 
@@ -234,20 +237,29 @@ class Pseudonymiser:
 
     def replace(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds found in order. Candidates that don't validate stay."""
-        kinds, out, at, pos = [], [], 0, 0
+        if not HOT.search(text):
+            return text, []
+        lines, kinds = text.split("\n"), []
+        for i, line in enumerate(lines):
+            if HOT.search(line):
+                lines[i] = self._line(line, kinds)
+        return "\n".join(lines), kinds
+
+    def _line(self, text: str, kinds: list[str]) -> str:
+        out, at, pos = [], 0, 0
         while m := PATTERN.search(text, pos):
             kind = m.lastgroup if m.lastgroup in MAKE else next(k for k in MAKE if m.group(k) is not None)
             which = "v_secret" if kind == "secret" else kind
             new = self.of(kind, m[which])
             if new is None or new == m[which]:
                 # a shorter or later candidate may still begin inside
-                nxt = re.compile(r"[^\w+(]").search(text, m.start() + 1)
+                nxt = INSIDE.search(text, m.start() + 1)
                 pos = max(m.start() + 1, min(m.end(), nxt.start() if nxt else m.end()))
                 continue
             kinds.append(kind)
             out += [text[at:m.start(which)], new]
             at = pos = m.end(which)
-        return "".join(out) + text[at:], kinds
+        return "".join(out) + text[at:]
 
 
 def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:

@@ -1,12 +1,12 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters the records uniformly into buckets that fit in memory, by a seeded hash of each record's
-place, and writes them to the shared folder. Pass 2 gives each bucket a Fisher-Yates shuffle (Spark's
+Pass 1 scatters the records uniformly into buckets that fit in memory, by a seeded hash of each record, and writes
+them to the shared folder. Pass 2 gives each bucket a Fisher-Yates shuffle (Spark's
 ``shuffle``), lays the buckets end to end and cuts the sequence into shards of equal length.
 
 All records of a bucket are handled by one task, so a bucket is bounded in bytes: their number follows from the
-written table's size. Which bucket a record falls into depends on its place in the input, not on its values, so
-equal records (a hot key, a group of copies) spread like any others.
+written table's size. The hash takes in all of a record's columns, so records of one hot key or copies of one text
+spread like any others, and the order doesn't depend on how the input is laid out in files.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import content_hash, documents, written
 
 BUCKET_BYTES = 16 << 20
 
@@ -25,11 +25,8 @@ def record_size(text: Column) -> Column:
 
 
 def scatter(df: DataFrame, size: Column, seed: int) -> DataFrame:
-    """Pass 1, first half: the records with their size, their place and its seeded hash, in the shared folder."""
-    placed = df.select(
-        F.struct(*[df[c] for c in df.columns]).alias("rec"), size.alias("rec_size"), F.monotonically_increasing_id().alias("place")
-    )
-    return written(placed.withColumn("dice", F.xxhash64(F.lit(seed), F.col("place"))), "scatter")
+    """Pass 1, first half: the records with their size and seeded hash, in the shared folder."""
+    return written(df.select(F.struct(*[df[c] for c in df.columns]).alias("rec"), size.alias("rec_size"), content_hash(df, seed).alias("dice")), "scatter")
 
 
 def shuffled(df: DataFrame, size: Column | None = None, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -37,7 +34,7 @@ def shuffled(df: DataFrame, size: Column | None = None, seed: int = 17, bucket_b
 
     Null values, empty and very long texts and repeated records are moved like any others; extra columns stay in
     ``rec`` under their own names. An empty input gives no rows. A record larger than ``bucket_bytes`` makes its
-    bucket larger by that much. Reruns over the same files with the same splits give the same order.
+    bucket larger by that much, and records equal in every column share a bucket. Reruns give the same order.
     """
     spark = df.sparkSession
     if size is None:
@@ -52,7 +49,7 @@ def shuffled(df: DataFrame, size: Column | None = None, seed: int = 17, bucket_b
         .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )  # one row for each bucket_bytes of input
     dealt = base.repartition(n_buckets, "bucket").groupBy("bucket").agg(
-        F.sort_array(F.collect_list(F.struct("place", "rec_size", "rec"))).alias("recs")
+        F.sort_array(F.collect_list(F.struct("dice", "rec_size", "rec"))).alias("recs")
     )
     mixed = dealt.sortWithinPartitions("bucket").select("bucket", F.expr(f"shuffle(recs, {seed})").alias("recs"))
     out = mixed.join(starts, "bucket").select("start", F.posexplode("recs").alias("i", "r"))
