@@ -98,25 +98,11 @@ def rounded(rows: DataFrame, seed: int) -> DataFrame:
     return last
 
 
-def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = 23, most: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """Each row of docs once, with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes it).
-
-    carry: the columns to pass on (all). Rows are told apart by their place, so null and repeated ids are no matter;
-    null sources are one source; texts without words, or null, have size 0 and are taken as often as their source's
-    whole part. A hot source is cut into leaves like any other, by a hash of all columns; rows equal in every column
-    share a leaf. The sizes of all sources, one row each, are gathered
-    on the driver: the mix's weights are a setting with an entry for every source. Reruns agree, however the input is
-    laid out in files.
-    An empty table gives an empty result. Added columns replace columns of the same names.
-    """
-    added = ["size", "source_size", "target", "copies"]
-    carry = [c for c in (carry or docs.columns) if c not in added]
+def _planned(docs: DataFrame, carry: list[str], text_col: str, source_col: str, seed: int, most: int) -> DataFrame:
+    """(rec, size, source_size, target, copies) of each row; see mix_plan()."""
     base = docs.select(F.struct(*carry).alias("rec"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), content_hash(docs, seed).alias("dice"))
     base = written(base.withColumn("rid", F.monotonically_increasing_id()), "mix")
     stats = {r["source"]: (r["size"], r["n"]) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    if not stats:
-        spark = docs.sparkSession
-        return docs.select(*carry, *[F.lit(0).cast(t).alias(c) for c, t in zip(added, ("long", "long", "double", "long"))]) if carry else spark.range(0)
     target = source_targets({s: v[0] for s, v in stats.items()}, most=most)
     plan = []
     for s, (size, n) in stats.items():
@@ -128,13 +114,29 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     leaf = F.pmod(F.xxhash64(F.lit(seed), F.col("dice")), F.col("n_leaves"))
     takes = rounded(some.select("source", leaf.alias("leaf"), "rid", "dice", F.col("size").alias("w"), "p"), seed)
     out = met.join(takes, "rid", "left")
-    return out.select("rec.*", "size", "source_size", "target", (F.col("whole") + F.coalesce("take", F.lit(0))).alias("copies"))
+    return out.select("rec", "size", "source_size", "target", (F.col("whole") + F.coalesce("take", F.lit(0))).alias("copies"))
+
+
+def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = 23, most: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """Each row of docs once, with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes it).
+
+    carry: the columns to pass on (all). Null and repeated ids are no matter; null sources are one source; texts
+    without words, or null, have size 0 and are taken as often as their source's whole part. A hot source is cut into
+    leaves like any other, by a hash of all columns; rows equal in every column share a leaf. The sizes of all sources,
+    one row each, are gathered on the driver: the mix's weights are a setting with an entry for every source. Reruns
+    agree, however the input is laid out in files. An empty table gives an empty result. Added columns replace columns
+    of the same names.
+    """
+    added = ["size", "source_size", "target", "copies"]
+    carry = [c for c in (carry or docs.columns) if c not in added]
+    return _planned(docs, carry, text_col, source_col, seed, most).select(*[F.col(f"rec.`{c}`").alias(c) for c in carry], *added)
 
 
-def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken."""
-    plan = mix_plan(docs, **settings)
-    return plan.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
+def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = 23, most: int = 3) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
+    plan = _planned(docs, docs.columns, text_col, source_col, seed, most).where("copies > 0")
+    each = plan.select("rec", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select(*[F.col(f"rec.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,10 @@ def test_mixing(spark, rows):
         assert all(r.source_size == sizes[s] for r in got if r.source == s)
     assert Counter(got) == Counter(mixing.mix_plan(docs).collect())
     assert mixing.mixed(docs).count() == sum(r.copies for r in got)
+    assert Counter(r.doc_id for r in mixing.mixed(docs).collect()) == sum((Counter({r.doc_id: r.copies}) for r in got), Counter())
+    clash = mixing.mixed(docs.withColumnsRenamed({"n_words": "size", "batch": "copies"}))
+    assert clash.columns == ["doc_id", "text", "source", "size", "copies"] and {r.size for r in clash.collect()} == {"x"}
+    assert Counter(r.doc_id for r in mixing.mixed(docs.repartition(7)).collect()) == Counter(r.doc_id for r in mixing.mixed(docs).collect())
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
