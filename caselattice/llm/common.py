@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,9 +58,13 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished plans; without it they stay until the driver's heap fills."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished plans; without it they stay until the driver's heap fills.
+
+    Twice: the first collection frees the plans, whose exchanges the second one finds. Files go in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def ascii_lower(text: Column) -> Column:
