@@ -19,7 +19,6 @@ the second all that is left between components, so no link between components is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +96,13 @@ def salt(k: int) -> np.uint64:
     return U(k * int(GOLD) % (1 << 64))
 
 
-@lru_cache
+_CLASSES: dict[int, tuple] = {}
+
+
 def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each class of set sizes: its upper end, fragments, allowed empty segments, and two salts."""
+    if percent in _CLASSES:
+        return _CLASSES[percent]
     ends, step = [1], max(STEP, 100 / percent)
     while ends[-1] < 1 << 32:
         ends.append(max(ends[-1] + 1, int(ends[-1] * step)))
@@ -107,7 +110,8 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     slack = [SLACK + d // 24 for d in differ]
     fragments = [d + 1 + s for d, s in zip(differ, slack)]
     salts = [[salt(k + 1) for k in range(len(ends))], [salt(~k) for k in range(len(ends))]]
-    return np.array(ends), np.array(fragments), np.array(slack), np.array(salts[0], U), np.array(salts[1], U)
+    _CLASSES[percent] = np.array(ends), np.array(fragments), np.array(slack), np.array(salts[0], U), np.array(salts[1], U)
+    return _CLASSES[percent]
 
 
 def signatures(grams: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
