@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import numbered
@@ -23,37 +24,62 @@ def subsample(vectors: DataFrame, round_no: int, fraction: float = FRACTION) ->
 
 
 def column_shuffled(vectors: DataFrame) -> DataFrame:
-    """(id, v): each dimension permuted by itself, in a pseudo-random order of ids."""
+    """(id, v): each dimension permuted by itself, in a pseudo-random order of ids. All vectors have the same length.
+
+    The values are put in two orders, each by dimension first, and meet by their place in them: no task holds a dimension."""
     each = vectors.select("id", F.posexplode("v").alias("pos", "x"))
     order = F.md5(F.concat_ws(":", F.col("pos").cast("string"), F.col("id").cast("string")))
-    by_id = F.row_number().over(Window.partitionBy("pos").orderBy("id"))
-    by_dice = F.row_number().over(Window.partitionBy("pos").orderBy(order, "id"))
-    ranked = each.withColumns({"r": by_id, "s": by_dice})
-    moved = ranked.select("id", "pos", "r").join(ranked.select("pos", F.col("s").alias("r"), "x"), ["pos", "r"])
+    by_id = numbered(each.select("id", "pos").orderBy("pos", "id"), "at")
+    by_dice = numbered(each.withColumn("o", order).orderBy("pos", "o", "id").select("x"), "at")
+    moved = by_id.join(by_dice, "at")
     return moved.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda t: t["x"]).alias("v"))
 
 
+def _pairs_by_common(counts: dict[int, int], rounds: int) -> np.ndarray:
+    """From the number of members by set of rounds (as bits): the number of ordered pairs, self included, by the number of rounds in common."""
+    f = np.zeros(1 << rounds)
+    for mask, n in counts.items():
+        f[mask] += n
+    f = f.reshape([2] * rounds)
+    for axis in range(rounds):  # sums over supersets; their squares count pairs whose common rounds hold a set
+        f = np.stack([f.sum(axis), f.take(1, axis)], axis)
+    g = f * f
+    for axis in range(rounds):  # and back: pairs whose common rounds are just that set
+        g = np.stack([g.take(0, axis) - g.take(1, axis), g.take(1, axis)], axis)
+    bits = np.array([bin(m).count("1") for m in range(1 << rounds)])
+    return np.bincount(bits, weights=np.round(g).ravel(), minlength=rounds + 1)
+
+
 def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42, restarts: int = 2) -> DataFrame:
     """One row (stability, rounds): of pairs grouped together in the full fit, the mean share of rounds with both in which they meet again.
 
-    Pairs are never listed one by one against all others: within a base group they are counted by the pattern of the rounds' groups,
-    so equal patterns cost one row.
+    No pair is listed: members are counted by group and by the set of rounds that drew them, at most k * k * rounds * 2^rounds
+    counts whatever their number, and pairs follow from the counts. At most 16 rounds.
     """
+    if rounds > 16:
+        raise ValueError("at most 16 rounds")
     if vectors.count() < 3 * k:
         return vectors.sparkSession.createDataFrame([(None, 0)], "stability double, rounds int")
     base = kmeans(denoised(vectors).select("id", "space").cache(), k, restarts, seed)[0].select("id", F.col("cluster").alias("base"))
     for r in range(rounds):
         sub = denoised(subsample(vectors, r)).select("id", "space").cache()
         base = base.join(kmeans(sub, k, 1, seed + r)[0].select("id", F.col("cluster").alias(f"r{r}")), "id", "left")
-    kinds = base.groupBy("base", *[f"r{r}" for r in range(rounds)]).agg(F.count("*").alias("n")).withColumn("pat", F.array(*[f"r{r}" for r in range(rounds)]))
-    kinds = kinds.select("base", "pat", "n").cache()
-    both = kinds.alias("a").join(kinds.alias("b"), F.col("a.base") == F.col("b.base"))
-    same_kind = F.col("a.pat").eqNullSafe(F.col("b.pat"))
-    pairs = F.when(same_kind, F.col("a.n") * (F.col("a.n") - 1)).otherwise(F.col("a.n") * F.col("b.n"))
-    seen = F.size(F.filter(F.zip_with("a.pat", "b.pat", lambda x, y: x.isNotNull() & y.isNotNull()), lambda t: t))
-    met = F.size(F.filter(F.zip_with("a.pat", "b.pat", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda t: t))
-    rows = both.select(pairs.alias("pairs"), seen.alias("seen"), met.alias("met")).where("seen > 0 and pairs > 0")
-    return rows.agg(F.round(F.sum(F.col("pairs") * F.col("met") / F.col("seen")) / F.sum("pairs"), 4).alias("stability"), F.lit(rounds).alias("rounds"))
+    mask = reduce(lambda a, b: a + b, [F.when(F.col(f"r{r}").isNotNull(), 1 << r).otherwise(0) for r in range(rounds)])
+    each = base.select("base", mask.alias("mask"), F.posexplode(F.array(F.lit(-1), *[f"r{r}" for r in range(rounds)])).alias("round", "cluster")).where("cluster is not null")
+    groups: dict[tuple, dict[int, int]] = {}
+    for r in each.groupBy("base", "round", "cluster", "mask").count().collect():
+        groups.setdefault((r["base"], r["round"], r["cluster"]), {})[r["mask"]] = r["count"]
+    share, pairs = 0.0, 0.0
+    for (_, drawn, _), counts in groups.items():
+        n = _pairs_by_common(counts, rounds)
+        for m, c in counts.items():  # nobody is a pair with itself
+            n[bin(m).count("1")] -= c
+        if drawn == 0:  # the full fit
+            pairs += n[1:].sum()
+        else:
+            share += (n[1:] / np.arange(1, rounds + 1)).sum()
+    value = round(float(share / pairs), 4) if pairs else None
+    return vectors.sparkSession.createDataFrame([(value, rounds)], "stability double, rounds int")
 
 
 def against_shuffled(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 2) -> DataFrame:

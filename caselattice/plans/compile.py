@@ -78,7 +78,7 @@ def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed:
 
     namer: an optional function of (representative texts, names to avoid) to a label; groups of cohesion under 0.25 keep theirs.
     """
-    cases = numbered(register.orderBy("case_id", "case_summary").cache(), "id").withColumn("id", F.col("id") - 1).cache()
+    cases = numbered(register.orderBy("case_id", "case_summary"), "id").withColumn("id", F.col("id") - 1).cache()
     n = cases.count()
     k = k if k <= n else max(2, n // 4)
     v = (vectors if vectors is not None else embed(cases, model)).select("id", "v").cache()

@@ -234,6 +234,39 @@ def test_quality_report(spark):
     assert np.allclose(np.sort(np.array([r.v for r in mixed]), 0), np.sort(m, 0)) and not np.allclose([r.v for r in mixed], m)
 
 
+def test_pairs_are_counted_by_common_rounds():
+    rng = np.random.default_rng(7)
+    masks = rng.integers(0, 32, 60)
+    want = np.zeros(6)
+    for a in masks:
+        for b in masks:
+            want[bin(a & b).count("1")] += 1
+    counts = {int(m): int((masks == m).sum()) for m in set(masks.tolist())}
+    assert (resampling._pairs_by_common(counts, 5) == want).all()
+
+
+def test_stability_against_pairs(spark, monkeypatch):
+    m, c = blobs(1.2, 15)
+    fits = {}
+    real = resampling.kmeans
+
+    def spy(points, k, restarts, seed):
+        out = real(points, k, restarts, seed)
+        fits[len(fits)] = {r.id: r.cluster for r in out[0].collect()}
+        return out
+
+    monkeypatch.setattr(resampling, "kmeans", spy)
+    got = resampling.stability(frame(spark, m, c), 3, rounds=3).first().stability
+    base, rounds = fits[0], [fits[i] for i in (1, 2, 3)]
+    shares = []
+    for a in base:
+        for b in base:
+            both = [r for r in rounds if a in r and b in r]
+            if a != b and base[a] == base[b] and both:
+                shares.append(np.mean([r[a] == r[b] for r in both]))
+    assert abs(got - np.mean(shares)) < 1e-4
+
+
 def test_store(spark, tmp_path):
     s = stores.Store(spark, str(tmp_path / "store"))
     assert stores.summary(s)["events"] == 0 and s.filed().count() == 0
