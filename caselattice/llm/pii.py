@@ -144,6 +144,10 @@ def ip(value: str, fp: Feistel) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def ip6(value: str, fp: Feistel) -> str:
+    return permuted_text(value.lower(), [HEX[0]], fp, "ip6")
+
+
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
@@ -202,6 +206,7 @@ KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
     ("secret", r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<v>[A-Za-z0-9_\-]{16,128})(?![A-Za-z0-9_\-])", secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ip),
+    ("ip6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", ip6),
     ("iso_date", r"(?<![\w\-/.])\d{4}([\-/.])(?:0[1-9]|1[0-2])\1\d{2}(?![\w\-/]|\.\d)", iso_date),
     ("day_date", r"(?<![\w\-/.])\d{1,2}([\-/.])\d{1,2}\1\d{4}(?![\w\-/]|\.\d)", day_date),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", ssn),

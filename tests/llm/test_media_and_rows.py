@@ -41,6 +41,7 @@ PLANTED = {
     "ssn": ["123-45-6789"],
     "phone": ["+1 (394) 555-4006", "(555) 123-4567", "555-123-4567", "+14155552671"],
     "ip": ["226.203.165.104", "10.0.0.1"],
+    "ip6": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"],
     "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
     "iso_date": ["2024-02-29"],
     "day_date": ["25.12.1999", "31/01/2020"],

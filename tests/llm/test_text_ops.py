@@ -165,6 +165,11 @@ def test_mixing(spark, rows):
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
+def test_mixing_without_words(spark):
+    got = mixing.mix_plan(table(spark, [(1, None, "a"), (2, "", None), (3, " ", "a")])).collect()
+    assert [(r.size, r.source_size, r.target, r.copies) for r in got] == [(0, 0, 0.0, 0)] * 3
+
+
 def test_mixing_tree_has_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 10)
     monkeypatch.setattr(mixing, "FANIN", 3)
