@@ -768,6 +768,11 @@ def kmeans(spark, d):
     return clustering.cluster(vectors(spark, d), 5).select("id", "cluster")
 
 
+@query()
+def cop_assign(spark, d):
+    return clustering.placed_apart(vectors(spark, d), _first_centres(spark, d), vector_links(spark, d))
+
+
 @query()
 def cop_kmeans(spark, d):
     return clustering.constrained(vectors(spark, d), 5, vector_links(spark, d))[0]

@@ -84,10 +84,15 @@ class Store:
         return fp
 
     def label_case(self, text: str, label: str, author: str | None = None) -> str:
-        key = self._key(text)
-        self.append("case_labels", self.rows("case_labels", [(key, label, author, now(), dt.datetime.now(dt.timezone.utc).isoformat())]))
-        self.log("label", {"case": key, "label": label}, author)
-        return key
+        return self.label_cases([text], label, author)[0]
+
+    def label_cases(self, texts: list[str], label: str, author: str | None = None) -> list[str]:
+        """File cases under a label; their keys. Of a case's labels the latest counts."""
+        found = self.spark.createDataFrame([(t,) for t in texts], "t string").select(case_key(F.col("t")).alias("k")).collect()
+        keys, seq = [r["k"] for r in found], dt.datetime.now(dt.timezone.utc).isoformat()
+        self.append("case_labels", self.rows("case_labels", [(k, label, author, now(), seq) for k in keys]))
+        self.log("label", {"cases": keys, "label": label}, author)
+        return keys
 
     def link_cases(self, a: str, b: str, kind: str, author: str | None = None) -> None:
         if kind not in ("same", "different"):

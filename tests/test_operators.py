@@ -324,6 +324,38 @@ def test_whole_run(spark, tmp_path):
     assert '"points"' in page and "old" not in page and plan.inject("x", "<html></html>") is None
 
 
+def test_workbench(spark, tmp_path):
+    import csv
+
+    from caselattice.__main__ import main
+    from caselattice.plans.workbench import Workbench
+
+    path = str(tmp_path / "export.csv")
+    kinds = ["insulin dose given twice and sugar dropped", "theatre list delayed for hours by missing staff"]
+    with open(path, "w", newline="") as f:
+        csv.writer(f).writerows([["Ref", "What Happened?", "Ward"], *[[f"C{i:02d}", f"{kinds[i % 2]} {i} x{i * 7}", "A"] for i in range(20)]])
+    w = Workbench(spark, stores.Store(spark, str(tmp_path / "store")), k=1, rounds=1)
+    with pytest.raises(ValueError):
+        w.rebuild()
+    with pytest.raises(ValueError):
+        w.ingest(path, most_bytes=10)
+    out = w.ingest(path)
+    assert w.k == 2 and len(out["points"]) == 20
+    group = w.point("C00")["cluster"]
+    out = w.name_group(group, "  Insulin   errors ")
+    assert {c["id"]: c["label"] for c in out["clusters"]}[group] == "Insulin errors" and out["clusters"][group]["label_source"] == "human"
+    assert sum(p["house"] == "Insulin errors" for p in out["points"]) >= 7
+    out = w.file_cases(["C01", "C01", "C03"], "Delays")
+    assert w.point("C01")["house"] == "Delays" and w.point("C01")["house_source"] == "human"
+    for bad in (lambda: w.file_cases(["nobody"], "x"), lambda: w.file_cases([], "x"), lambda: w.name_group(group, "y" * 61), lambda: w.name_group(99, "x")):
+        with pytest.raises(ValueError):
+            bad()
+    (tmp_path / "t.html").write_text(f"<html>{plan.START}{plan.END}</html>")
+    args = ["--input", path, "--clusters", "2", "--rounds", "1", "--store", str(tmp_path / "s2"), "--output", str(tmp_path / "data.json"), "--template", str(tmp_path / "t.html"), "--page", str(tmp_path / "p.html")]
+    assert main(args) == 0 and len(json.loads((tmp_path / "data.json").read_text())["points"]) == 20 and "points" in (tmp_path / "p.html").read_text()
+    assert main([*args[:1], str(tmp_path / "t.html"), *args[2:]]) == 1
+
+
 def test_filters_and_figures(spark):
     reg = spark.createDataFrame([(1, 0, "a", 5, "Fall on ward"), (2, 0, "b", 2, "fall"), (3, 1, "a", 4, "dose")], "id long, cluster int, department string, severity_score int, case_summary string")
     assert [r.id for r in plan.register_filter(reg, "FALL", 3, ["a"], 0).collect()] == [1]
