@@ -84,7 +84,7 @@ def verdict(passed: Column) -> Column:
     return F.when(passed == 3, "structure found").when(passed == 2, "usable, with caveats").otherwise("weak")
 
 
-#: Openings of answers that are no labels.
+#: Phrases of answers that are no labels.
 NOT_A_LABEL = r"(?i)\b(i (cannot|can't|am|will)|as an ai|sure|here('| i)s|the (group|reports|answer)|these reports|noun phrase|sorry)\b"
 
 

@@ -9,6 +9,7 @@ from ..functions.scalars import CONFIDENCE_LEVELS, gated_label
 from ..functions.vectors import norm, rounded, unit
 from .similarity import centroid_sims
 
+#: Examples that make a label usable, least confidence and margin, least share that names a group, similarity that carries a name, and below which it has drifted.
 MIN_EXAMPLES, MIN_CONFIDENCE, MIN_MARGIN, HOUSE_SHARE, CARRY_MIN, DRIFT_BELOW = 5, 0.25, 0.02, 0.60, 0.92, 0.96
 
 

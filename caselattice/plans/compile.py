@@ -12,6 +12,7 @@ from ..functions.scalars import CONFIDENCE_LEVELS, case_key, fingerprint, reason
 from ..operators import clustering, geometry, resampling, similarity, taxonomy, text_naming
 from ..sources import store as stores
 
+#: Colours of groups, and the markers around a payload in a page.
 PALETTE = ["#00B3B3", "#FF8A5B", "#9D8CFF", "#F2C14E", "#5BD1A0"]
 START, END = "<!-- MM_PAYLOAD_START -->", "<!-- MM_PAYLOAD_END -->"
 
