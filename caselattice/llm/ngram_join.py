@@ -49,7 +49,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
     data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
     start, size = ends[:-1] - ends[0], np.diff(ends)
-    place = np.arange(len(data)) - np.repeat(start, size)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
     of_byte, of_place = mixed_bits(np.arange(256, dtype=U) + GOLD), mixed_bits(np.arange(size.max(), dtype=U) ^ GOLD)
     return mixed_bits(np.add.reduceat(of_byte[data] * of_place[place], start) + size.astype(U))
 
@@ -169,7 +169,7 @@ def signature_rows(docs: DataFrame, text_col: str, width: int, percent: int) ->
 
     def make(b, state):
         seen = state.setdefault("seen", set())
-        if len(seen) > 1_000_000:
+        if len(seen) > 200_000:
             seen.clear()
         grams, n = gram_sets(b[text_col], width)
         ids = set_ids(grams, n)
@@ -429,12 +429,17 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", width: int = 4,
     grams = written(gram_table(texts, "text", width), "grams")
     release(spark)
     first = rows.where("leader <> set_id").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = written(verified(possible(first, grams, percent), grams, percent), "linked")
+    pairs = written(possible(first, grams, percent), "pairs")
+    release(spark)
+    links = written(verified(pairs, grams, percent), "linked")
     release(spark)
     roots, open_rows = components(links), rows
     for best in (True, False):
         open_rows = written(in_components(open_rows, roots), "open")
-        more = written(verified(between_components(open_rows, grams, percent, best), grams, percent), "linked")
+        release(spark)
+        pairs = written(between_components(open_rows, grams, percent, best), "pairs")
+        release(spark)
+        more = written(verified(pairs, grams, percent), "linked")
         roots = components(roots.toDF("a", "b").unionByName(more))
         release(spark)
     dropped(grams)

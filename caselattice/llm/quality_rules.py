@@ -87,7 +87,7 @@ def measured(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy())
     start = 0
