@@ -324,9 +324,12 @@ def test_whole_run(spark, tmp_path):
     assert '"points"' in page and "old" not in page and plan.inject("x", "<html></html>") is None
 
 
-def test_workbench(spark, tmp_path):
+def test_workbench(spark, tmp_path, monkeypatch):
     import csv
 
+    figures = {"agreement": 1.0, "chance": 0.5, "lift": 2.0, "stability": 1.0, "rounds": 1, "silhouette": 0.5, "shuffled_silhouette": 0.1, "beats_noise": True, "checks_passed": 3, "verdict": "structure found"}
+    monkeypatch.setattr(resampling, "report", lambda v, k, rounds, seed: spark.createDataFrame([figures]))  # tested elsewhere
+
     from caselattice.__main__ import main
     from caselattice.plans.workbench import Workbench
 
