@@ -64,7 +64,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(0.1)
 
 
 def ascii_lower(text: Column) -> Column:
