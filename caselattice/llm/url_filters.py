@@ -1,7 +1,8 @@
 """URL filters: host rules first, then a path-template tree learned per host.
 
-The tree grows one path segment at a time. Below each node (host, template so far) a segment stays literal only where
-it is common among the node's pages; all others are variable and become one wildcard. Literal siblings whose labelled
+The tree grows one path segment at a time, to the last. Below each node (host, template so far) a segment stays literal
+where it is common among the node's pages, has many labelled pages, or has labels that differ from the node's; all
+others are variable and become one wildcard. Literal siblings whose labelled
 shares of bad pages don't differ significantly are merged into one branch. Each leaf template is then judged by its
 labelled purity, smoothed towards the corpus: a template whose smoothed share of good pages is too low is rejected.
 """
@@ -17,6 +18,10 @@ from .common import UPPER, documents, dropped, written
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+#: A branch of more segments is named by its first one and the number of the others.
+MOST_NAMED = 100
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host and path. A null url, or one without ://, has both empty."""
     at = F.instr(url, "://")
@@ -35,54 +40,82 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def _branches(level: DataFrame, min_share: float, min_count: int, z: float, min_labelled: int = 10) -> DataFrame:
-    """For each node, its literal branches: an array of (seg, branch). At most 1 / min_share of them.
+def _apart(bad: Column, labelled: Column, other_bad: Column, other_labelled: Column) -> Column:
+    """By how many deviations the first share of bad pages lies over the second, each smoothed by one page."""
+    pooled = (bad + other_bad + 1) / (labelled + other_labelled + 2)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / (labelled + 1) + 1 / (other_labelled + 1)))
+    return ((bad + 0.5) / (labelled + 1) - (other_bad + 0.5) / (other_labelled + 1)) / spread
+
+
+def _literals(level: DataFrame, min_share: float, min_count: int, support: int, z: float, min_labelled: int) -> DataFrame:
+    """level's rows that stay literal, with ``known`` (enough labels to be compared).
 
-    level: (host, template, seg, n, labelled, bad), one row for each child of a node. Siblings with fewer than
-    min_labelled labelled pages are like none: each is a branch of its own.
+    Of segments with min_count pages those stay that have min_share of their node's, and of the known ones also those
+    with ``support`` pages or with a share of bad pages that differs from the rest of the node by z deviations.
     """
     known = F.col("labelled") >= min_labelled
+    total = level.groupBy("host", "template").agg(F.sum("n").alias("total"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    differs = F.abs(_apart(F.col("bad"), F.col("labelled"), F.col("all_bad") - F.col("bad"), F.col("all_labelled") - F.col("labelled"))) > z
+    stays = (F.col("n") >= min_share * F.col("total")) | (known & ((F.col("n") >= support) | differs))
+    found = level.where((F.col("n") >= min_count) & (F.col("seg") != "")).join(total, ["host", "template"]).where(stays)
+    return found.withColumn("known", known).drop("total", "all_labelled", "all_bad")
+
+
+def _branches(literals: DataFrame, z: float) -> DataFrame:
+    """(host, template, seg, branch) for literal segments. Siblings that aren't known are like none: each is a branch of its own."""
     node = Window.partitionBy("host", "template", "known")
-    total = level.groupBy("host", "template").agg(F.sum("n").alias("total"))
-    common = level.join(total, ["host", "template"]).where((F.col("n") >= min_count) & (F.col("n") >= min_share * F.col("total")))
     # siblings in order of their share of bad pages; a significant step opens a new branch
-    common = common.withColumns({"p": (F.col("bad") + 0.5) / (F.col("labelled") + 1), "known": known})
-    in_order = node.orderBy("p", "labelled", "seg")
+    in_order = node.orderBy((F.col("bad") + 0.5) / (F.col("labelled") + 1), "labelled", "seg")
     before = lambda c: F.lag(c).over(in_order)
-    pooled = (F.col("bad") + before("bad") + 1) / (F.col("labelled") + before("labelled") + 2)
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("labelled") + 1) + 1 / (before("labelled") + 1)))
-    opens = F.when(~F.col("known"), 1).otherwise(F.coalesce((F.col("p") - before("p") > z * spread).cast("int"), F.lit(0)))
-    grouped = common.withColumn("opens", opens).withColumn("g", F.sum("opens").over(in_order))
-    branch = F.array_join(F.array_sort(F.collect_set("seg").over(Window.partitionBy("host", "template", "known", "g"))), "|")
-    return (
-        grouped.withColumn("branch", branch).groupBy("host", "template")
-        .agg(F.collect_list(F.struct("seg", "branch")).alias("branches"))
+    step = _apart(F.col("bad"), F.col("labelled"), before("bad"), before("labelled"))
+    opens = F.when(~F.col("known"), 1).otherwise(F.coalesce((step > z).cast("int"), F.lit(0)))
+    return _named(literals.withColumn("opens", opens).withColumn("g", F.sum("opens").over(in_order)))
+
+
+def _named(grouped: DataFrame) -> DataFrame:
+    """grouped (host, template, known, g, seg) with ``branch``: the segments of a g, or the first and the number of others if there are many."""
+    group = ["host", "template", "known", "g"]
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("seg"))
+    names = grouped.withColumn("nth", nth).groupBy(*group).agg(
+        F.count("*").alias("of"), F.array_sort(F.collect_list(F.when(F.col("nth") <= MOST_NAMED, F.col("seg")))).alias("segs")
     )
+    branch = F.when(F.col("of") <= MOST_NAMED, F.array_join("segs", "|")).otherwise(F.concat(F.get("segs", F.lit(0)), F.lit("|+"), F.col("of") - 1))
+    return grouped.join(names.select(*group, branch.alias("branch")), group).select("host", "template", "seg", "branch")
 
 
 def templates(
-    pages: DataFrame, max_depth: int = 8, min_share: float = 0.01, min_count: int = 20, z: float = 3.0
+    pages: DataFrame, max_depth: int = 8, min_share: float = 0.01, min_count: int = 20, z: float = 3.0, support: int = 1000, min_labelled: int = 10
 ) -> DataFrame:
     """pages (page key columns, host, path, labelled 0/1, bad 0/1) with each page's template.
 
-    Hosts may be hot: nodes are summed before they are shuffled, and a page meets its node's short list of branches by
-    a join. Segments below ``max_depth`` become one ``**``. The tree is grown over all pages.
+    Hosts may be hot: nodes are summed before they are shuffled, and a page meets its segment's branch by a join. The
+    tree is grown over all pages, to their last segments. Nodes of fewer than min_count pages have only wildcards below
+    them; those deeper than ``max_depth`` are written as one ``**``.
     """
-    here = written(pages.withColumns({"segs": F.split("path", "/", -1), "template": F.lit("")}), "pages")
-    depth = min(max_depth, (here.agg(F.max(F.size("segs"))).first()[0] or 1) - 1)
-    for d in range(1, depth + 1):
-        seg = F.get("segs", F.lit(d))
-        open_ = here.where(seg.isNotNull())
-        level = open_.groupBy("host", "template", seg.alias("seg")).agg(
-            F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
-        )
-        joined = here.join(_branches(level, min_share, min_count, z), ["host", "template"], "left")
-        literal = F.get(F.filter("branches", lambda b: b["seg"] == F.get("segs", F.lit(d))), F.lit(0))["branch"]
-        deeper = F.concat("template", F.lit("/"), F.when(F.get("segs", F.lit(d)) == "", F.lit("")).otherwise(F.coalesce(literal, F.lit("*"))))
+    here, d = written(pages.withColumns({"segs": F.split("path", "/", -1), "template": F.lit("")}), "pages"), 0
+    while True:
+        d += 1
+        at, seg = F.lit(d), F.get("segs", F.lit(d))
+        level = written(
+            here.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(
+                F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
+            ), "level")
         last = here
-        here = written(joined.withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(deeper)).drop("branches"), "pages")
-        dropped(last)
-    return here.withColumn("template", F.when(F.size("segs") - 1 > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segs")
+        if level.isEmpty():
+            dropped(level)
+            return here.drop("segs")
+        if d > max_depth:
+            small = level.groupBy("host", "template").agg(F.sum("n").alias("total")).where(F.col("total") < min_count).select("host", "template", F.lit(True).alias("small"))
+            ends = F.col("small") & seg.isNotNull()
+            here = here.join(small, ["host", "template"], "left").withColumns({
+                "template": F.when(ends, F.concat("template", F.lit("/**"))).otherwise(F.col("template")),
+                "segs": F.when(ends, F.slice("segs", 1, d)).otherwise(F.col("segs")),
+            }).drop("small")
+        branches = _branches(_literals(level, min_share, min_count, support, z, min_labelled), z)
+        joined = here.withColumn("seg", F.get("segs", at)).join(branches, ["host", "template", "seg"], "left")
+        deeper = F.concat("template", F.lit("/"), F.when(F.col("seg") == "", F.lit("")).otherwise(F.coalesce("branch", F.lit("*"))))
+        here = written(joined.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(deeper)).drop("seg", "branch"), "pages")
+        dropped(last, level)
 
 
 def judged(pages: DataFrame, threshold: float = 0.5, weight: float = 10.0, **tree) -> DataFrame:
