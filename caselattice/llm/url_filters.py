@@ -62,19 +62,36 @@ def _literals(level: DataFrame, min_share: float, min_count: int, support: int,
 
 
 def _branches(literals: DataFrame, z: float) -> DataFrame:
-    """(host, template, seg, branch) for literal segments. Siblings that aren't known are like none: each is a branch of its own."""
-    node = Window.partitionBy("host", "template", "known")
-    # siblings in order of their share of bad pages; a significant step opens a new branch
-    in_order = node.orderBy((F.col("bad") + 0.5) / (F.col("labelled") + 1), "labelled", "seg")
-    before = lambda c: F.lag(c).over(in_order)
-    step = _apart(F.col("bad"), F.col("labelled"), before("bad"), before("labelled"))
-    opens = F.when(~F.col("known"), 1).otherwise(F.coalesce((step > z).cast("int"), F.lit(0)))
-    return _named(literals.withColumn("opens", opens).withColumn("g", F.sum("opens").over(in_order)))
+    """(host, template, seg, branch) for literal segments. Siblings that aren't known are like none: each is a branch of its own.
+
+    Known siblings are taken in order of their share of bad pages. One opens a new branch if it differs by z deviations
+    from all that the open branch holds so far, or from its first sibling. Equal counts share a branch, so a node's fold
+    goes over its distinct counts only; it keeps the first counts of each branch.
+    """
+    known = literals.where("known").withColumn("key", F.struct(((F.col("bad") + 0.5) / (F.col("labelled") + 1)).alias("p"), "labelled", "bad"))
+    classes = known.groupBy("host", "template", "key").agg(F.count("*").alias("times"))
+    ordered = classes.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("key", "times"))).alias("classes"))
+
+    def put(open_: Column, c: Column) -> Column:
+        key, first = c["key"], F.element_at(open_["firsts"], -1)
+        opens = (_apart(key["bad"], key["labelled"], open_["bad"], open_["labelled"]) > z) | (_apart(key["bad"], key["labelled"], first["bad"], first["labelled"]) > z)
+        bad, labelled = key["bad"] * c["times"], key["labelled"] * c["times"]
+        return F.when(opens, F.struct(F.concat(open_["firsts"], F.array(key)).alias("firsts"), bad.alias("bad"), labelled.alias("labelled"))).otherwise(
+            F.struct(open_["firsts"].alias("firsts"), (open_["bad"] + bad).alias("bad"), (open_["labelled"] + labelled).alias("labelled"))
+        )
+
+    first = F.get("classes", F.lit(0))
+    start = F.struct(F.array(first["key"]).alias("firsts"), (first["key"]["bad"] * first["times"]).alias("bad"), (first["key"]["labelled"] * first["times"]).alias("labelled"))
+    others = F.slice("classes", F.lit(2), F.size("classes"))
+    firsts = ordered.select("host", "template", F.aggregate(others, start, put)["firsts"].alias("firsts"))
+    grouped = known.join(firsts, ["host", "template"]).withColumn("g", F.size(F.filter("firsts", lambda f: f <= F.col("key"))))
+    alone = literals.where(~F.col("known")).select("host", "template", "seg", F.col("seg").alias("branch"))
+    return _named(grouped).unionByName(alone)
 
 
 def _named(grouped: DataFrame) -> DataFrame:
-    """grouped (host, template, known, g, seg) with ``branch``: the segments of a g, or the first and the number of others if there are many."""
-    group = ["host", "template", "known", "g"]
+    """grouped (host, template, g, seg) with ``branch``: the segments of a g, or the first and the number of others if there are many."""
+    group = ["host", "template", "g"]
     nth = F.row_number().over(Window.partitionBy(*group).orderBy("seg"))
     names = grouped.withColumn("nth", nth).groupBy(*group).agg(
         F.count("*").alias("of"), F.array_sort(F.collect_list(F.when(F.col("nth") <= MOST_NAMED, F.col("seg")))).alias("segs")

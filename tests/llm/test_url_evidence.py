@@ -28,3 +28,16 @@ def test_deep_section(spark):
     got = judged(spark, [(f"{deep}/{s}/{i}", int(s == "evil")) for s in ("evil", "fine") for i in range(40)])
     assert all(v == ("block" if "/evil/" in u else "allow") for u, (_, v) in got.items())
     assert got[f"{deep}/evil/1"][0] == "/a/b/c/d/e/f/g/h/i/j/evil/*"
+
+
+def test_small_steps_do_not_chain(spark):
+    got = judged(spark, [(f"http://h.com/s{s}/{i}/x", int(i < 5 * s)) for s in range(10) for i in range(50)])
+    by = {int(u.split("/s")[1].split("/")[0]): t.split("/")[1] for u, (t, _) in got.items()}
+    assert all(v == "block" for u, (_, v) in got.items() if "/s9/" in u or "/s8/" in u) and all(v == "allow" for u, (_, v) in got.items() if "/s0/" in u)
+    # by hand: each sibling against the pooled branch and against its first
+    branches, z = [], lambda a, n, b, m: ((a + .5) / (n + 1) - (b + .5) / (m + 1)) / ((q := (a + b + 1) / (n + m + 2)) * (1 - q) * (1 / (n + 1) + 1 / (m + 1))) ** .5
+    for s in range(10):
+        if not branches or z(5 * s, 50, sum(5 * x for x in branches[-1]), 50 * len(branches[-1])) > 3 or z(5 * s, 50, 5 * branches[-1][0], 50) > 3:
+            branches.append([])
+        branches[-1].append(s)
+    assert len(branches) > 2 and by == {s: "|".join(f"s{x}" for x in b) for b in branches for s in b}
