@@ -117,6 +117,40 @@ def iban(value: str, fp: Feistel) -> str | None:
     return relaid(value, country + iban_check(country, new) + new)
 
 
+#: Length of the whole IBAN by country.
+IBAN_LENGTHS = {
+    c: n for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for c in cs.split()
+}
+
+
+def shorter(kind: str, value: str) -> Iterator[str]:
+    """Candidates of a match of the pattern, best first: itself, then its beginnings that end at a group or word boundary.
+
+    An IBAN has its country's length, if that is known: it goes before, and instead of any other beginning.
+    """
+    if kind not in ("card", "iban"):
+        yield value
+        return
+    ends = [m.start() for m in re.finditer(r"[ \-]", value)]
+    if kind == "card":
+        yield value
+        for end in reversed(ends):
+            if sum(c.isdigit() for c in value[:end]) >= 13:
+                yield value[:end]
+        return
+    length = lambda end: end - value.count(" ", 0, end)
+    fixed = IBAN_LENGTHS.get(value[:2])
+    yield from (value[:end] for end in ends if length(end) == fixed)
+    yield value
+    if not fixed:
+        yield from (value[:end] for end in reversed(ends) if length(end) >= 15)
+
+
 def ssn(value: str, fp: Feistel) -> str | None:
     area, group, serial = int(value[:3]), int(value[4:6]), int(value[7:])
     if area in (0, 666) or area > 899 or not group or not serial:
@@ -233,6 +267,8 @@ PATTERN = _pattern()
 HOT = re.compile(r"[0-9@:=]")
 INSIDE = re.compile(r"[^\w+(]")
 MAKE = {name: f for name, _, f in KINDS}
+#: By kind, the later ones and their own patterns. Mail and secrets begin unlike any later kind that could be meant.
+AFTER = {name: [(k, re.compile(p.replace(r"\N", r"\1"))) for k, p, _ in KINDS[i + 1:] if name not in ("mail", "secret") and k != "secret"] for i, (name, _, _) in enumerate(KINDS)}
 
 
 class Pseudonymiser:
@@ -250,20 +286,31 @@ class Pseudonymiser:
                 lines[i] = self._line(line, kinds)
         return "\n".join(lines), kinds
 
+    def _value(self, kind: str, m: re.Match, group: str | int) -> tuple[str, int, int, str] | None:
+        """Kind, start, end and pseudonym of the first candidate in the match that validates."""
+        for value in shorter(kind, m[group]):
+            new = self.of(kind, value)
+            if new is not None and new != value:
+                return kind, m.start(group), m.start(group) + len(value), new
+        return None
+
     def _line(self, text: str, kinds: list[str]) -> str:
         out, at, pos = [], 0, 0
         while m := PATTERN.search(text, pos):
             kind = m.lastgroup if m.lastgroup in MAKE else next(k for k in MAKE if m.group(k) is not None)
-            which = "v_secret" if kind == "secret" else kind
-            new = self.of(kind, m[which])
-            if new is None or new == m[which]:
-                # a shorter or later candidate may still begin inside
+            found = self._value(kind, m, "v_secret" if kind == "secret" else kind)
+            if not found:  # a later kind may begin at the same place
+                rest = ((k, p.match(text, m.start())) for k, p in AFTER[kind])
+                found = next((f for k, other in rest if other and (f := self._value(k, other, 0))), None)
+            if not found:
+                # another candidate may still begin inside
                 nxt = INSIDE.search(text, m.start() + 1)
                 pos = max(m.start() + 1, min(m.end(), nxt.start() if nxt else m.end()))
                 continue
+            kind, start, end, new = found
             kinds.append(kind)
-            out += [text[at:m.start(which)], new]
-            at = pos = m.end(which)
+            out += [text[at:start], new]
+            at = pos = end
         return "".join(out) + text[at:]
 
 
