@@ -14,6 +14,8 @@ from .clustering import denoised, kmeans
 from .similarity import agreement, silhouette
 
 ROUNDS, FRACTION = 12, 0.8
+#: Seeded fits of k-means, of which the best counts: over all vectors, and in each round.
+RESTARTS, ROUND_RESTARTS = 10, 5
 
 
 def subsample(vectors: DataFrame, round_no: int, fraction: float = FRACTION) -> DataFrame:
@@ -50,7 +52,7 @@ def _pairs_by_common(counts: dict[int, int], rounds: int) -> np.ndarray:
     return np.bincount(bits, weights=np.round(g).ravel(), minlength=rounds + 1)
 
 
-def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42, restarts: int = 2) -> DataFrame:
+def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42, restarts: int = RESTARTS, round_restarts: int = ROUND_RESTARTS) -> DataFrame:
     """One row (stability, rounds): of pairs grouped together in the full fit, the mean share of rounds with both in which they meet again.
 
     No pair is listed: members are counted by group and by the set of rounds that drew them, at most k * k * rounds * 2^rounds
@@ -63,7 +65,7 @@ def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42,
     base = kmeans(denoised(vectors).select("id", "space").cache(), k, restarts, seed)[0].select("id", F.col("cluster").alias("base"))
     for r in range(rounds):
         sub = denoised(subsample(vectors, r)).select("id", "space").cache()
-        base = base.join(kmeans(sub, k, 1, seed + r)[0].select("id", F.col("cluster").alias(f"r{r}")), "id", "left")
+        base = base.join(kmeans(sub, k, round_restarts, seed + r)[0].select("id", F.col("cluster").alias(f"r{r}")), "id", "left")
     mask = reduce(lambda a, b: a + b, [F.when(F.col(f"r{r}").isNotNull(), 1 << r).otherwise(0) for r in range(rounds)])
     each = base.select("base", mask.alias("mask"), F.posexplode(F.array(F.lit(-1), *[f"r{r}" for r in range(rounds)])).alias("round", "cluster")).where("cluster is not null")
     groups: dict[tuple, dict[int, int]] = {}
@@ -82,7 +84,7 @@ def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42,
     return vectors.sparkSession.createDataFrame([(value, rounds)], "stability double, rounds int")
 
 
-def against_shuffled(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 2) -> DataFrame:
+def against_shuffled(vectors: DataFrame, k: int, seed: int = 42, restarts: int = RESTARTS) -> DataFrame:
     """One row: silhouette, shuffled_silhouette, beats_noise (by half)."""
 
     def score(v: DataFrame, name: str) -> DataFrame:

@@ -780,7 +780,7 @@ def cop_kmeans(spark, d):
 
 @query()
 def stability(spark, d):
-    return resampling.stability(vectors(spark, d), 5, rounds=4)
+    return resampling.stability(vectors(spark, d), 5)
 
 
 @query()
