@@ -70,14 +70,11 @@ def resolve_columns(df: DataFrame, overrides: dict[str, str] | None = None) -> d
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Separator and encoding, from the first bytes of the file."""
+    """Separator, from the first bytes of the file, and encoding, from all its lines: UTF-8 if every one is valid, else windows-1252."""
     head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES).alias("c")).first()["c"])
-    whole = len(head) < SNIFF_BYTES
-    try:
-        text = head.decode("utf-8-sig") if whole else head[: head.rfind(b"\n") + 1 or None].decode("utf-8-sig")
-        encoding = "UTF-8"
-    except UnicodeDecodeError:
-        text, encoding = head.decode("cp1252", "replace"), "windows-1252"
+    valid = spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+    encoding = "UTF-8" if valid else "windows-1252"
+    text = head.decode("utf-8-sig", "ignore") if valid else head.decode("cp1252", "replace")
     try:
         sep = csv.Sniffer().sniff(text.splitlines()[0] if text else ",", delimiters=",;\t|").delimiter
     except (csv.Error, IndexError):
