@@ -2,8 +2,13 @@
 
 A run is a table (h1, h2, n_docs, last): for each line key, as two 64-bit hashes, in how many documents it was
 found and the largest doc_id among them, sorted by key. Each batch adds a run at level 0; when a level holds
-``fanin`` runs they are merged into one run of the next level. A batch is cleaned by an anti-join of its lines
-against the runs. Only hashes travel: texts are shuffled once, to meet the keys that they lose.
+``fanin`` runs they are merged into one run of the next level. Only hashes travel: texts are shuffled once, to meet
+the keys that they lose.
+
+op5_line_dedup and the pipeline make no anti-join: all batches' counts are merged into one run, and entries meet the
+common keys by an inner join. Their rule needs the whole corpus: a key goes only if min_docs documents hold it, and
+stays in the largest id, so that neither is known while batches still come. LineRuns.dedup_batch, where a batch loses
+what an earlier one holds, is for feeds of batches; no query calls it.
 """
 
 from __future__ import annotations
