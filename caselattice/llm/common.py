@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +20,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one of our own only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir. Where none is set: a folder of our own in local mode (tests), on a cluster an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where and sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc._jsc.sc().getCheckpointDir().get()
     if not where:
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="caselattice-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
@@ -37,13 +39,28 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def one_use(spark: SparkSession) -> Iterator[None]:
+    """Plans begun inside leave no shuffle files behind: Spark removes them as each ends."""
+    old = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, old)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: short lineage that outlives any executor."""
     path, schema = table_path(df.sparkSession, name), df.schema
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with one_use(df.sparkSession):
+        writer = df.write
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
     back = df.sparkSession.read.schema(schema).parquet(path)
     back._table_path = path
     return back
@@ -57,16 +74,6 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished plans; without it they stay until the driver's heap fills.
-
-    Twice: the first collection frees the plans, whose exchanges the second one finds. Files go in the background."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.1)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is. Pure ASCII texts take the short way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

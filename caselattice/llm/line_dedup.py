@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, WHITE, ascii_lower, documents, dropped, release, written
+from .common import UPPER, WHITE, ascii_lower, documents, dropped, written
 
 KEY = ["h1", "h2"]
 
@@ -111,7 +111,6 @@ def lost_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_d
     lost = entries.join(common.hint("merge"), KEY).where(F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("last"))))
     lost = written(lost.groupBy("d_id", "d_null").agg(F.collect_set("h1").alias("lost")), "lost")
     dropped(entries, *runs.all())
-    release(docs.sparkSession)
     return lost
 
 

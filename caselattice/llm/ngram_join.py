@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, release, written
+from .common import documents, dropped, written
 from .quality_rules import pieces, split_words
 
 SLACK, STEP, PARTS, BLOCK = 1, 1.5, 4, 2048
@@ -420,28 +420,21 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", width: int = 4,
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     all_rows = written(shared(signature_rows(docs, "text", width, percent)), "shared")
-    release(spark)
     sets = all_rows.where("n is not null").select("doc_id", "n", "set_id")
     rows = all_rows.where("n is null").select("sig", "set_id", "leader")
     reps = sets.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     wanted = rows.select("set_id").distinct().join(reps.hint("merge"), "set_id").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left_semi")
     grams = written(gram_table(texts, "text", width), "grams")
-    release(spark)
     first = rows.where("leader <> set_id").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
     pairs = written(possible(first, grams, percent), "pairs")
-    release(spark)
     links = written(verified(pairs, grams, percent), "linked")
-    release(spark)
     roots, open_rows = components(links), rows
     for best in (True, False):
         open_rows = written(in_components(open_rows, roots), "open")
-        release(spark)
         pairs = written(between_components(open_rows, grams, percent, best), "pairs")
-        release(spark)
         more = written(verified(pairs, grams, percent), "linked")
         roots = components(roots.toDF("a", "b").unionByName(more))
-        release(spark)
     dropped(grams)
     of_set = reps.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     lowest = of_set.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -23,9 +23,11 @@ from .quality_rules import pieces
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: Bytes of each field type, and its struct code.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q")}
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 322, 323, 324, 325
-CLEAR, END = 256, 257
+CLEAR, END, FIRST, FULL = 256, 257, 258, 4094
+#: The largest page that is decoded, in bytes; a larger one is an error of its file (it would not fit a worker).
+MOST_BYTES = 1 << 28
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -45,9 +47,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """At least ``most`` bytes of what data holds, or all of it."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1:i + 2 + n]
@@ -59,81 +62,112 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_encode(data: bytes) -> bytes:
-    table, free, width = {bytes([i]): i for i in range(256)}, 258, 9
-    acc, bits, out = CLEAR, 9, bytearray()
+def code_widths(since: np.ndarray) -> np.ndarray:
+    """Bits of the codes at these places after the last clear code (the code after it is 0): one more as soon as the table needs it."""
+    free = since + FIRST
+    return 9 + (free >= 512) + (free >= 1024) + (free >= 2048)
 
-    def grow() -> None:
-        nonlocal free, width, acc, bits, table
-        free += 1
-        if free == 4094:
-            acc, bits = acc << 12 | CLEAR, bits + 12
-            table, free, width = {bytes([i]): i for i in range(256)}, 258, 9
-        elif free == 1 << width:
-            width += 1
-
-    w = b""
-    for k in range(len(data)):
-        wc = w + data[k:k + 1]
-        if wc in table:
-            w = wc
-            continue
-        acc, bits = acc << width | table[w], bits + width
-        table[wc] = free
-        grow()
-        w = data[k:k + 1]
-        if bits >= 4096:
-            rest = bits % 8
-            out += (acc >> rest).to_bytes(bits // 8, "big")
-            acc, bits = acc & ((1 << rest) - 1), rest
-    if w:
-        acc, bits = acc << width | table[w], bits + width
-        grow()
-    acc, bits = acc << width | END, bits + width
-    pad = -bits % 8
-    return bytes(out + (acc << pad).to_bytes((bits + pad) // 8, "big"))
-
-
-def lzw_decode(data: bytes) -> bytes:
-    start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, last, out = list(start), 9, None, []
-    acc = bits = 0
-    for byte in data:
-        acc, bits = (acc << 8 | byte) & 0xFFFFFFFF, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits & ((1 << width) - 1)
-        if code == CLEAR:
-            table, width, last = list(start), 9, None
+
+def lzw_encode(data: bytes) -> bytes:
+    codes: list[int] = [CLEAR]
+    add, table, free = codes.append, {}, FIRST
+    get, it = table.get, iter(data)
+    w = next(it, None)
+    for c in it:  # a known string is its code; a longer one is keyed by code and next byte
+        key = w << 8 | c
+        n = get(key)
+        if n is not None:
+            w = n
             continue
-        if code == END:
+        add(w)
+        table[key] = free
+        free += 1
+        w = c
+        if free == FULL:
+            add(CLEAR)
+            table.clear()
+            free = FIRST
+    if w is not None:
+        add(w)
+        if free + 1 == FULL:
+            add(CLEAR)
+    add(END)
+    found = np.array(codes, np.int64)
+    at = np.arange(len(found))
+    clears = np.maximum.accumulate(np.where(found == CLEAR, at, 0))
+    widths = code_widths(at - np.concatenate(([0], clears[:-1])) - 1)
+    place = np.arange(12)
+    bits = found[:, None] >> np.maximum(widths[:, None] - 1 - place, 0) & 1
+    return np.packbits(bits[place < widths[:, None]].astype(np.uint8)).tobytes()
+
+
+_START = [bytes([i]) for i in range(256)] + [b"", b""]
+_WIDTHS = code_widths(np.arange(FULL))
+_PLACES = np.concatenate(([0], np.cumsum(_WIDTHS)))
+
+
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """At least ``most`` bytes of what data holds, or all of it. Codes are cut out a table's length at a time."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
+    window, n_bits = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], 8 * len(data)
+    out: list[bytes] = []
+    table, last, pos, since, size = list(_START), None, 0, 0, 0
+    while pos < n_bits and size < most:
+        if since < FULL:
+            places, widths = _PLACES[since:-1] - _PLACES[since] + pos, _WIDTHS[since:]
+        else:  # a full table that was not cleared
+            places, widths = pos + 12 * np.arange(FULL), np.full(FULL, 12)
+        whole = int(np.searchsorted(places + widths, n_bits, side="right"))
+        if not whole:
             break
-        if last is None:
-            piece = table[code]
-        else:
-            piece = table[code] if code < len(table) else last + last[:1]
-            table.append(last + piece[:1])
-            if len(table) == (1 << width) - 1 and width < 12:
-                width += 1
-        out.append(piece)
-        last = piece
+        places, widths = places[:whole], widths[:whole]
+        codes = window[places >> 3] >> (24 - (places & 7) - widths) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(stops[0]) if len(stops) else whole
+        begin = len(out)
+        for code in codes[:n].tolist():
+            if last is None:
+                piece = _START[code]
+            else:
+                if code < len(table):
+                    piece = table[code]
+                elif code == len(table):
+                    piece = last + last[:1]
+                else:
+                    raise ValueError(f"code {code} in a table of {len(table)}")
+                if len(table) < 4096:
+                    table.append(last + piece[:1])
+            out.append(piece)
+            last = piece
+        size += sum(map(len, out[begin:]))
+        since += n
+        if len(stops):
+            if codes[n] == END:
+                break
+            table, last, since = list(_START), None, 0
+            n += 1
+        pos = int(places[n - 1] + widths[n - 1])
     return b"".join(out)
 
 
+def inflate(data: bytes, most: int = MOST_BYTES) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
 PACK = {NONE: lambda d: d, LZW: lzw_encode, DEFLATE: zlib.compress, PACKBITS: packbits_encode}
-UNPACK = {NONE: lambda d: d, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+UNPACK = {NONE: lambda d, most: d, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
 
 
-def encode(pages: list[np.ndarray], compression: int = DEFLATE, tile: int = 0, predictor: int = 1, strip_bytes: int = 1 << 16) -> bytes:
-    """A TIFF of 8-bit images (height, width, samples); strips of about strip_bytes, or tiles of tile x tile pixels (a multiple of 16)."""
+def encode(pages: list[np.ndarray], compression: int = DEFLATE, tile: int | tuple[int, int] = 0, predictor: int = 1, strip_bytes: int = 1 << 16) -> bytes:
+    """A TIFF of 8-bit images (height, width, samples); strips of about strip_bytes, or tiles of tile pixels (rows and columns, multiples of 16)."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    th, tw = tile if isinstance(tile, tuple) else (tile, tile)
     for image in pages:
         h, w, s = image.shape
-        rows = tile or max(1, strip_bytes // (w * s))
-        if tile:
-            padded = np.pad(image, ((0, -h % tile), (0, -w % tile), (0, 0)), mode="edge")
-            parts = [padded[y:y + tile, x:x + tile] for y in range(0, h, tile) for x in range(0, w, tile)]
+        rows = th or max(1, strip_bytes // (w * s))
+        if th:
+            padded = np.pad(image, ((0, -h % th), (0, -w % tw), (0, 0)), mode="edge")
+            parts = [padded[y:y + th, x:x + tw] for y in range(0, h, th) for x in range(0, w, tw)]
         else:
             parts = [image[y:y + rows] for y in range(0, h, rows)]
         offsets, sizes = [], []
@@ -146,7 +180,7 @@ def encode(pages: list[np.ndarray], compression: int = DEFLATE, tile: int = 0, p
             sizes.append(len(data))
             out += data + b"\0" * (len(data) % 2)
         fields = {WIDTH: (4, [w]), HEIGHT: (4, [h]), BITS: (3, [8] * s), COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [2 if s == 3 else 1]), SAMPLES: (3, [s]), PLANAR: (3, [1]), PREDICTOR: (3, [predictor])}
-        fields |= {TILE_WIDTH: (4, [tile]), TILE_HEIGHT: (4, [tile]), TILES: (4, offsets), TILE_BYTES: (4, sizes)} if tile else {STRIPS: (4, offsets), ROWS: (4, [rows]), STRIP_BYTES: (4, sizes)}
+        fields |= {TILE_WIDTH: (4, [tw]), TILE_HEIGHT: (4, [th]), TILES: (4, offsets), TILE_BYTES: (4, sizes)} if th else {STRIPS: (4, offsets), ROWS: (4, [rows]), STRIP_BYTES: (4, sizes)}
         entries = b""
         for tag, (kind, values) in sorted(fields.items()):
             data = struct.pack(f"<{len(values)}{TYPES[kind][1]}", *values)
@@ -162,7 +196,7 @@ def encode(pages: list[np.ndarray], compression: int = DEFLATE, tile: int = 0, p
 
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """Byte order and fields of each image directory, classic or of 64-bit offsets."""
+    """Byte order and fields of each image directory, classic or of 64-bit offsets. Fields that reach beyond the file are an error."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     version = struct.unpack_from(order + "H", data, 2)[0]
     if version not in (42, 43):
@@ -173,6 +207,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         seen.add(at)
         n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
         at += 8 if big else 2
+        if n * (20 if big else 12) > len(data) - at:
+            raise ValueError(f"a directory of {n} fields reaches beyond the file")
         fields = {}
         for _ in range(n):
             tag, kind = struct.unpack_from(order + "HH", data, at)
@@ -181,6 +217,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             size, code = TYPES.get(kind, (1, "B"))
             if size * count > inline:
                 where = struct.unpack_from(order + ("Q" if big else "I"), data, where)[0]
+            if where + size * count > len(data):
+                raise ValueError(f"field {tag} reaches beyond the file")
             if kind != 2:
                 fields[tag] = struct.unpack_from(f"{order}{count}{code}" if len(code) == 1 else order + code * count, data, where)
             at += 20 if big else 12
@@ -188,35 +226,75 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = struct.unpack_from(order + ("Q" if big else "I"), data, at)[0]
 
 
-def decode(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
-    """Fields and image (height, width, samples) of each page."""
-    for _, f in directories(data):
-        one = lambda tag, default=None, f=f: f.get(tag, (default,))[0]
-        w, h, s = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        if set(f.get(BITS, (1,))) != {8}:
-            raise ValueError(f"{f.get(BITS, (1,))} bits a sample; 8 are supported")
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def _samples(raw: bytes, rows: int, across: int, deep: int, bits: int, order: str, predictor: int) -> np.ndarray:
+    """A strip's or tile's samples (rows, across, deep). Rows of samples under a byte end at a byte."""
+    row_bytes = -(-across * deep * bits // 8)
+    if len(raw) < rows * row_bytes:
+        raise ValueError(f"{len(raw)} bytes where {rows * row_bytes} are needed")
+    flat = np.frombuffer(raw, np.uint8, rows * row_bytes).reshape(rows, row_bytes)
+    if bits == 16:
+        part = flat.view(order + "u2").astype(np.uint16).reshape(rows, across, deep)
+    elif bits == 8:
+        part = flat.reshape(rows, across, deep)
+    else:
+        part = np.unpackbits(flat, axis=1)
+        if bits > 1:
+            part = np.packbits(part.reshape(rows, -1, bits), axis=2)[:, :, 0] >> (8 - bits)
+        part = part[:, : across * deep].reshape(rows, across, deep)
+    return np.cumsum(part, axis=1, dtype=part.dtype) if predictor == 2 else part
+
+
+def decode(data: bytes, most_bytes: int = MOST_BYTES) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
+    """Fields and image (height, width, samples) of each page: of bytes, or of 16-bit numbers where samples have 16 bits.
+
+    Samples of 1, 2, 4, 8 or 16 bits. A page of more than most_bytes, without extent, with missing or short strips, or
+    with a coding or predictor that isn't known is an error.
+    """
+    for order, f in directories(data):
+        one = lambda tag, default=None, f=f: (f.get(tag) or (default,))[0]
+        w, h, s, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PREDICTOR, 1)
+        depths = set(f.get(BITS, (1,)))
+        bits = next(iter(depths), 0)
+        if len(depths) != 1 or bits not in (1, 2, 4, 8, 16):
+            raise ValueError(f"{f.get(BITS)} bits a sample; 1, 2, 4, 8 and 16 are supported")
+        if predictor not in (1, 2) or predictor == 2 and bits < 8:
+            raise ValueError(f"predictor {predictor} at {bits} bits is not supported")
         undo = UNPACK.get(one(COMPRESSION, 1))
         if undo is None:
             raise ValueError(f"compression {one(COMPRESSION)} is not supported")
         planes = s if one(PLANAR, 1) == 2 else 1
-        deep = s // planes
-        tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if TILES in f else (w, min(one(ROWS, h), h))
-        offsets, sizes = (f[TILES], f[TILE_BYTES]) if TILES in f else (f[STRIPS], f[STRIP_BYTES])
-        image = np.zeros((h, w, s), np.uint8)
+        tiled = TILES in f
+        tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(one(ROWS, h), h))
+        if min(w, h, s, tw, th) < 1:
+            raise ValueError(f"no extent: {w} x {h} pixels of {s} samples, {tw} x {th} a part")
+        wide = 2 if bits == 16 else 1
         across, down = -(-w // tw), -(-h // th)
-        for k, (at, size) in enumerate(zip(offsets, sizes)):
+        if w * h * s * wide > most_bytes or across * tw * th * s * wide > most_bytes:
+            raise ValueError(f"{w} x {h} pixels of {s} samples are more than {most_bytes} bytes")
+        deep = s // planes
+        offsets, sizes = (f[TILES], f[TILE_BYTES]) if tiled else (f[STRIPS], f[STRIP_BYTES])
+        if min(len(offsets), len(sizes)) < planes * across * down:
+            raise ValueError(f"{len(offsets)} parts where {planes * across * down} are needed")
+        image = np.zeros((h, w, s), np.uint16 if bits == 16 else np.uint8)
+        for k, (at, size) in enumerate(zip(offsets[: planes * across * down], sizes)):
             plane, rest = divmod(k, across * down)
             y, x = rest // across * th, rest % across * tw
-            rows = th if TILES in f else min(th, h - y)
-            part = np.frombuffer(undo(data[at:at + size]), np.uint8)[: rows * tw * deep].reshape(rows, tw, deep)
-            if one(PREDICTOR, 1) == 2:
-                part = np.cumsum(part, axis=1, dtype=np.uint8)
-            image[y:y + rows, x:x + tw, plane * deep:(plane + 1) * deep] = part[: h - y, : w - x]
+            rows = th if tiled else min(th, h - y)
+            raw = data[at:at + size]
+            if one(FILL_ORDER, 1) == 2:
+                raw = raw.translate(_REVERSED)
+            raw = undo(raw, rows * -(-tw * deep * bits // 8))
+            image[y:y + rows, x:x + tw, plane * deep:(plane + 1) * deep] = _samples(raw, rows, tw, deep, bits, order, predictor)[: h - y, : w - x]
         yield f, image
 
 
 def features(image: np.ndarray) -> str:
-    """Size, mean and deviation of each sample, entropy, and an 8 x 8 average hash of brightness."""
+    """Size, mean and deviation of each sample, entropy, and an 8 x 8 average hash of brightness. 16-bit samples count by their high bytes."""
+    if image.dtype == np.uint16:
+        image = (image >> 8).astype(np.uint8)
     h, w, s = image.shape
     flat = image.reshape(-1, s).astype(np.float32)
     counts = np.bincount(image.ravel(), minlength=256)
@@ -231,61 +309,81 @@ def features(image: np.ndarray) -> str:
 
 
 PAGE = "page int, width int, height int, samples int, compression int, pixels binary, feature string, error string"
+#: Pixels that are held before rows are passed on.
+HELD_BYTES = 4 << 20
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     """One row a page: the columns of df, then page (from 0), width, height, samples, compression, pixels, feature and error.
 
-    A null or empty file gives one row with page null and no error; a damaged or unsupported file the pages before the
-    damage, then one row with page null and the error. Rows are independent, so repeated ones give equal pages. An
+    pixels: rows from the top, samples side by side, a byte each, or two (little-endian) of 16 bits. A null or empty file
+    gives one row with page null and no error; a damaged or unsupported file the pages before the damage, then one row
+    with page null and the error, whatever is wrong with it. Pages are passed on as they are decoded, so that a file of
+    any number of pages needs the memory of a few. Rows are independent, so repeated ones give equal pages. An
     empty table gives an empty result. Columns of df with a page column's name are left out.
     """
     names = [c.split()[0] for c in PAGE.split(", ")]
     df = df.drop(*names)
     cols = df.columns
+    types = [pa.int32()] * 5 + [pa.binary(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, media_col):
-                row, found = [], []
-                for i, data in enumerate(b[media_col].to_pylist()):
-                    k = 0
-                    try:
-                        for k, (f, image) in enumerate(decode(data) if data else (), 1):
+                row, found, held = [], [], 0
+
+                def batch(b=b) -> pa.RecordBatch:
+                    page = [pa.array([x[j] for x in found], t) for j, t in enumerate(types)]
+                    return pa.RecordBatch.from_arrays([*b.take(pa.array(row, pa.int64())).columns, *page], names=[*cols, *names])
+
+                for i in range(b.num_rows):
+                    data, k, bad = b[media_col][i].as_py(), 0, None
+                    images = decode(data) if data else iter(())
+                    while True:
+                        try:
+                            f, image = next(images)
                             h, w, s = image.shape
-                            row.append(i)
-                            found.append((k - 1, w, h, s, int(f.get(COMPRESSION, (1,))[0]), image.tobytes(), features(image), None))
-                        bad = None
-                    except (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError) as e:
-                        bad = f"{type(e).__name__}: {e}"[:200]
+                            pixels = image.astype("<u2").tobytes() if image.dtype == np.uint16 else image.tobytes()
+                            new = (k, w, h, s, int(f.get(COMPRESSION, (1,))[0]), pixels, features(image), None)
+                        except StopIteration:
+                            break
+                        except Exception as e:  # one file's fault is a row, never the job's
+                            bad = f"{type(e).__name__}: {e}"[:200]
+                            break
+                        row.append(i)
+                        found.append(new)
+                        k, held = k + 1, held + len(pixels)
+                        if held > HELD_BYTES:
+                            yield batch()
+                            row, found, held = [], [], 0
                     if bad or not k:
                         row.append(i)
                         found.append((None,) * 7 + (bad,))
-                page = [pa.array([x[j] for x in found], t) for j, t in enumerate([pa.int32()] * 5 + [pa.binary(), pa.string(), pa.string()])]
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(row, pa.int64())).columns, *page], names=[*cols, *names])
+                if row:
+                    yield batch()
 
     schema = df.select(*cols, *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in PAGE.split(", ")]).schema
     return df.mapInArrow(run, schema)
 
 
-SMALL = 2048
-
-
 def text_image(text: str | None) -> bytes:
     """A text's bytes, padded with spaces to a positive multiple of 192, as rows of 64 pixels of 3 samples in a TIFF.
 
-    Small ones take each compression in turn by their checksum; larger ones deflate, in strips or tiles, with the
-    predictor or without.
+    The checksum of these bytes decides, at every size alike, between the four codings, between strips and tiles, and
+    whether the predictor is used. A null text counts as empty.
     """
     data = (text or "").encode()
     data += b" " * (-len(data) % 192 if data else 192)
     image, dice = np.frombuffer(data, np.uint8).reshape(-1, 64, 3), crc32(data)
-    kind = (NONE, PACKBITS, LZW, DEFLATE)[dice % 4] if len(data) <= SMALL else DEFLATE
-    return encode([image], kind, tile=64 * (dice >> 2 & 1), predictor=1 + (dice >> 3 & 1))
+    return encode([image], (NONE, PACKBITS, LZW, DEFLATE)[dice % 4], tile=(16, 64) if dice >> 2 & 1 else 0, predictor=1 + (dice >> 3 & 1))
 
 
 def with_images(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``media`` (its text_image, replacing a column of that name) in place of the text."""
+    """docs with ``media`` (its text_image, replacing a column of that name) in place of the text.
+
+    Null and empty texts are an image of spaces, texts of any length are taken whole, repeated rows give equal images and an
+    empty table an empty one.
+    """
     docs = docs.drop("media")
     keep = [c for c in docs.columns if c != text_col]
 
