@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words, as characters and as a pattern of words.
@@ -96,5 +96,55 @@ def content_hash(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[df[c] for c, t in df.dtypes if "map<" not in t])
 
 
+#: Rows that a join may send to every task at once, after a count.
+MOST_BROADCAST = 100_000
+
+
+def few(rows: DataFrame) -> bool:
+    """Whether rows may be broadcast."""
+    return rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def met(rows: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:
+    """rows joined with a side: broadcast where it is counted small, else merged, where Spark splits large keys."""
+    return rows.join(F.broadcast(side) if few(side) else side.hint("merge"), on, how)
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """df with ``rid``, a number of each row that must be written before it is used."""
+    return df.withColumn("rid", F.monotonically_increasing_id())
+
+
+def told_apart(base: DataFrame, often: int = 1000) -> DataFrame:
+    """base with other ``dice`` for rows that share theirs with more than ``often`` others (rows equal in every column).
+
+    base is a written table with ``dice`` and ``rid`` of numbered_rows(). Of such rows each gets its own number among them, from
+    counts by input task, and the dice of both: the same set of dice however the input is laid out, and no task ever
+    holds more of them than one input task did.
+    """
+    hot = written(base.groupBy("dice").agg(F.count("*").alias("n")).where(F.col("n") > often).select("dice"), "repeated")
+    if hot.isEmpty():
+        return base
+    part = F.shiftright("rid", 33)
+    rows = met(base, hot, "dice", "left_semi").withColumn("__part", part)
+    sizes = rows.groupBy("dice", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("dice").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("dice", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("dice", "__part").orderBy("rid"))
+    own = rows.withColumn("__i", place).join(starts, ["dice", "__part"])
+    own = own.withColumn("dice", F.xxhash64("dice", F.col("__start") + F.col("__i"))).select(*base.columns)
+    return met(base, hot, "dice", "left_anti").select(*base.columns).unionByName(own)
+
+
+def starts_of(counts: DataFrame, key: str, group: int = 4096) -> DataFrame:
+    """(key, start): the sum of ``n`` over all smaller keys (0, 1, ...). One row a group of keys meets in one task."""
+    at = counts.withColumn("__g", F.floor(F.col(key) / group))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy("__g").agg(F.sum("n").alias("__n"))
+    sums = sums.select("__g", F.coalesce(F.sum("__n").over(before(Window.orderBy("__g"))), F.lit(0)).alias("__s"))
+    inner = F.coalesce(F.sum("n").over(before(Window.partitionBy("__g").orderBy(key))), F.lit(0))
+    return at.withColumn("__i", inner).join(sums, "__g").select(key, (F.col("__s") + F.col("__i")).alias("start"))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

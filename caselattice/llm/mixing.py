@@ -10,36 +10,46 @@ one fraction; leaves are combined by a tree of the same step, ``FANIN`` at a tim
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_hash, documents, n_words, unit_hash, written
+from .common import content_hash, documents, met, n_words, numbered_rows, told_apart, unit_hash, written
 
 WEIGHTS = (5, 2, 1)
-LEAF, FANIN = 20_000, 4_096
+LEAF, FANIN = 2_000, 4_096
 EDGE = 1e-12
 
 
-def source_targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = 3) -> dict[str | None, Fraction]:
-    """Targets by source. Sources by code point, null last, weigh ``weights`` in turn; none gets more than ``most`` times its size,
-    and what is over is shared again by weight among the others."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weigh = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = Fraction(sum(sizes.values())), set(order), {}
-    while open_:
-        total = sum(weigh[s] for s in open_)
-        full = {s for s in open_ if left * weigh[s] / total >= most * sizes[s]}
-        if not full:
-            return out | {s: left * weigh[s] / total for s in open_}
-        for s in full:
-            out[s] = Fraction(most * sizes[s])
-            left -= out[s]
-        open_ -= full
-    return out
+def with_targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
+    """sizes (source, size, n), one row a source, with ``num`` and ``den``: the target num / den of each source, exact.
+
+    Sources by code point, null last, weigh ``weights`` in turn; none gets more than ``most`` times its size, and what is
+    over is shared again by weight among the others. Two sums a round of sharing reach the driver, whatever the number
+    of sources; sources get their turn from a sort and one count a partition.
+    """
+    ranked = written(numbered_rows(sizes.orderBy(F.col("source").asc_nulls_last())), "sources").withColumn("part", F.shiftright("rid", 33))
+    starts, total = [], 0
+    for r in ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts += [total] * (r["part"] + 1 - len(starts))
+        total += r["n"]
+    place = F.get(F.lit(starts or [0]), F.col("part")) + F.col("rid").bitwiseAND((1 << 33) - 1)
+    weight = F.get(F.lit(list(weights)), F.pmod(place, F.lit(len(weights))).cast("int"))
+    rows = ranked.select("source", "size", "n", weight.cast("decimal(20,0)").alias("weight"), F.col("size").cast("decimal(20,0)").alias("whole"), F.lit(False).alias("full"))
+    left = int(rows.agg(F.sum("whole")).first()[0] or 0)
+    while True:
+        open_ = rows.where(~F.col("full")).agg(F.sum("weight").alias("w")).first()["w"]
+        share = F.lit(left).cast("decimal(20,0)") * F.col("weight")
+        over = ~F.col("full") & (share >= F.lit(int(open_ or 1)).cast("decimal(18,0)") * (most * F.col("whole")))
+        gone = rows.where(over).agg(F.sum(most * F.col("whole")).alias("s"), F.count("*").alias("n")).first()
+        if not gone["n"]:
+            break
+        rows = written(rows.withColumn("full", F.col("full") | over), "sources")
+        left -= int(gone["s"])
+    num = F.when(F.col("full"), (most * F.col("whole"))).otherwise(share)
+    return rows.select("source", "size", "n", num.cast("decimal(38,0)").alias("num"), F.when(F.col("full"), F.lit(1)).otherwise(F.lit(int(open_ or 1))).cast("long").alias("den"))
 
 
 def pivot(p: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
@@ -101,19 +111,22 @@ def rounded(rows: DataFrame, seed: int) -> DataFrame:
 def _planned(docs: DataFrame, carry: list[str], text_col: str, source_col: str, seed: int, most: int) -> DataFrame:
     """(rec, size, source_size, target, copies) of each row; see mix_plan()."""
     base = docs.select(F.struct(*carry).alias("rec"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), content_hash(docs, seed).alias("dice"))
-    base = written(base.withColumn("rid", F.monotonically_increasing_id()), "mix")
-    stats = {r["source"]: (r["size"], r["n"]) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    target = source_targets({s: v[0] for s, v in stats.items()}, most=most)
-    plan = []
-    for s, (size, n) in stats.items():
-        rate = target[s] / size if size else Fraction(0)
-        plan.append((s, size, float(target[s]), int(rate), float(rate - int(rate)), max(1, -(-n // LEAF))))
-    plan_df = docs.sparkSession.createDataFrame(plan, "p_source string, source_size long, target double, whole long, p double, n_leaves long")
-    met = base.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    some = met.where((F.col("p") > 0) & (F.col("size") > 0))
+    base = written(numbered_rows(base), "mix")
+    targets = with_targets(base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), most=most)
+    some = F.col("size") > 0
+    whole = F.when(some, F.expr("num div (cast(den as decimal(18,0)) * cast(size as decimal(18,0)))")).otherwise(0).cast("long")
+    plan = targets.withColumn("whole", whole).select(
+        F.col("source").alias("p_source"), F.col("size").alias("source_size"), (F.col("num").cast("double") / F.col("den")).alias("target"), "whole",
+        F.when(some, (F.col("num").cast("double") - F.col("whole").cast("double") * F.col("den") * F.col("size")) / (F.col("den") * F.col("size")).cast("double")).otherwise(0.0).alias("p"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)).cast("long").alias("n_leaves"),
+    )
+    plan = written(plan, "plan")
+    small = base.select("source", "size", "dice", "rid")
+    each = met(small, plan, F.col("source").eqNullSafe(F.col("p_source")), "left").where((F.col("p") > 0) & (F.col("size") > 0))
+    each = told_apart(each.select("source", "size", "dice", "rid", "p", "n_leaves"))
     leaf = F.pmod(F.xxhash64(F.lit(seed), F.col("dice")), F.col("n_leaves"))
-    takes = rounded(some.select("source", leaf.alias("leaf"), "rid", "dice", F.col("size").alias("w"), "p"), seed)
-    out = met.join(takes, "rid", "left")
+    takes = rounded(each.select("source", leaf.alias("leaf"), "rid", "dice", F.col("size").alias("w"), "p"), seed)
+    out = met(base, plan, F.col("source").eqNullSafe(F.col("p_source")), "left").join(takes.hint("merge"), "rid", "left")
     return out.select("rec", "size", "source_size", "target", (F.col("whole") + F.coalesce("take", F.lit(0))).alias("copies"))
 
 
@@ -122,8 +135,8 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
 
     carry: the columns to pass on (all). Null and repeated ids are no matter; null sources are one source; texts
     without words, or null, have size 0 and are taken as often as their source's whole part. A hot source is cut into
-    leaves like any other, by a hash of all columns; rows equal in every column share a leaf. The sizes of all sources,
-    one row each, are gathered on the driver: the mix's weights are a setting with an entry for every source. Reruns
+    leaves like any other, by a hash of all columns, with many rows equal in every column told apart. Sources may be any
+    number: their targets are found by rounds of sums, and sent to all tasks only if counted few. Reruns
     agree, however the input is laid out in files. An empty table gives an empty result. Added columns replace columns
     of the same names.
     """
@@ -133,7 +146,10 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
 
 
 def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = 23, most: int = 3) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs.
+
+    Nulls, texts without words, hot sources, repeated rows and empty tables as in mix_plan(); no column is added, so none clashes.
+    """
     plan = _planned(docs, docs.columns, text_col, source_col, seed, most).where("copies > 0")
     each = plan.select("rec", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return each.select(*[F.col(f"rec.`{c}`").alias(c) for c in docs.columns])

@@ -2,12 +2,15 @@
 
 Validated values (card numbers, IBANs, social security and phone numbers, IP addresses, dates, mail addresses, secret
 tokens) are found in whole texts and replaced by a keyed permutation within their own format: check digits stay right,
-separators stay in place, and equal values get equal pseudonyms in every document. No value is its own pseudonym.
+separators stay in place, and equal values get equal pseudonyms in every document, however they are written: what is
+permuted is the value itself (a mail address without its letters' case, a phone number with its calling code, the 128
+bits of an IPv6 address, the day of a date). No value is its own pseudonym.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -63,8 +66,20 @@ ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 
 
+#: Longer values are permuted in blocks of half of it and more: numbers stay within the dice's bits, and time in proportion to the length.
+BLOCK = 64
+
+
 def permuted_text(value: str, alphabets: list[str], fp: Feistel, tweak: str) -> str:
-    """Each character stays in its alphabet; the string of all of them is permuted as one number."""
+    """Each character stays in its alphabet; the string of all of them is permuted as one number, a long one block by block,
+    each after the pseudonyms of those before it."""
+    if len(value) > 2 * BLOCK:
+        n, out = len(value) // BLOCK, ""
+        for k in range(n):
+            part = value[k * len(value) // n:(k + 1) * len(value) // n]
+            before = blake2b(out[-2 * BLOCK:].encode(), digest_size=8).hexdigest() if k else ""
+            out += permuted_text(part, alphabets, fp, f"{tweak}/{k}/{before}/")
+        return out
     where = [next((a for a in alphabets if c in a), None) for c in value]
     x, n = 0, 1
     for c, a in zip(value, where):
@@ -161,13 +176,19 @@ def ssn(value: str, fp: Feistel) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: Calling codes of one and two digits; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def phone(value: str, fp: Feistel) -> str | None:
+    """The calling code stays. Ten digits without one are of code 1, so that they are linked with the same number after +1."""
     digits = re.sub(r"\D", "", value)
     if not 10 <= len(digits) <= 15:
         return None
-    m = re.match(r"\+(\d{1,3})(?=\D)", value)
-    code = m[1] if m else ""
-    return relaid(value, code + permuted_text(digits[len(code):], ALPHABETS, fp, "phone" + code))
+    code = ""
+    if value.startswith("+"):
+        code = next((c for c in SHORT_CODES if digits.startswith(c)), digits[:3])
+    return relaid(value, code + permuted_text(digits[len(code):], ALPHABETS, fp, "phone" + (code or "1")))
 
 
 def ip(value: str, fp: Feistel) -> str | None:
@@ -178,11 +199,27 @@ def ip(value: str, fp: Feistel) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def ip6(value: str, fp: Feistel) -> str:
-    return permuted_text(value.lower(), [HEX[0]], fp, "ip6")
+def ip6(value: str, fp: Feistel) -> str | None:
+    """The address's 128 bits are permuted; written in full, with or without leading zeros, or shortened, as the original is."""
+    if not any(c.isdigit() for c in value):
+        return None
+    try:
+        x = int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+    new = ipaddress.IPv6Address(fp.permute(x, 1 << 128, "ip6"))
+    if "::" in value:
+        out = str(new)
+    elif len(value) == 39:
+        out = new.exploded
+    else:
+        out = ":".join(f"{int(g, 16):x}" for g in new.exploded.split(":"))
+    return out.upper() if re.search("[A-F]", value) else out
 
 
-FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: First and last year of each range within which dates are permuted.
+YEARS = [(1, 999), (1000, 1899), (1900, 2099), (2100, 9999)]
+DAYS = [(dt.date(a, 1, 1).toordinal(), dt.date(b, 12, 31).toordinal()) for a, b in YEARS]
 
 
 def _shifted(year: int, month: int, day: int, fp: Feistel) -> dt.date | None:
@@ -190,15 +227,14 @@ def _shifted(year: int, month: int, day: int, fp: Feistel) -> dt.date | None:
         x = dt.date(year, month, day).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= x <= LAST_DAY:
-        return None
-    return dt.date.fromordinal(FIRST_DAY + fp.permute(x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+    first, last = next(r for r in DAYS if r[0] <= x <= r[1])
+    return dt.date.fromordinal(first + fp.permute(x - first, last - first + 1, "date"))
 
 
 def iso_date(value: str, fp: Feistel) -> str | None:
     sep = value[4]
     new = _shifted(int(value[:4]), int(value[5:7]), int(value[8:]), fp)
-    return new and new.strftime(f"%Y{sep}%m{sep}%d")
+    return new and f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
 
 
 def day_date(value: str, fp: Feistel) -> str | None:
@@ -212,16 +248,51 @@ def day_date(value: str, fp: Feistel) -> str | None:
     if new is None:
         return None
     first, second = (new.month, new.day) if swap else (new.day, new.month)
-    return f"{first:02d}{sep}{second:02d}{sep}{new.year}" if pad else f"{first}{sep}{second}{sep}{new.year}"
+    return f"{first:02d}{sep}{second:02d}{sep}{new.year:04d}" if pad else f"{first}{sep}{second}{sep}{new.year:04d}"
+
+
+#: Months by name.
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "en short": "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+MONTH = "(?i:" + "|".join(sorted({m for ms in MONTHS.values() for m in ms}, key=lambda m: (-len(m), m))) + ")"
+ORDINAL = {1: "st", 2: "nd", 3: "rd", 21: "st", 22: "nd", 23: "rd", 31: "st"}
+
+
+def named_date(value: str, fp: Feistel) -> str | None:
+    """A day, a month's name and a year, in either order; the name stays in its language and case, an English ordinal follows the day."""
+    m = re.search(r"(?<!\d)\d{1,2}(?!\d)", value)
+    name = re.search(MONTH, value)[0]
+    language = next(k for k, ms in MONTHS.items() if name.lower() in ms)
+    new = _shifted(int(value[-4:]), MONTHS[language].index(name.lower()) + 1, int(m[0]), fp)
+    if new is None:
+        return None
+    month = MONTHS[language][new.month - 1]
+    month = month.upper() if name.isupper() else month.capitalize() if name[0].isupper() else month
+    day = f"{new.day:02d}" if m[0][0] == "0" else str(new.day)
+    parts = re.split(f"({re.escape(name)}|{m[0]}(?:st|nd|rd|th)?)", value[:-4], maxsplit=2)
+    for i in (1, 3):
+        parts[i] = month if parts[i] == name else day + (ORDINAL.get(new.day, "th") if parts[i] != m[0] else "")
+    return "".join(parts) + f"{new.year:04d}"
+
+
+def recased(original: str, new: str) -> str:
+    """new with capitals where original has them."""
+    return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
 
 
 def mail(value: str, fp: Feistel) -> str | None:
-    """The local part is permuted; a part without letters or digits has no pseudonym, so its domain's first label is permuted instead."""
+    """The local part is permuted, its letters' case apart; one without letters or digits has no pseudonym, so its domain's first label is
+    permuted instead."""
     local, domain = value.rsplit("@", 1)
-    new = permuted_text(local, ALPHABETS, fp, "mail")
+    new = recased(local, permuted_text(local.lower(), ALPHABETS, fp, "mail")) if len(local.lower()) == len(local) else local
     if new == local:
         label, dot, rest = domain.partition(".")
-        return f"{local}@{permuted_text(label, ALPHABETS, fp, 'host')}{dot}{rest}"
+        return f"{local}@{recased(label, permuted_text(label.lower(), ALPHABETS, fp, 'host'))}{dot}{rest}"
     return f"{new}@{domain}"
 
 
@@ -234,15 +305,29 @@ def secret(value: str, fp: Feistel) -> str | None:
     return permuted_text(value, ALPHABETS, fp, "secret") if re.search(r"\d", value) else None
 
 
+#: Beginnings by which issued keys are known, and what follows them.
+KEY_FORMS = {
+    "AKIA": "[0-9A-Z]{16}", "ASIA": "[0-9A-Z]{16}", "AIza": r"[0-9A-Za-z_\-]{35}", "ghp_": "[0-9A-Za-z]{36,}", "gho_": "[0-9A-Za-z]{36,}", "ghu_": "[0-9A-Za-z]{36,}",
+    "ghs_": "[0-9A-Za-z]{36,}", "glpat-": r"[0-9A-Za-z_\-]{20,}", "sk_live_": "[0-9A-Za-z]{16,}", "xoxb-": r"[0-9A-Za-z\-]{20,}", "xoxp-": r"[0-9A-Za-z\-]{20,}",
+}
+
+
+def issued_key(value: str, fp: Feistel) -> str | None:
+    head = next(h for h in KEY_FORMS if value.startswith(h))
+    return head + permuted_text(value[len(head):], ALPHABETS, fp, "secret")
+
+
 #: Kind, pattern (its group "v" is the value, if it has one) and pseudonym; earlier kinds win.
 KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
     ("mail", r"[\w.%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", mail),
-    ("secret", r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<v>[A-Za-z0-9_\-]{16,128})(?![A-Za-z0-9_\-])", secret),
+    ("secret", r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<v>[A-Za-z0-9_\-]{16,})", secret),
+    ("issued_key", r"(?<![A-Za-z0-9])(?:" + "|".join(h + rest for h, rest in KEY_FORMS.items()) + r")(?![A-Za-z0-9])", issued_key),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ip),
-    ("ip6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", ip6),
+    ("ip6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)(?![\w:])", ip6),
     ("iso_date", r"(?<![\w\-/.])\d{4}([\-/.])(?:0[1-9]|1[0-2])\1\d{2}(?![\w\-/]|\.\d)", iso_date),
     ("day_date", r"(?<![\w\-/.])\d{1,2}([\-/.])\d{1,2}\1\d{4}(?![\w\-/]|\.\d)", day_date),
+    ("named_date", rf"(?<![\w\-/.])(?:\d{{1,2}}(?:st|nd|rd|th|\.)?[ ](?:de[ ])?{MONTH}(?![^\W\d_])\.?,?[ ](?:de[ ])?\d{{4}}|{MONTH}(?![^\W\d_])\.?[ ]\d{{1,2}}(?:st|nd|rd|th)?,?[ ]\d{{4}})(?!\w)", named_date),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", ssn),
     ("card", r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w])(?!-\d)", card),
     ("phone", r"(?<!\w)(?:\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)|(?=[ .\-]))(?:[ .\-]?\d{2,4}){2,4}|\+\d{10,15}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}([.\-])\d{3}\N\d{4})(?!\w)", phone),
@@ -267,6 +352,8 @@ PATTERN = _pattern()
 HOT = re.compile(r"[0-9@:=]")
 INSIDE = re.compile(r"[^\w+(]")
 MAKE = {name: f for name, _, f in KINDS}
+#: What stands before four numbers that are a version.
+VERSION = re.compile(r"(?i)\b(?:v|ver\.?|versions?|release|rev\.?|build)[ \t:=]*$")
 #: By kind, the later ones and their own patterns. Mail and secrets begin unlike any later kind that could be meant.
 AFTER = {name: [(k, re.compile(p.replace(r"\N", r"\1"))) for k, p, _ in KINDS[i + 1:] if name not in ("mail", "secret") and k != "secret"] for i, (name, _, _) in enumerate(KINDS)}
 
@@ -288,6 +375,8 @@ class Pseudonymiser:
 
     def _value(self, kind: str, m: re.Match, group: str | int) -> tuple[str, int, int, str] | None:
         """Kind, start, end and pseudonym of the first candidate in the match that validates."""
+        if kind == "ip" and VERSION.search(m.string, max(0, m.start() - 16), m.start()):
+            return None
         for value in shorter(kind, m[group]):
             new = self.of(kind, value)
             if new is not None and new != value:
@@ -319,7 +408,8 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFr
 
     Null texts stay null with no values; empty texts stay empty. Whole texts are searched, however long. Rows are
     independent: ties and repeated rows give equal results, an empty table an empty one. Added columns replace columns
-    of the same names. Domains of mail addresses, calling codes and countries of IBANs are kept.
+    of the same names. Domains of mail addresses, calling codes, countries of IBANs and beginnings of issued keys are kept.
+    Secrets have any length; dates lie in any year from 1 to 9999 and stay in their range of YEARS.
     """
     docs = docs.drop("n_values", "kinds")
     cols = docs.columns
