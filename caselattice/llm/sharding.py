@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_hash, documents, numbered_rows, starts_of, told_apart, written
+from .common import MOST_BROADCAST, content_hash, documents, numbered_rows, starts_of, told_apart, written
 
 #: A bucket is held about this many times while it is shuffled (rows, sorted rows, shuffled rows, in objects).
 TIMES_HELD = 12
@@ -54,6 +54,8 @@ def _shuffled(df: DataFrame, size: Column | None, seed: int, bucket_bytes: int |
         F.sort_array(F.collect_list(F.struct("dice", "rec_size", "rec"))).alias("recs")
     )
     mixed = dealt.select("bucket", F.expr(f"shuffle(recs, {seed})").alias("recs"))
+    # records stay where they are: few starts go to every task, many to their bucket's
+    starts = F.broadcast(starts) if n_buckets <= MOST_BROADCAST else starts.repartitionById(n_buckets, F.col("bucket"))
     out = mixed.join(starts, "bucket").select("start", F.posexplode("recs").alias("i", "r"))
     return out.select(F.col("r.rec").alias("rec"), F.col("r.rec_size").alias("rec_size"), (F.col("start") + F.col("i")).alias("pos")), sums["n"]
 
