@@ -43,14 +43,17 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def one_use(spark: SparkSession) -> Iterator[None]:
-    """Plans begun inside leave no shuffle files behind: Spark removes them as each ends."""
-    old = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+def one_use(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterator[None]:
+    """Plans begun inside leave no shuffle files behind: Spark removes them as each ends. settings: others that hold meanwhile."""
+    settings = {CLEAN_UP: "true"} | (settings or {})
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN_UP, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -7,7 +7,9 @@ differing element spoils one fragment. With D + 1 + SLACK fragments (fixed for a
 segments are equal, so equal non-empty segments give all candidates. Sets with more than SLACK empty segments
 could miss that way; they also meet by the first elements of their sets, enough of them that similar sets share one.
 
-Verification. A candidate pair's overlap is counted in each of PARTS coarse fragments separately, and summed per pair.
+Verification. Sets are stored cut at PARTS - 1 places of the global order, a row a fragment, and a pair meets its two sets one
+fragment at a time: each task has one fragment of either set and counts the overlap there, and an aggregate by pair sums
+the partial overlaps. No task ever holds both whole sets.
 
 Groups. Copies are one set from the start. Sets that share a segment are not paired with each other: each is paired with
 the group's first set, and linked sets are contracted to components. What then still lies in several components meets
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, written
+from .common import content_hash, documents, dropped, met, written
 from .quality_rules import pieces, split_words
 
 SLACK, STEP, PARTS, BLOCK = 1, 1.5, 4, 2048
@@ -235,8 +237,8 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def gram_table(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(set_id, n, sketch, parts): each set's elements by coarse fragment."""
-    inner_cuts = np.arange(1, PARTS, dtype=U) * U((1 << 64) // PARTS)
+    """(set_id, n, part, sketch, grams): a row for each set and coarse fragment of the order; the sketch is in the first one's."""
+    cuts = np.arange(1, PARTS, dtype=U) * U((1 << 64) // PARTS)
 
     def make(b, state):
         grams, n = gram_sets(b[text_col], width)
@@ -245,24 +247,35 @@ def gram_table(docs: DataFrame, text_col: str, width: int) -> DataFrame:
         sketches, ends = [], [0]
         for a, z in zip([0, *stops], stops):
             g = grams[a:z]
-            sketches.append(parity_sketch(g))
-            ends += [a + c for c in [*np.searchsorted(g, inner_cuts).tolist(), z - a]]
-        inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams.view(np.int64)))
-        parts = pa.ListArray.from_arrays(pa.array(np.arange(len(stops) + 1) * PARTS, pa.int32()), inner)
-        ids = set_ids(grams, n)[some]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[some], pa.int64()), pa.array(sketches, pa.binary()), parts], names=["set_id", "n", "sketch", "parts"])
+            sketches += [parity_sketch(g), *[None] * (PARTS - 1)]
+            ends += [a + c for c in [*np.searchsorted(g, cuts).tolist(), z - a]]
+        each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams.view(np.int64)))
+        ids, parts = np.repeat(set_ids(grams, n)[some], PARTS), np.tile(np.arange(PARTS, dtype=np.int32), len(stops))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(np.repeat(n[some], PARTS), pa.int64()), pa.array(parts), pa.array(sketches, pa.binary()), each],
+            names=["set_id", "n", "part", "sketch", "grams"],
+        )
 
-    return _per_text(docs, text_col, "set_id long, n long, sketch binary, parts array<array<long>>", make)
+    return _per_text(docs, text_col, "set_id long, n long, part int, sketch binary, grams array<long>", make)
+
+
+def sketches_of(grams: DataFrame) -> DataFrame:
+    return grams.where("part = 0").select("set_id", "n", "sketch")
+
+
+def partial_overlaps(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, part, o): the elements that a pair's sets share in one fragment, for each fragment by itself."""
+    one = grams.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), "part", F.col("grams").alias("g_a"))
+    two = grams.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), "part", F.col("grams").alias("g_b"))
+    each = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    halves = each.join(one.hint("merge"), ["a", "part"]).join(two.hint("merge"), ["b", "part"])
+    return halves.select("a", "b", "n_a", "n_b", "part", F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("o"))
 
 
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted in each fragment by itself, then summed per pair."""
-    side = lambda x: grams.select("set_id", "n", "parts").toDF(x, f"n_{x}", f"parts_{x}").hint("merge")
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    partial = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
-    total = met.select("a", "b", "n_a", "n_b", F.aggregate(partial, F.lit(0), lambda x, y: x + y).alias("o"))
-    linked = total.where(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o")))
-    return linked.select("a", "b").distinct()
+    """The pairs (a, b) that link: partial overlaps summed per pair."""
+    total = partial_overlaps(pairs, grams).groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return total.where(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,12 +290,14 @@ def components(links: DataFrame) -> DataFrame:
     old = mark(now)
     while old[0]:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low.hint("merge"), "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        # the smallest are written before they are joined: then few go to all tasks, and of many Spark splits a hub's neighbours
+        low = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
+        large = written(met(both, low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        dropped(low)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = met(large, low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         last, now = now, written(small.distinct(), "links")
-        dropped(last)
+        dropped(last, low, large)
         new = mark(now)
         if new == old:
             break
@@ -326,9 +341,9 @@ def possible(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
             ok = (far <= (n + m) * (100 - percent) // (100 + percent)) & (100 * n >= percent * m) & (100 * m >= percent * n)
             yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(ok)), b["b"].filter(pa.array(ok))], names=["a", "b"])
 
-    side = lambda x: grams.select("set_id", "n", "sketch").toDF(x, f"n_{x}", f"s_{x}").hint("merge")
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    side = lambda x: sketches_of(grams).toDF(x, f"n_{x}", f"s_{x}").hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
 def close_pairs(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], block: np.ndarray, percent: int, best: bool) -> np.ndarray:
@@ -370,7 +385,7 @@ def between_components(rows: DataFrame, grams: DataFrame, percent: int, best: bo
         F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(k, own) * blocks + F.greatest(k, own))
     )
     dealt = rows.withColumns({"block": own, "tile": F.explode(tiles)})
-    met = dealt.join(grams.select("set_id", "n", "sketch").hint("merge"), "set_id")
+    sized = dealt.join(sketches_of(grams).hint("merge"), "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -404,7 +419,7 @@ def between_components(rows: DataFrame, grams: DataFrame, percent: int, best: bo
         if found:
             yield batch()
 
-    by_tile = met.repartition("sig", "tile").sortWithinPartitions("sig", "tile")
+    by_tile = sized.repartition("sig", "tile").sortWithinPartitions("sig", "tile")
     return by_tile.select("sig", "tile", "set_id", "comp", "n", "sketch", "block").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -445,11 +460,23 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", width: int = 4,
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near duplicates: of each component the smallest doc_id stays. Rows without a doc_id stay; of repeated rows of one doc_id
-    and text one stays."""
-    kept = jaccard_components(docs, text_col, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__text", F.xxhash64(text_col))
-    return stay.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where("doc_id is null"))
+    """docs without near duplicates: of each component the smallest doc_id stays.
+
+    Rows without a doc_id, and texts that are null, empty or without words, stay: they are linked with nothing. Of several rows of
+    one doc_id and text one stays, that of the smallest hash of all columns. Very long texts are compared whole. Columns of
+    any names are passed on. An empty table gives an empty result. Few documents that go are sent to every task, so that texts
+    aren't shuffled; many are merged.
+    """
+    found = jaccard_components(docs, text_col, width, percent).where("doc_id is not null")
+    per = written(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")), "chosen")
+    stay = met(docs, per.where(~F.col("first")).select("doc_id"), "doc_id", "left_anti")
+    several = written(per.where("first and n > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return stay
+    rows = met(stay, several, "doc_id", "left_semi").withColumns({"__text": F.xxhash64(text_col), "__all": content_hash(stay, 3)})
+    least = rows.groupBy("doc_id", "__text").agg(F.min("__all").alias("__all"))
+    one = rows.join(least, ["doc_id", "__text", "__all"], "left_semi").dropDuplicates(["doc_id", "__text", "__all"])
+    return met(stay, several, "doc_id", "left_anti").unionByName(one.select(*docs.columns))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
