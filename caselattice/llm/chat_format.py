@@ -2,6 +2,7 @@
 
 A pair's longest common prefix of turns is rendered once as the prompt; what follows on either side is rendered as its
 completion, with the character spans that count in training (the assistant's turns; all else is masked).
+The marks of the format never come from a text: ``<|`` in it is written ``<\\|``, and ``<\\`` is written ``<\\\\``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from .common import documents
 SPAN = "array<struct<start:int,stop:int,train:boolean>>"
 
 
+def plain(text: Column) -> Column:
+    """A text without marks of the format, told apart from any other: what follows ``<\\`` is as it was. A null text is empty."""
+    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def rendered(turns: Column) -> Column:
     """Turns as text: a header with the role, the text, an end mark."""
     return F.array_join(F.transform(turns, rendered_turn), "")
@@ -45,17 +51,45 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(same).cast("long"))
 
 
-def preference_rows(turns: DataFrame, target: str = "assistant") -> DataFrame:
-    """One row a pair: n_common, prompt, and for both sides completion and spans.
+ONE = ["turn", "role", "text"]
+
+
+def one_turn() -> Column:
+    return F.struct("turn", plain(F.col("role")).alias("role"), plain(F.col("text")).alias("text"))
+
+
+def paired(turns: DataFrame) -> DataFrame:
+    """(pair_id, chosen, rejected): each side's turns in order of (turn, role, text); see preference_rows()."""
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, one_turn()))).alias(s)
+    turns = turns.where(F.col("side").isin("chosen", "rejected"))
+    known = turns.where("pair_id is not null").groupBy("pair_id").agg(side("chosen"), side("rejected"))
+    none = F.array().cast(known.schema["chosen"].dataType)
+    alone = lambda s: F.when(F.col("side") == s, F.array(one_turn())).otherwise(none).alias(s)
+    return known.unionByName(turns.where("pair_id is null").select("pair_id", alone("chosen"), alone("rejected")))
+
 
-    turns: (pair_id, side ``chosen`` or ``rejected``, turn, role, text). A side's turns are taken in order of (turn,
-    role, text); null roles and texts count as empty, null turns come first, repeated rows stay. A pair with one side
-    only has an empty prompt, null in place of the missing side and ``complete`` false. Rows whose pair_id is null
-    form one pair; rows with another side are an error of the caller and are left out. Two equal sides are all prompt.
+def partner_pairs(turns: DataFrame, target: str = "assistant") -> DataFrame:
+    """(pair_id, chosen, rejected) from conversations (conv_id, turn, role, text): chosen is the conversation, rejected the same with its last
+    answer replaced by that of its partner, the conversation whose number differs in the last bit.
+
+    Both sides have everything before that answer in common. There is no rejected side where either has no answer, or there
+    is no partner. Each row without a conv_id is a conversation of its own.
     """
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, one))).alias(s)
-    pairs = turns.where(F.col("side").isin("chosen", "rejected")).groupBy("pair_id").agg(side("chosen"), side("rejected"))
+    known = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(one_turn())).alias("chosen"))
+    from_end = F.array_position(F.reverse(F.transform("chosen", lambda t: t["role"])), F.lit(target))
+    known = known.withColumn("at", F.when(from_end > 0, F.size("chosen") - from_end).cast("int"))  # place of the last answer, from 0
+    other = known.where("at is not null").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get("chosen", F.col("at"))["text"].alias("other"))
+    both = known.join(other, "conv_id", "left")
+    none = F.array().cast(known.schema["chosen"].dataType)
+    answer = F.struct(F.get("chosen", F.col("at"))["turn"].alias("turn"), F.lit(target).alias("role"), F.col("other").alias("text"))
+    swapped = F.concat(F.slice("chosen", F.lit(1), F.col("at")), F.array(answer), F.slice("chosen", F.col("at") + 2, F.size("chosen")))
+    pairs = both.select(F.col("conv_id").alias("pair_id"), "chosen", F.when(F.col("at").isNotNull() & F.col("other").isNotNull(), swapped).otherwise(none).alias("rejected"))
+    alone = turns.where("conv_id is null").select(F.col("conv_id").alias("pair_id"), F.array(one_turn()).alias("chosen"), none.alias("rejected"))
+    return pairs.unionByName(alone)
+
+
+def formatted(pairs: DataFrame, target: str = "assistant") -> DataFrame:
+    """One row a pair: n_common, prompt, and for both sides completion and spans. pairs: (pair_id, chosen, rejected)."""
     both = (F.size("chosen") > 0) & (F.size("rejected") > 0)
     pairs = pairs.withColumn("complete", both)
     pairs = pairs.withColumn("n_common", F.when(both, common_prefix(F.col("chosen"), F.col("rejected"))).otherwise(F.lit(0)).cast("int"))
@@ -71,24 +105,37 @@ def preference_rows(turns: DataFrame, target: str = "assistant") -> DataFrame:
     )
 
 
+def preference_rows(turns: DataFrame, target: str = "assistant") -> DataFrame:
+    """One row a pair: n_common, prompt, and for both sides completion and spans.
+
+    turns: (pair_id, side ``chosen`` or ``rejected``, turn, role, text); other columns are left out, whatever their names. A
+    side's turns are taken in order of (turn, role, text); null roles and texts count as empty, null turns come first,
+    repeated rows stay. A pair with one side only has an empty prompt, null in place of the missing side and ``complete``
+    false. Each row whose pair_id is null is a pair of its own; rows with another side are an error of the caller and are
+    left out. Two equal sides are all prompt. Very long texts are rendered whole. An empty table gives an empty result.
+    """
+    return formatted(paired(turns), target)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, paired by number: 2p is chosen, 2p + 1 rejected."""
-    conv = documents(spark, sf_dir, "conversations")
-    turns = conv.select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
-    )
+    """All conversations: chosen as it is, rejected with its partner's last answer."""
+    pairs = partner_pairs(documents(spark, sf_dir, "conversations"))
     mask = lambda s: F.transform(s, lambda x: F.concat_ws(":", x["start"], x["stop"], x["train"].cast("int")))
-    return preference_rows(turns).withColumns({"chosen_spans": F.array_join(mask("chosen_spans"), ","), "rejected_spans": F.array_join(mask("rejected_spans"), ",")})
+    return formatted(pairs).withColumns({"chosen_spans": F.array_join(mask("chosen_spans"), ","), "rejected_spans": F.array_join(mask("rejected_spans"), ",")})
 
 
-ORACLE_10 = """
-with side as (
-  select conv_id // 2 as pair_id, conv_id % 2 as odd,
-    list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn, coalesce(role, ''), coalesce(text, '')) as turns
-  from conversations group by all),
+ORACLE_10 = r"""
+with turns as (
+  select conv_id, turn, replace(replace(coalesce(role, ''), '<\', '<\\'), '<|', '<\|') as role, replace(replace(coalesce(text, ''), '<\', '<\\'), '<|', '<\|') as text
+  from conversations),
+side as (
+  select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as c from turns where conv_id is not null group by conv_id
+  union all select conv_id, [{'role': role, 'text': text}] from turns where conv_id is null),
+answer as (select *, list_max([i for i in range(1, len(c) + 1) if c[i].role = 'assistant']) as pos from side),
 pair as (
-  select coalesce(c.pair_id, r.pair_id) as pair_id, c.turns as c, r.turns as r
-  from (from side where odd = 0) c full join (from side where odd = 1) r on c.pair_id = r.pair_id),
+  select a.conv_id as pair_id, a.c, case when a.pos is not null and o.pos is not null then
+    list_transform(range(1, len(a.c) + 1), lambda i: case when i = a.pos then {'role': 'assistant', 'text': o.c[o.pos].text} else a.c[i] end) end as r
+  from answer a left join answer o on o.conv_id = xor(a.conv_id, 1)),
 place as (
   select *, coalesce(len(list_filter(range(least(len(c), len(r))), lambda i:
     len(list_filter(range(i + 1), lambda j: c[j + 1] = r[j + 1])) = i + 1)), 0) as n_common from pair),

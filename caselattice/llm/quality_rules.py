@@ -1,20 +1,24 @@
 """Quality rules with host-level verdicts.
 
-Each text is measured (vectorised, on Arrow batches), rule failures are summed by host, each host's failure rates are
-shrunk with a beta prior fitted to all hosts, and the verdicts are joined back to the documents.
+Each text is measured once (vectorised, on Arrow batches), rule failures are summed by host, each host's failure rates are
+shrunk with a beta prior fitted to all hosts, and the verdicts are joined back to the documents. A host of which most
+documents surely fail goes as a whole. A host that fails a rule more often than the corpus does is held to that rule:
+its documents that fail it go, while in other hosts they stay. So verdicts decide without taking a host's clean
+documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import UPPER, documents, written
 
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -115,64 +119,87 @@ def with_measures(docs: DataFrame, text_col: str = "text", drop_text: bool = Fal
     return docs.mapInArrow(run, schema)
 
 
+def host_of(c: Column) -> Column:
+    """The domain, A-Z lower-cased, of a value with ://; any other value is a host by itself."""
+    domain = F.regexp_extract(c, r"(?s)://([^/?#]*)", 1)
+    return F.when(F.contains(c, F.lit("://")), F.translate(domain, UPPER, UPPER.lower())).otherwise(c)
+
+
 def beta_prior(n_hosts: int, mean: float, var: float) -> tuple[float, float]:
-    """Alpha and beta by moments over the hosts' rates; with one host, equal rates or rates of 0 and 1 only, a weak prior at the mean."""
-    weight = mean * (1 - mean) / var - 1 if n_hosts > 1 and var and var > 0 else 0
-    weight = min(max(weight, 2.0), 1000.0)
-    mean = min(max(mean, 0.01), 0.99)
-    return weight * mean, weight * (1 - mean)
+    """Alpha and beta by moments over the hosts' rates. One host, or equal rates, say nothing of the spread: a weak prior at the mean."""
+    weight = mean * (1 - mean) / var - 1 if n_hosts > 1 and var and var > 0 else 2.0
+    return max(weight, 0.0) * mean, max(weight, 0.0) * (1 - mean)
+
 
+#: Deviations of the posterior by which a rate must lie over the corpus's for the host to be held to a rule, and over MOST for it to go.
+OVER_CORPUS, OVER_MOST, MOST = 1.0, 1.645, 0.5
 
-def host_verdicts(measures: DataFrame, host_col: str = "source", threshold: float = 0.75) -> DataFrame:
-    """(host, n, each rule's shrunk rate, host_rejected). A null host is a host of its own.
 
-    The prior of each rule is fitted to all hosts: two sums a rule reach the driver.
+def host_verdicts(measures: DataFrame, host_col: str = "source", most: float = MOST) -> DataFrame:
+    """(host, n, for each rule its rate and whether the host is held to it (``strict``), host_rejected). A null host is a host of its own.
+
+    A rule's rate is the mean of its posterior: the prior of that rule over all hosts, half a document on either side, and the
+    host's documents. The prior needs five numbers a rule on the driver.
     """
-    sums = measures.groupBy(F.col(host_col).alias("host")).agg(
+    sums = measures.groupBy(host_of(F.col(host_col)).alias("host")).agg(
         F.count("*").alias("n"), *[F.sum(F.expr(f"cast({rule} as long)")).alias(name) for name, rule in HOST_RULES.items()]
     )
     sums = written(sums, "hosts")
     rate = {name: F.col(name) / F.col("n") for name in HOST_RULES}
-    moments = sums.agg(F.count("*").alias("n"), *[f(r).alias(f"{name}_{k}") for name, r in rate.items() for k, f in (("mean", F.avg), ("var", F.var_pop))]).first()
+    moments = sums.agg(
+        F.count("*").alias("n"), F.sum("n").alias("docs"), *[F.sum(name).alias(name) for name in HOST_RULES],
+        *[f(r).alias(f"{name}_{k}") for name, r in rate.items() for k, f in (("mean", F.avg), ("var", F.var_pop))],
+    ).first()
     for name in HOST_RULES:
         a, b = beta_prior(moments["n"], moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0)
-        sums = sums.withColumn(f"{name}_rate", (F.col(name) + a) / (F.col("n") + a + b))
-    rates = [f"{name}_rate" for name in HOST_RULES]
-    return sums.select("host", "n", *rates, (F.greatest(*rates) > threshold).alias("host_rejected"))
+        corpus = moments[name] / moments["docs"] if moments["docs"] else 0.0
+        weight = F.col("n") + a + b + 1
+        mean = (F.col(name) + a + 0.5) / weight
+        spread = F.sqrt(mean * (1 - mean) / (weight + 1))
+        sums = sums.withColumns({f"{name}_rate": mean, f"{name}_strict": mean - OVER_CORPUS * spread > corpus, f"{name}_most": mean - OVER_MOST * spread > most})
+    rejected = reduce(lambda x, y: x | y, [F.col(f"{name}_most") for name in HOST_RULES])
+    return sums.select("host", "n", *[f"{name}_{k}" for name in HOST_RULES for k in ("rate", "strict")], rejected.alias("host_rejected"))
+
 
+def join_verdicts(docs: DataFrame, verdicts: DataFrame, host_col: str = "source", salts: int = 64) -> DataFrame:
+    """docs with ``host_rejected`` and ``host_rules`` (the rules that their host is held to).
 
-def join_rejected(docs: DataFrame, verdicts: DataFrame, host_col: str = "source", salts: int = 64) -> DataFrame:
-    """docs with ``host_rejected``. Few rejected hosts are broadcast; of many, each is dealt to ``salts`` places so that no host fills one task."""
-    bad = verdicts.where("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("host_rejected"))
+    Hosts without a verdict against them aren't joined. Few others are broadcast; of many, each is dealt to ``salts`` places so that no
+    host fills one task. A null host meets its own verdict; repeated rows and rows of any length pass through; an empty side
+    gives false and no rules. Columns of docs named like the added ones are replaced.
+    """
+    strict = F.array_compact(F.array(*[F.when(F.col(f"{name}_strict"), F.lit(name)) for name in HOST_RULES]))
+    bad = verdicts.select(F.col("host").alias("__host"), "host_rejected", strict.alias("host_rules")).where("host_rejected or size(host_rules) > 0")
+    docs = docs.drop("host_rejected", "host_rules").withColumn("__own", host_of(F.col(host_col)))
+    same = F.col("__own").eqNullSafe(F.col("__host"))
     if bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        out = docs.join(F.broadcast(bad), F.col(host_col).eqNullSafe(F.col("__host")), "left")
+        out = docs.join(F.broadcast(bad), same, "left")
     else:
         bad = bad.withColumn("__salt_b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         docs = docs.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        out = docs.join(bad, F.col(host_col).eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__salt_b")), "left").drop("__salt", "__salt_b")
-    return out.drop("__host").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+        out = docs.join(bad, same & (F.col("__salt") == F.col("__salt_b")), "left").drop("__salt", "__salt_b")
+    return out.drop("__host", "__own").withColumns({"host_rejected": F.coalesce("host_rejected", F.lit(False)), "host_rules": F.coalesce("host_rules", F.array().cast("array<string>"))})
 
 
 def quality_rules(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", threshold: float = 0.75, keep_text: bool = True
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", most: float = MOST, keep_text: bool = True
 ) -> DataFrame:
-    """docs with the measures, ``base_failed``, ``host_rejected`` and ``kept``.
+    """docs with the measures, ``base_failed``, ``host_rejected``, ``host_rules``, ``host_failed`` (a rule that the host is held to) and ``kept``.
 
     Null texts count as empty and fail for few words. Null hosts are one host. Very long texts are measured whole,
     each in a slice of its own. Repeated rows are measured and counted each. An empty table gives an empty result.
-    Added columns replace columns of the same names. With keep_text false the text is left out, and each text is read
-    once; else texts are measured a second time instead of being shuffled.
+    Added columns replace columns of the same names. With keep_text false the text is left out. Measured rows are written
+    once, for the hosts' sums and for the join with the verdicts.
     """
-    measures = written(with_measures(docs, text_col, drop_text=True), "measures")
-    verdicts = host_verdicts(measures, host_col, threshold)
-    rows = with_measures(docs, text_col) if keep_text else measures
-    rows = rows.drop("base_failed", "host_rejected", "kept").withColumn("base_failed", F.expr(BASE_RULE))
-    return join_rejected(rows, verdicts, host_col).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    rows = written(with_measures(docs.drop("base_failed", "host_rejected", "host_rules", "host_failed", "kept"), text_col, drop_text=not keep_text), "measures")
+    out = join_verdicts(rows.withColumn("base_failed", F.expr(BASE_RULE)), host_verdicts(rows, host_col, most), host_col)
+    failed = reduce(lambda x, y: x | y, [F.array_contains("host_rules", name) & F.expr(rule) for name, rule in HOST_RULES.items()])
+    return out.withColumn("host_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~F.col("host_failed"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return quality_rules(docs, keep_text=False).select("doc_id", *MEASURES[:5], "base_failed", "host_rejected", "kept")
+    return quality_rules(docs, keep_text=False).select("doc_id", *MEASURES[:5], "base_failed", "host_rejected", "host_failed", "kept")
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}

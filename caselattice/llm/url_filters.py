@@ -1,18 +1,21 @@
 """URL filters: host rules first, then a path-template tree learned per host.
 
-The tree grows one path segment at a time, to the last. Below each node (host, template so far) a segment stays literal
-where it is common among the node's pages, has many labelled pages, or has labels that differ from the node's; all
-others are variable and become one wildcard. Literal siblings whose labelled
+The tree grows one path segment at a time, to the last, over the distinct paths with the sums of their pages. Below each
+node (host, template so far) a segment stays literal where it is common among the node's pages, has many labelled pages,
+or has labels that differ from the node's; all others are variable and become one wildcard. Literal siblings whose labelled
 shares of bad pages don't differ significantly are merged into one branch. Each leaf template is then judged by its
-labelled purity, smoothed towards the corpus: a template whose smoothed share of good pages is too low is rejected.
+labelled purity, smoothed towards the corpus: a template whose smoothed share of good pages is too low is rejected. Pages
+meet their path's template once, at the end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, documents, dropped, written
+from .common import UPPER, WORD, documents, dropped, met, written
 
 #: (host suffix, path prefix, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -101,49 +104,58 @@ def _named(grouped: DataFrame) -> DataFrame:
 
 
 def templates(
-    pages: DataFrame, max_depth: int = 8, min_share: float = 0.01, min_count: int = 20, z: float = 3.0, support: int = 1000, min_labelled: int = 10
+    paths: DataFrame, min_share: float = 0.01, min_count: int = 20, z: float = 3.0, support: int = 1000, min_labelled: int = 10
 ) -> DataFrame:
-    """pages (page key columns, host, path, labelled 0/1, bad 0/1) with each page's template.
+    """(host, path, template, n, labelled, bad) of every path. paths: (host, path, n, labelled, bad), each path of a host once, with the sums of its pages.
 
-    Hosts may be hot: nodes are summed before they are shuffled, and a page meets its segment's branch by a join. The
-    tree is grown over all pages, to their last segments. Nodes of fewer than min_count pages have only wildcards below
-    them; those deeper than ``max_depth`` are written as one ``**``.
+    Below nodes of fewer than min_count pages all segments are wildcards, so their paths are finished at once, whatever their
+    depth; the others go on, level by level, to their last segment. Hosts may be hot: nodes are summed before they are
+    shuffled, and paths meet the few nodes and branches that go on by a broadcast of counted size, or a merge whose large keys
+    Spark splits. Empty segments stay empty; an empty path is the template "". Null counts aren't allowed.
     """
-    here, d = written(pages.withColumns({"segs": F.split("path", "/", -1), "template": F.lit("")}), "pages"), 0
+    here = paths.withColumns({"segs": F.split("path", "/", -1), "template": F.lit("")})
+    here, done, d = written(here, "paths"), [], 0
+    cols = ["host", "path", "template", "n", "labelled", "bad"]
+    star = lambda s: F.when(s == "", F.lit("/")).otherwise(F.lit("/*"))
     while True:
         d += 1
-        at, seg = F.lit(d), F.get("segs", F.lit(d))
-        level = written(
-            here.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(
-                F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
-            ), "level")
-        last = here
-        if level.isEmpty():
-            dropped(level)
-            return here.drop("segs")
-        if d > max_depth:
-            small = level.groupBy("host", "template").agg(F.sum("n").alias("total")).where(F.col("total") < min_count).select("host", "template", F.lit(True).alias("small"))
-            ends = F.col("small") & seg.isNotNull()
-            here = here.join(small, ["host", "template"], "left").withColumns({
-                "template": F.when(ends, F.concat("template", F.lit("/**"))).otherwise(F.col("template")),
-                "segs": F.when(ends, F.slice("segs", 1, d)).otherwise(F.col("segs")),
-            }).drop("small")
-        branches = _branches(_literals(level, min_share, min_count, support, z, min_labelled), z)
-        joined = here.withColumn("seg", F.get("segs", at)).join(branches, ["host", "template", "seg"], "left")
-        deeper = F.concat("template", F.lit("/"), F.when(F.col("seg") == "", F.lit("")).otherwise(F.coalesce("branch", F.lit("*"))))
-        here = written(joined.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(deeper)).drop("seg", "branch"), "pages")
-        dropped(last, level)
+        seg = F.get("segs", F.lit(d))
+        done.append(here.where(seg.isNull()).select(*cols))
+        open_ = here.where(seg.isNotNull()).withColumn("seg", seg)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+        nodes = written(open_.groupBy("host", "template").agg(*sums).where(F.col("n") >= min_count).select("host", "template", F.lit(True).alias("large")), "nodes")
+        marked = met(open_, nodes, ["host", "template"], "left")
+        rest = F.array_join(F.transform(F.slice("segs", F.lit(d + 1), F.size("segs")), star), "")
+        split = written(marked.withColumn("template", F.when(F.col("large"), F.col("template")).otherwise(F.concat("template", rest))), "split")
+        done.append(split.where("large is null").select(*cols))
+        large = split.where("large").drop("large")
+        level = written(large.groupBy("host", "template", "seg").agg(*sums), "level")
+        branches = written(_branches(_literals(level, min_share, min_count, support, z, min_labelled), z), "branches")
+        joined = met(large, branches, ["host", "template", "seg"], "left")
+        deeper = F.when(F.col("branch").isNotNull(), F.concat(F.lit("/"), F.col("branch"))).otherwise(star(F.col("seg")))
+        here = written(joined.withColumn("template", F.concat("template", deeper)).drop("seg", "branch"), "paths")
+        dropped(level, nodes, branches)
 
 
 def judged(pages: DataFrame, threshold: float = 0.5, weight: float = 10.0, **tree) -> DataFrame:
-    """templates() with ``purity`` (smoothed share of good among labelled pages of the template) and ``method`` (allow or block)."""
-    found = templates(pages, **tree)
+    """pages (host, path, labelled 0/1, bad 0/1 and others) with ``template``, ``purity`` (smoothed share of good among labelled pages of the
+    template) and ``method`` (allow or block).
+
+    pages should be a written table: it is read for the paths' sums and for the join. Repeated rows count each. Very long paths
+    are taken whole. An empty table gives an empty result. Columns named like the added ones are replaced.
+    """
+    pages = pages.drop("template", "purity", "method")
+    sums = pages.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    found = written(templates(sums, **tree), "templates")
     per = found.groupBy("host", "template").agg(F.sum("labelled").alias("t_labelled"), F.sum("bad").alias("t_bad"))
     all_ = found.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
     prior = 1 - (all_["b"] or 0) / all_["n"] if all_["n"] else 1.0
     purity = (F.col("t_labelled") - F.col("t_bad") + weight * prior) / (F.col("t_labelled") + weight)
-    per = per.select("host", "template", purity.alias("purity"), F.when(purity < threshold, "block").otherwise("allow").alias("method"))
-    return found.join(per, ["host", "template"])
+    per = written(per.select("host", "template", purity.alias("purity"), F.when(purity < threshold, "block").otherwise("allow").alias("method")), "judged")
+    tree_of = written(met(found.select("host", "path", "template"), per, ["host", "template"]), "tree")
+    return met(pages, tree_of, ["host", "path"])
 
 
 def url_filter(
@@ -159,18 +171,36 @@ def url_filter(
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     marks = labels.toDF("page_id", "bad").where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
     base = base.join(marks, "page_id", "left")
-    base = base.withColumns({"labelled": F.col("bad").isNotNull().cast("long"), "bad": F.coalesce("bad", F.lit(0))})
-    out = judged(base, **settings).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
+    base = base.withColumns({"labelled": F.col("bad").isNotNull().cast("long"), "bad": F.coalesce("bad", F.lit(0)).cast("long")})
+    out = judged(written(base, "pages"), **settings).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
     return out.select(
         F.col("page_id").alias(id_col), "host", "path", F.col("by_rule.rule").alias("rule"),
         F.coalesce("by_rule.verdict", "method").alias("verdict"), "template", "purity",
     )
 
 
+#: Words in a host's name that mark its pages as bad, for labels where no one has labelled pages.
+SEED_WORDS = ["casino", "bets", "pills", "spam", "adult"]
+
+
+def content_labels(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: list[str] = SEED_WORDS) -> DataFrame:
+    """(id, bad) of every page with a text: bad if the text has under 50 words or more than 3 symbols in 10 words, or if the host has a seed word.
+
+    A stand-in for labelled pages, from the pages themselves. The text is what is left of the html without scripts, styles, comments
+    and tags. Null html gives no label; empty or endless html is judged like any other. Repeated rows give a label each.
+    """
+    bare = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
+    text = F.regexp_replace(bare, r"<[^>]*>", " ")
+    words, symbols = F.regexp_count(text, F.lit(WORD)), F.regexp_count(text, F.lit(r"[#*$%&|]"))
+    seeded = F.regexp_like(url_parts(F.col(url_col))[0], F.lit("|".join(seeds)))
+    bad = (words < 50) | (10 * symbols > 3 * words) | seeded
+    return pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("page_id"), bad.cast("int").alias("bad"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages. A page counts as labelled where labels has its number; bad: of low quality, or toxic."""
-    labels = documents(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return url_filter(documents(spark, sf_dir, "pages"), labels)
+    """All pages, labelled by their content; two pages' worth of the corpus's share weigh against a template's labels."""
+    pages = documents(spark, sf_dir, "pages")
+    return url_filter(pages, content_labels(pages), weight=2.0)
 
 
 QUERIES = {"op9_url_filters": op9_url_filters}
