@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,13 +100,16 @@ def content_hash(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[df[c] for c, t in df.dtypes if "map<" not in t])
 
 
-#: Rows that a join may send to every task at once, after a count.
-MOST_BROADCAST = 100_000
+#: Rows, and bytes of them, that a join may send to every task at once, after they were counted.
+MOST_BROADCAST, MOST_BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def few(rows: DataFrame) -> bool:
-    """Whether rows may be broadcast."""
-    return rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    """Whether rows may be broadcast. At most MOST_BROADCAST + 1 of them are read."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(16) if "<" not in t else F.octet_length(F.to_json(F.struct(c))) for c, t in rows.dtypes]
+    size = reduce(lambda a, b: a + b, wide, F.lit(8)).cast("long")
+    found = rows.limit(MOST_BROADCAST + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return found["n"] <= MOST_BROADCAST and (found["bytes"] or 0) <= MOST_BROADCAST_BYTES
 
 
 def met(rows: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:

@@ -154,8 +154,8 @@ def judged(pages: DataFrame, threshold: float = 0.5, weight: float = 10.0, **tre
     prior = 1 - (all_["b"] or 0) / all_["n"] if all_["n"] else 1.0
     purity = (F.col("t_labelled") - F.col("t_bad") + weight * prior) / (F.col("t_labelled") + weight)
     per = written(per.select("host", "template", purity.alias("purity"), F.when(purity < threshold, "block").otherwise("allow").alias("method")), "judged")
-    tree_of = written(met(found.select("host", "path", "template"), per, ["host", "template"]), "tree")
-    return met(pages, tree_of, ["host", "path"])
+    tree_of = met(found.select("host", "path", "template"), per, ["host", "template"])
+    return pages.join(tree_of.hint("merge"), ["host", "path"])
 
 
 def url_filter(
