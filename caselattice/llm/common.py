@@ -61,7 +61,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: short lineage that outlives any executor."""
     path, schema = table_path(df.sparkSession, name), df.schema
     with one_use(df.sparkSession):
-        writer = df.write
+        writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)

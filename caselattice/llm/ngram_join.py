@@ -302,7 +302,9 @@ def components(links: DataFrame) -> DataFrame:
         if new == old:
             break
         old = new
-    return now.toDF("node", "root")
+    back = now.toDF("node", "root")
+    back._table_path = now._table_path
+    return back
 
 
 def in_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -445,18 +447,22 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", width: int = 4,
     pairs = written(possible(first, grams, percent), "pairs")
     links = written(verified(pairs, grams, percent), "linked")
     roots, open_rows = components(links), rows
+    dropped(pairs, links)
     for best in (True, False):
-        open_rows = written(in_components(open_rows, roots), "open")
+        last, open_rows = open_rows, written(in_components(open_rows, roots), "open")
         pairs = written(between_components(open_rows, grams, percent, best), "pairs")
         more = written(verified(pairs, grams, percent), "linked")
-        roots = components(roots.toDF("a", "b").unionByName(more))
-    dropped(grams)
+        old, roots = roots, components(roots.toDF("a", "b").unionByName(more))
+        dropped(pairs, more, old, *([last] if last is not rows else []))
+    dropped(grams, open_rows)
     of_set = reps.join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     lowest = of_set.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = of_set.join(lowest.hint("merge"), "root").select("set_id", "component_id")
     out = sets.join(of_set.hint("merge"), "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    found = written(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "components")
+    dropped(all_rows, roots)
+    return found
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
