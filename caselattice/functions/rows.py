@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with row numbers from 1 in its own order: each partition's rows follow those of the partitions before it.
 
-    One count a partition reaches the driver. The rows are cached, since a sort run anew may choose other partition bounds
-    than the ones that were counted; a lost part is made again from the same bounds.
+    One count a partition reaches the driver. The rows are written, since a sort run anew may choose other partition bounds
+    than the ones that were counted.
     """
-    at = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).cache()
+    at = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    at = written(at, "numbered")
     sizes = {r["__p"]: r["count"] for r in at.groupBy("__p").count().collect()}
     starts, total = [], 0
     for p in range(max(sizes, default=-1) + 1):

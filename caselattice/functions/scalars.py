@@ -88,10 +88,14 @@ def verdict(passed: Column) -> Column:
 NOT_A_LABEL = r"(?i)\b(i (cannot|can't|am|will)|as an ai|sure|here('| i)s|the (group|reports|answer)|these reports|noun phrase|sorry)\b"
 
 
+#: Characters that are taken off both ends of an answer.
+AROUND_LABEL = "\"'“”‘’ \t.:;-–—*#"
+
+
 def clean_label(raw: Column) -> Column:
     """A generated label made presentable, or null: first line, 2 to 6 words, at most 46 characters, no digits, no sentence."""
     line = F.trim(F.split(F.btrim(raw, F.lit(" \t\r\n")), r"\r\n|\r|\n").getItem(0))
-    text = F.regexp_replace(F.btrim(line, F.lit("\"'“”‘’ \t.:;-–—*#")), r"\s+", " ")
+    text = F.regexp_replace(F.btrim(line, F.lit(AROUND_LABEL)), r"\s+", " ")
     n = F.size(F.split(text, " "))
     commas = F.char_length(text) - F.char_length(F.replace(text, F.lit(","), F.lit("")))
     inner_stop = F.contains(F.substr(text, F.lit(1), F.char_length(text) - 1), F.lit("."))

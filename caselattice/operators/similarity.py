@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
 
-BLOCK_ROWS = 4096
-MOST_CENTROIDS = 10_000
+MOST_CENTROIDS, MOST_BANK_BYTES = 10_000, 256 << 20
+#: Bytes of one side of a tile of pairs.
+TILE_BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -20,38 +21,64 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def knn(vectors: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _best(sims: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k largest values, best first, the first of equal ones first."""
+    left, out = sims.copy(), np.empty((len(sims), min(k, sims.shape[1])), np.int64)
+    for r in range(out.shape[1]):
+        out[:, r] = left.argmax(1)
+        left[np.arange(len(left)), out[:, r]] = -np.inf
+    return out
+
+
+def _groups(vectors: DataFrame, block_rows: int | None) -> int:
+    """Into how many groups rows are dealt, so that a tile's side has about block_rows, or TILE_BYTES, and all cores have a tile."""
+    n, sc = vectors.count(), vectors.sparkSession.sparkContext
+    if block_rows is None:
+        first = vectors.select(F.size("v").alias("n")).first()
+        block_rows = max(1, TILE_BYTES // (8 * max(1, first["n"] if first else 1)))
+        return min(max(1, -(-n // block_rows), int(sc.defaultParallelism**0.5)), max(1, n))
+    return max(1, -(-n // block_rows))
+
+
+def _tiles(vectors: DataFrame, groups: int, cols: list[str]) -> DataFrame:
+    """Every pair of groups as one row: the arrays of cols of the first group, as ``<col>_a``, and of the second. Each row of vectors is
+    sent to 2 * groups tiles; tiles are tasks' units, so the work is spread over groups * groups of them."""
+    deal = vectors.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    lists = lambda e: [F.flatten(F.collect_list("v")).alias(f"v{e}") if c == "v" else F.collect_list(c).alias(f"{c}{e}") for c in cols]
+    packed = lambda e: deal.groupBy("g").agg(*lists(e))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left = packed("_a").select(F.col("g").alias("x"), every.alias("y"), *[f"{c}_a" for c in cols])
+    right = packed("").select(every.alias("x"), F.col("g").alias("y"), *cols)
+    return left.join(right, ["x", "y"])
+
+
+def knn(vectors: DataFrame, k: int = 3, block_rows: int | None = None) -> DataFrame:
     """(i, j, sim, rank): each vector's k most similar others by exact dot product, ties by id.
 
-    Vectors are packed in blocks of about block_rows; every pair of blocks is one matrix product in one task, which
-    keeps k rows of each vector, and a window takes the best k of all. Vectors of null or other length than the first
-    in their block are an error of the caller. A single vector has no neighbours.
+    Rows are dealt to g groups; each of the g * g pairs of groups is a tile, one matrix product in one task, which keeps k rows
+    of each vector, and a window takes the best k of all. The work is that of all pairs (n * n); what is shuffled is
+    2 * g times the vectors, with g from the bytes of a tile's side. Vectors of null or other length than the first
+    in their group are an error of the caller. A single vector has no neighbours.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    dealt = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = dealt.groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
-    # each block is sent to each block's place: a stated set of tiles, every one bounded
-    left = packed.select(F.col("block").alias("own"), F.col("ids").alias("ids_a"), F.col("vs").alias("vs_a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    tiles = left.join(packed, "block")
+    tiles = _tiles(vectors.select("id", "v"), _groups(vectors, block_rows), ["id", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                a, c = b["ids_a"][r].values.to_numpy(), b["ids"][r].values.to_numpy()
-                m = b["vs_a"][r].values.to_numpy().reshape(len(a), -1)
+                a, c = b["id_a"][r].values.to_numpy(), b["id"][r].values.to_numpy()
+                m = b["v_a"][r].values.to_numpy().reshape(len(a), -1)
                 o = np.argsort(c, kind="stable")
-                c, w = c[o], b["vs"][r].values.to_numpy().reshape(len(c), -1)[o]
+                c, w = c[o], b["v"][r].values.to_numpy().reshape(len(c), -1)[o]
                 for s in range(0, len(a), 512):
                     sims = np.round(m[s:s + 512] @ w.T, 9)
                     sims[a[s:s + 512, None] == c[None, :]] = -np.inf
-                    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    best = _best(sims, k)
                     sim = np.take_along_axis(sims, best, 1)
                     i, j, sim = np.repeat(a[s:s + 512], best.shape[1]), c[best].ravel(), sim.ravel()
                     real = np.isfinite(sim)
                     yield pa.RecordBatch.from_arrays([pa.array(i[real]), pa.array(j[real]), pa.array(sim[real])], names=["i", "j", "sim"])
 
-    near = tiles.select("ids_a", "vs_a", "ids", "vs").mapInArrow(run, "i long, j long, sim double")
+    near = tiles.select("id_a", "v_a", "id", "v").mapInArrow(run, "i long, j long, sim double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -77,11 +104,59 @@ def small_array(rows: DataFrame, most: int = MOST_CENTROIDS) -> Column:
     return F.from_json(F.lit(one), f"array<{kind}>")
 
 
-def centroid_sims(vectors: DataFrame, bank: DataFrame) -> DataFrame:
-    """vectors with ``sims``: (sim, c) of each row of bank (c, v), unit vectors on both sides, best first, ties by c."""
-    sims = F.transform(small_array(bank.select("c", "v")), lambda b: F.struct(F.round(dot(F.col("__u"), b["v"]), 9).alias("sim"), b["c"].alias("c")))
-    by_sim = F.array_sort(sims, lambda x, y: F.when(x["sim"] > y["sim"], -1).when(x["sim"] < y["sim"], 1).when(x["c"] < y["c"], -1).when(x["c"] > y["c"], 1).otherwise(0))
-    return vectors.withColumn("__u", unit(F.col("v"))).withColumn("sims", by_sim).drop("__u")
+def _bank(bank: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The c and unit vectors of bank (c, v) in order of c, after a check of their number and bytes."""
+    found = bank.select("c", "v").orderBy("c").limit(MOST_CENTROIDS + 1).toArrow().combine_chunks()
+    if found.num_rows > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} rows: too many for every task to hold")
+    if found.nbytes > MOST_BANK_BYTES:
+        raise ValueError(f"{found.nbytes} bytes: too many for every task to hold")
+    one = lambda name: pa.concat_arrays(found[name].chunks) if found[name].num_chunks else pa.array([], found.schema.field(name).type)
+    return one("c"), _matrix(one("v"))
+
+
+def centroid_sims(vectors: DataFrame, bank: DataFrame, most: int | None = None, own: str | None = None) -> DataFrame:
+    """vectors with ``sims``: (sim, c) of the ``most`` best rows (default: all) of bank (c, v), best first, ties by c. bank holds unit vectors.
+
+    A batch of vectors is made unit and multiplied with the whole bank at once. own: a column of c; then also ``own_sim``, the
+    similarity to that row, and ``rival``, the best (sim, c) of the others. An empty bank gives empty sims. A zero vector stays.
+    """
+    cs, m = _bank(bank)
+    kind = next(t for c, t in bank.dtypes if c == "c")
+    most = len(cs) if most is None else min(most, len(cs))
+    place = {c: i for i, c in enumerate(cs.to_pylist())} if own else {}
+    cols = vectors.columns
+    one = f"struct<sim:double,c:{kind}>"
+    added = [F.lit(None).cast(f"array<{one}>").alias("sims")] + ([F.lit(None).cast("double").alias("own_sim"), F.lit(None).cast(one).alias("rival")] if own else [])
+
+    def pairs(sims: np.ndarray, rows: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(sims[rows, at]), cs.take(pa.array(at, pa.int64()))], names=["sim", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                n = b.num_rows
+                x = _matrix(pa.concat_arrays([b["v"]]))
+                length = np.sqrt((x * x).sum(1))
+                sims = np.round((x / np.where(length == 0, 1, length)[:, None]) @ m.T, 9) if len(cs) else np.zeros((n, 0))
+                order = _best(sims, most) if most <= 8 else np.argsort(-sims, axis=1, kind="stable")[:, :most]
+                rows = np.repeat(np.arange(n), order.shape[1])
+                out = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * order.shape[1], pa.int32()), pairs(sims, rows, order.ravel()))]
+                if own:
+                    at = np.array([place.get(c, -1) for c in b[own].to_pylist()])
+                    known, rest = at >= 0, sims.copy()
+                    rest[np.flatnonzero(known), at[known]] = -np.inf
+                    mine = np.where(known, sims[np.arange(n), np.maximum(at, 0)], np.nan) if len(cs) else np.full(n, np.nan)
+                    best = rest.argmax(1) if len(cs) else np.zeros(n, np.int64)
+                    some = np.isfinite(rest[np.arange(n), best]) if len(cs) else np.zeros(n, bool)
+                    rival = pairs(sims, np.flatnonzero(some), best[some])
+                    index = np.cumsum(some) - 1
+                    out += [pa.array(mine, mask=~known), rival.take(pa.array(index, pa.int64(), mask=~some))]
+                names = [*cols, "sims", *(["own_sim", "rival"] if own else [])]
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in cols], *out], names=names)
+
+    return vectors.mapInArrow(run, vectors.select(*cols, *added).schema)
 
 
 def label_bank(vectors: DataFrame) -> DataFrame:
@@ -99,10 +174,8 @@ def neighbours_agreeing(vectors: DataFrame, k: int = 3) -> DataFrame:
 
 def justification(vectors: DataFrame) -> DataFrame:
     """Why each vector is in its group: similarity to its own centre and to the next best group, margin, neighbours that agree."""
-    sims = centroid_sims(vectors, label_bank(vectors))
-    own = F.filter("sims", lambda s: s["c"] == F.col("label"))[0]["sim"]
-    rival = F.get(F.filter("sims", lambda s: s["c"] != F.col("label")), F.lit(0))
-    out = sims.select("id", "label", own.alias("own"), F.coalesce(rival["sim"], F.lit(-1.0)).alias("rival"), rival["c"].alias("next_group"))
+    sims = centroid_sims(vectors, label_bank(vectors), 0, "label")
+    out = sims.select("id", "label", F.col("own_sim").alias("own"), F.coalesce("rival.sim", F.lit(-1.0)).alias("rival"), F.col("rival.c").alias("next_group"))
     agree = neighbours_agreeing(vectors)
     out = out.join(agree, "id", "left").withColumn("agree", F.coalesce("agree", F.lit(0)))
     return out.select(
@@ -137,9 +210,8 @@ def cohesion(vectors: DataFrame) -> DataFrame:
 def nearest_cluster(vectors: DataFrame) -> DataFrame:
     """(label, nearest, similarity): the label whose unit centroid is most similar to each label's."""
     bank = centroids(vectors).select(F.col("label").alias("c"), unit(F.col("v")).alias("v"))
-    sims = centroid_sims(bank.withColumnRenamed("c", "label"), bank)
-    best = F.get(F.filter("sims", lambda s: s["c"] != F.col("label")), F.lit(0))
-    return sims.select("label", best["c"].alias("nearest_cluster"), F.round(best["sim"], 4).alias("nearest_similarity"))
+    sims = centroid_sims(bank.withColumnRenamed("c", "label"), bank, 0, "label")
+    return sims.select("label", F.col("rival.c").alias("nearest_cluster"), F.round("rival.sim", 4).alias("nearest_similarity"))
 
 
 def exemplars(vectors: DataFrame) -> DataFrame:
@@ -164,34 +236,33 @@ def representatives(vectors: DataFrame, limit: int = 6) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("label", "id", "rank")
 
 
-def silhouette(vectors: DataFrame, block_rows: int = 1024) -> DataFrame:
+def silhouette(vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
     """One row: the mean silhouette by Euclidean distance; 0 for a single label, and for singletons.
 
-    Distances are taken block against block; only sums by (vector, label) leave a tile.
+    Distances are taken in the tiles of knn(); only sums by (vector, label) leave a tile.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    dealt = vectors.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = dealt.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.flatten(F.collect_list("v")).alias("vs"))
-    left = packed.select(F.col("ids").alias("ids_a"), F.col("labels").alias("labels_a"), F.col("vs").alias("vs_a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    tiles = _tiles(vectors.select("id", "label", "v"), _groups(vectors, block_rows), ["id", "label", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 get = lambda c, r=r: b[c][r].values.to_numpy()
-                a, la, lb = get("ids_a"), get("labels_a"), get("labels")
-                x, y = get("vs_a").reshape(len(a), -1), get("vs").reshape(len(lb), -1)
-                far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-                far[a[:, None] == get("ids")[None, :]] = 0
+                a, la, lb, other = get("id_a"), get("label_a"), get("label"), get("id")
+                x, y = get("v_a").reshape(len(a), -1), get("v").reshape(len(lb), -1)
                 kinds, at = np.unique(lb, return_inverse=True)
-                sums = np.stack([far[:, at == q].sum(1) for q in range(len(kinds))], 1)
-                counts = np.bincount(at)
+                counts, sums = np.bincount(at), np.empty((len(a), len(kinds)))
+                of_kind = [np.flatnonzero(at == q) for q in range(len(kinds))]
+                for s in range(0, len(a), 512):
+                    part = x[s:s + 512]
+                    far = np.sqrt(np.maximum((part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * part @ y.T, 0))
+                    far[a[s:s + 512, None] == other[None, :]] = 0
+                    sums[s:s + 512] = np.stack([far[:, q].sum(1) for q in of_kind], 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(a, len(kinds))), pa.array(np.repeat(la, len(kinds)).astype(np.int32)), pa.array(np.tile(kinds, len(a)).astype(np.int32)), pa.array(sums.ravel()), pa.array(np.tile(counts, len(a)))],
                     names=["id", "label", "other", "far", "n"],
                 )
 
-    parts = left.join(packed, "block").select("ids_a", "labels_a", "vs_a", "ids", "labels", "vs").mapInArrow(run, "id long, label int, other int, far double, n long")
+    parts = tiles.select("id_a", "label_a", "v_a", "id", "label", "v").mapInArrow(run, "id long, label int, other int, far double, n long")
     sums = parts.groupBy("id", "label", "other").agg(F.sum("far").alias("far"), F.sum("n").alias("n"))
     own = F.col("label") == F.col("other")
     per = sums.groupBy("id").agg(

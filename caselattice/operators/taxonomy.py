@@ -32,7 +32,7 @@ def usable(known: DataFrame, min_examples: int = MIN_EXAMPLES) -> DataFrame:
 
 def classify(vectors: DataFrame, known: DataFrame) -> DataFrame:
     """(id, label, confidence, margin, candidate_label, withheld_at_default); all null where no label has enough examples."""
-    sims = centroid_sims(vectors, usable(known))
+    sims = centroid_sims(vectors, usable(known), 2)
     best, runner = F.get("sims", F.lit(0)), F.coalesce(F.get("sims", F.lit(1))["sim"], F.lit(-1.0))
     margin = best["sim"] - runner
     withheld = (best["sim"] < MIN_CONFIDENCE) | (margin < MIN_MARGIN)
@@ -80,32 +80,38 @@ def evaluate(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return met.agg(F.count("label").alias("answered"), F.count("*").alias("of"), F.round(hit, 3).alias("agreement"))
 
 
+def _name_sims(groups: DataFrame, stored: DataFrame) -> DataFrame:
+    """groups (cluster, fingerprint, v) with ``sims``: (sim, (name, fingerprint)) of every stored name with a direction, best first. Groups without one are left out."""
+    bank = stored.where(norm(F.col("v")) > 0).select(F.struct("name", "fingerprint").alias("c"), unit(F.col("v")).alias("v"))
+    return centroid_sims(groups.where(norm(F.col("v")) > 0), bank)
+
+
 def name_candidates(groups: DataFrame, stored: DataFrame) -> DataFrame:
     """(cluster, name, fingerprint_match, similarity) of every group with every stored name. groups: (cluster, fingerprint, v);
     stored: (name, fingerprint, v), a bounded list of names."""
-    bank = stored.where(norm(F.col("v")) > 0).select(F.struct("name", "fingerprint").alias("c"), unit(F.col("v")).alias("v"))
-    sims = centroid_sims(groups.where(norm(F.col("v")) > 0), bank)
-    each = sims.select("cluster", "fingerprint", F.explode("sims").alias("s"))
+    each = _name_sims(groups, stored).select("cluster", "fingerprint", F.explode("sims").alias("s"))
     return each.select("cluster", F.col("s.c.name").alias("name"), (F.col("s.c.fingerprint") == F.col("fingerprint")).alias("fingerprint_match"), F.round("s.sim", 4).alias("similarity"))
 
 
 def restore_names(groups: DataFrame, stored: DataFrame) -> DataFrame:
-    """(cluster, name, match, similarity, drift): in order of clusters, the exactly matching name if untaken, else the most similar untaken one if
-    similar enough. The few (group, name) pairs are settled on the driver, as each choice depends on the ones before."""
-    by: dict[int, list] = {}
-    for r in name_candidates(groups, stored).collect():
-        by.setdefault(r["cluster"], []).append(r)
+    """(cluster, name, match, similarity, drift): in order of clusters, the name of the same fingerprint if untaken, whatever the centroids; else the
+    most similar untaken name (ties by name) if it is similar enough, unrounded.
+
+    Groups or names without a direction (zero vectors) match by fingerprint only. Fingerprints are met by a join; each choice depends
+    on the ones before, so these are made on the driver, over a row a group with the similarities of the bounded list of names.
+    """
+    exact = groups.join(stored.groupBy("fingerprint").agg(F.min("name").alias("same")), "fingerprint", "left").select("cluster", "same")
+    near = _name_sims(groups, stored).select("cluster", F.transform("sims", lambda s: F.struct(s["sim"].alias("sim"), s["c"]["name"].alias("name"))).alias("near"))
     taken, out = set(), []
-    for c in sorted(r["cluster"] for r in groups.select("cluster").collect()):
-        rows = sorted(by.get(c, []), key=lambda r: (-r["similarity"], r["name"]))
-        exact = next((r["name"] for r in rows if r["fingerprint_match"]), None)
-        best = next((r for r in rows if r["name"] not in taken), None)
-        if exact is not None and exact not in taken:
-            out.append((c, exact, "exact", 1.0, False))
-            taken.add(exact)
-        elif best is not None and best["similarity"] >= CARRY_MIN:
-            out.append((c, best["name"], "carried_over", best["similarity"], best["similarity"] < DRIFT_BELOW))
-            taken.add(best["name"])
+    for r in exact.join(near, "cluster", "left").orderBy("cluster").collect():
+        free = ((s["sim"], s["name"]) for s in r["near"] or () if s["name"] not in taken)
+        if r["same"] is not None and r["same"] not in taken:
+            name, match, sim = r["same"], "exact", 1.0
         else:
-            out.append((c, None, None, best["similarity"] if best else None, False))
+            sim, name = next(free, (None, None))
+            match = "carried_over" if sim is not None and sim >= CARRY_MIN else None
+            name = name if match else None
+        taken |= {name} - {None}
+        shown = None if sim is None else round(sim, 4)
+        out.append((r["cluster"], name, match, shown, match == "carried_over" and shown < DRIFT_BELOW))
     return groups.sparkSession.createDataFrame(out, "cluster int, name string, match string, similarity double, drift boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rows import numbered
-from ..functions.scalars import CONFIDENCE_LEVELS, case_key, fingerprint, reason
+from ..functions.scalars import CONFIDENCE_LEVELS, case_key, clean_label, fingerprint, reason
 from ..operators import clustering, geometry, resampling, similarity, taxonomy, text_naming
 from ..sources import store as stores
 
@@ -74,6 +74,19 @@ def inject(payload: str, template: str) -> str | None:
     return None if a < 0 or b < 0 else template[: a + len(START)] + payload + template[b:]
 
 
+def _asked(spark: SparkSession, namer, texts: list[str], used: set[str]) -> str | None:
+    """The namer's answer as a clean label that no group has; asked a second time with the names to avoid. An error is no answer."""
+    for avoid in (set(), used):
+        try:
+            answer = namer(texts, avoid)
+        except Exception:
+            return None
+        label = spark.createDataFrame([(answer,)], "a string").select(clean_label(F.col("a")).alias("l")).first()["l"]
+        if label and label.casefold() not in used:
+            return label
+    return None
+
+
 def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed: int = 42, store: stores.Store | None = None, rounds: int = resampling.ROUNDS, model=None, namer=None, source: str = "", vectors: DataFrame | None = None) -> dict:
     """The whole run over a normalised register; what it returns is the payload as a dict. vectors: (id, v), else embed() makes them.
 
@@ -96,8 +109,9 @@ def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed:
         shown = similarity.representatives(labelled).join(docs.select("id", F.substr("text", F.lit(1), F.lit(220)).alias("text")), "id").collect()
         used: set[str] = set()
         for c in sorted(names, key=lambda c: -cohesion[c]):
-            label = namer([r["text"] for r in sorted(shown, key=lambda r: r["rank"]) if r["label"] == c], used) if cohesion[c] >= 0.25 else None
-            if label and label.casefold() not in used:
+            texts = [r["text"] for r in sorted(shown, key=lambda r: r["rank"]) if r["label"] == c]
+            label = _asked(spark, namer, texts, used) if cohesion[c] >= 0.25 else None
+            if label:
                 used.add(label.casefold())
                 names[c] |= {"name": label, "label_source": "model"}
     known = store.read("label_centroids").select("label", "vector_sum", "n") if store else spark.createDataFrame([], "label string, vector_sum array<double>, n long")

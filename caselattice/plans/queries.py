@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import tables
 from ..functions.rows import numbered
 from ..functions.vectors import norm, unit
 from ..operators import clustering, geometry, resampling, similarity, taxonomy, text_naming
@@ -297,15 +298,11 @@ def row_ids(spark, d):
 @query("select sep, count(*) as n from (values (','), (';'), (chr(9))) t(sep), documents group by sep")
 def ingest_csv(spark, d):
     """The register written and read again as comma-, semicolon- and tab-separated files."""
-    import tempfile
     from functools import reduce
 
     parts = []
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
     for sep, name in ((",", "csv"), (";", "txt"), ("\t", "tsv")):
-        import uuid
-
-        path = f"{conf.rstrip('/')}/export-{uuid.uuid4().hex}.{name}"
+        path = f"{tables.table_path(spark, 'export')}.{name}"
         export(spark, d).write.csv(path, sep=sep, header=True, quote='"', escape='"')
         back = tabular.read_tabular(spark, path)
         parts.append(tabular.normalise(back).agg(F.lit(sep).alias("sep"), F.count("*").alias("n")))
@@ -329,13 +326,13 @@ def group_fingerprint(spark, d):
 
 
 @query(
-    "select doc_id, regexp_replace(trim(trim(string_split_regex(trim(left(text, 40), chr(32) || chr(9) || chr(10) || chr(13)), '\\r\\n|\\r|\\n')[1]), '\"''“”‘’ ' || chr(9) || '.:;-–—*#'), '\\s+', ' ', 'g') as t, "
+    "select doc_id, regexp_replace(trim(trim(string_split_regex(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '\\r\\n|\\r|\\n')[1]), '\"''“”‘’ ' || chr(9) || '.:;-–—*#'), '\\s+', ' ', 'g') as t, "
     "case when t <> '' and not regexp_matches(t, '" + S.NOT_A_LABEL.replace("'", "''") + "') and not regexp_matches(t, '[0-9]') and length(t) <= 46 and len(string_split(t, ' ')) between 2 and 6 "
     "and length(t) - length(replace(t, ',', '')) <= 1 and not contains(left(t, -1), '.') then upper(t[1]) || t[2:] end as label from documents"
 )
 def label_clean(spark, d):
-    """The first 40 characters of each text, as if a model had answered them."""
-    raw = F.substr("text", F.lit(1), F.lit(40))
+    """Each text as if a model had answered it."""
+    raw = F.col("text")
     line = F.trim(F.split(F.btrim(raw, F.lit(" \t\r\n")), r"\r\n|\r|\n").getItem(0))
     text = F.regexp_replace(F.btrim(line, F.lit("\"'“”‘’ \t.:;-–—*#")), r"\s+", " ")
     return table(spark, d, "documents").select("doc_id", text.alias("t"), S.clean_label(raw).alias("label"))
@@ -499,42 +496,43 @@ def constraint_report(spark, d):
     return clustering.constraint_report(links, clustering.link_components(v.select("id"), links.where("kind = 'same'")), v.select("id", F.col("label").alias("cluster")))
 
 
-# --- taxonomy. 7 of 10 vectors teach, the others are held out.
+# --- taxonomy. All vectors teach and are classified; for the evaluation 7 of 10 teach and the others are held out.
 
 
-def taught(spark, d):
-    return vectors(spark, d).where("id % 10 < 7").select(F.concat(F.lit("label-"), "label").alias("label"), "v")
+def taught(v):
+    return v.select(F.concat(F.lit("label-"), "label").alias("label"), "v")
 
 
 def known(spark, d):
-    return taxonomy.learn(None, taught(spark, d))
-
-
-def held_out(spark, d):
-    return vectors(spark, d).where("id % 10 >= 7")
+    return taxonomy.learn(None, taught(vectors(spark, d)))
 
 
-LEARN = (
-    f"{V}, te as (select 'label-' || label as label, unnest(v) as x, unnest(range(len(v))) as pos from v where id % 10 < 7), ts as (select label, pos, round(sum(x), 6) as x, count(*) as n from te group by label, pos), "
-    f"known as (select label, list(x order by pos) as s, max(n) as n from ts group by label), kb as (select label as c, {unit_sql('s')} as v from known where n >= 5)"
-)
+def learn_sql(taught: str = "true") -> str:
+    return (
+        f"{V}, te as (select 'label-' || label as label, unnest(v) as x, unnest(range(len(v))) as pos from v where {taught}), ts as (select label, pos, round(sum(x), 6) as x, count(*) as n from te group by label, pos), "
+        f"known as (select label, list(x order by pos) as s, max(n) as n from ts group by label), kb as (select label as c, {unit_sql('s')} as v from known where n >= 5)"
+    )
 
 
-@query(f"with {LEARN} select label, pos::int as pos, x, n from ts")
+@query(f"with {learn_sql()} select label, pos::int as pos, x, n from ts")
 def learn_centroids(spark, d):
     return known(spark, d).select("label", F.posexplode("vector_sum").alias("pos", "x"), "n")
 
 
-CLASSIFY = (
-    f"{LEARN}, hu as (select id, {unit_sql('v')} as v from v where id % 10 >= 7), hs as (select id, c, round(list_dot_product(hu.v, kb.v), 9) as sim, row_number() over (partition by id order by round(list_dot_product(hu.v, kb.v), 9) desc, c) as r from hu, kb), "
-    "best as (select a.id, a.c, a.sim, a.sim - coalesce(b.sim, -1) as margin, (a.sim < 0.25 or a.sim - coalesce(b.sim, -1) < 0.02) as withheld from hs a left join hs b on a.id = b.id and b.r = 2 where a.r = 1), "
-    "pred as (select id, case when not withheld then c end as label, round(sim, 4) as confidence, round(margin, 4) as margin, c as candidate_label, withheld as withheld_at_default from best)"
-)
+def classify_sql(taught: str = "true", asked: str = "true") -> str:
+    return (
+        f"{learn_sql(taught)}, hu as (select id, {unit_sql('v')} as v from v where {asked}), hs as (select id, c, round(list_dot_product(hu.v, kb.v), 9) as sim, row_number() over (partition by id order by round(list_dot_product(hu.v, kb.v), 9) desc, c) as r from hu, kb), "
+        "best as (select a.id, a.c, a.sim, a.sim - coalesce(b.sim, -1) as margin, (a.sim < 0.25 or a.sim - coalesce(b.sim, -1) < 0.02) as withheld from hs a left join hs b on a.id = b.id and b.r = 2 where a.r = 1), "
+        "pred as (select id, case when not withheld then c end as label, round(sim, 4) as confidence, round(margin, 4) as margin, c as candidate_label, withheld as withheld_at_default from best)"
+    )
+
+
+CLASSIFY = classify_sql()
 
 
 @query(f"with {CLASSIFY} select * from pred")
 def classify(spark, d):
-    return taxonomy.classify(held_out(spark, d), known(spark, d))
+    return taxonomy.classify(vectors(spark, d), known(spark, d))
 
 
 FILED = (
@@ -546,7 +544,7 @@ FILED = (
 
 def house(spark, d):
     filed = store.latest(table(spark, d, "events").select(F.pmod("user_id", F.lit(500)).cast("string").alias("case_key"), F.col("event_type").alias("label"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq")), ["case_key"], "label")
-    h = held_out(spark, d)
+    h = vectors(spark, d)
     return taxonomy.with_filed(taxonomy.classify(h, known(spark, d)), h.select("id", F.col("id").cast("string").alias("case_key")), filed.withColumnRenamed("label", "filed_label"))
 
 
@@ -592,10 +590,12 @@ def house_taxonomy(spark, d):
     return top.join(won, "cluster", "left").select("cluster", "size", "winner", "share")
 
 
-@query(f"with {CLASSIFY} select count(pred.label) as answered, count(*) as of, round(avg(case when pred.label is not null then (pred.label = 'label-' || v.label)::int end), 3) as agreement from pred join v using (id)")
+@query(f"with {classify_sql('id % 10 < 7', 'id % 10 >= 7')} select count(pred.label) as answered, count(*) as of, round(avg(case when pred.label is not null then (pred.label = 'label-' || v.label)::int end), 3) as agreement from pred join v using (id)")
 def taxonomy_eval(spark, d):
-    h = held_out(spark, d)
-    return taxonomy.evaluate(taxonomy.classify(h, known(spark, d)), h.select("id", F.concat(F.lit("label-"), "label").alias("truth")))
+    """A hold-out of 3 in 10."""
+    v = vectors(spark, d)
+    h = v.where("id % 10 >= 7")
+    return taxonomy.evaluate(taxonomy.classify(h, taxonomy.learn(None, taught(v.where("id % 10 < 7")))), h.select("id", F.concat(F.lit("label-"), "label").alias("truth")))
 
 
 GROUPS = (
@@ -701,7 +701,8 @@ def term_coverage(spark, d):
 
 @query(
     f"with {DISTINCT}, top as (select *, row_number() over (partition by label order by round(score, 9) desc, term) as r from sc where score > 1e-9), t40 as (select * from top where r <= 40 and not regexp_matches(term, '[0-9]')), "
-    "cv as (select t40.label, term, score, avg(regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || term || '($|[^\\p{L}\\p{N}_])')::int) as coverage from t40 join d on d.label = t40.label group by all) "
+    "sp as (select label, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}_ ]+', ' | ', 'g') || ' ' as p from d), "
+    "cv as (select t40.label, term, score, avg(contains(p, ' ' || term || ' ')::int) as coverage from t40 join sp on sp.label = t40.label group by all) "
     "select label, term, round(score * case when contains(term, ' ') then 1.25 else 1 end, 6) as score, round(coverage, 4) as coverage from cv where coverage >= 0.05"
 )
 def term_candidates(spark, d):

@@ -1,6 +1,7 @@
 """The decision store: seven Parquet tables that hold hashes, aggregates and decisions, never case text.
 
-Small tables are overwritten as a new version and switched by a pointer file; logs are appended to.
+Small tables are overwritten as a new version, which counts as soon as its folder has its name; logs are appended to. A version
+also holds marks: by stream, the last batch that is in it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import case_key, fingerprint
 from ..operators import taxonomy
 
+#: Tables and their columns.
 SCHEMAS = {
     "group_names": "fingerprint string, name string, centroid array<double>, n_cases long, author string, created_at string",
     "label_centroids": "label string, vector_sum array<double>, n long, updated_at string",
@@ -54,13 +56,29 @@ class Store:
         path = self._current(table) or f"{self.root}/{table}/v{0:09d}"
         rows.select(*self.spark.createDataFrame([], SCHEMAS[table]).columns).write.mode("append").parquet(path)
 
-    def overwrite(self, table: str, rows: DataFrame) -> None:
-        """A new version, written beside the old one and then renamed, so that readers see either."""
+    def marks(self, table: str) -> dict[str, int]:
+        """By stream, the number of its last batch in the table's current version."""
+        path = self._current(table)
+        p, fs = self._fs(f"{path}/_marks")
+        if not path or not fs.exists(p):
+            return {}
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def overwrite(self, table: str, rows: DataFrame, marks: dict[str, int] | None = None) -> None:
+        """A new version, written beside the old one and then renamed, so that readers see either. Its rows and its marks (those of the
+        old version and new ones) come with that one step."""
         last = self._current(table)
         number = int(last.rsplit("v", 1)[1]) + 1 if last else 0
         made = f"{self.root}/{table}/.new-{uuid.uuid4().hex}"
         rows.select(*self.spark.createDataFrame([], SCHEMAS[table]).columns).write.parquet(made)
         src, fs = self._fs(made)
+        out = fs.create(self._fs(f"{made}/_marks")[0])
+        out.write(bytearray(json.dumps(self.marks(table) | (marks or {})).encode()))
+        out.close()
         if not fs.rename(src, self._fs(f"{self.root}/{table}/v{number:09d}")[0]):
             raise RuntimeError(f"{table} was changed by another writer")
 
@@ -109,10 +127,10 @@ class Store:
         """(case_key, filed_label): each case's latest label."""
         return latest(self.read("case_labels"), ["case_key"], "label").withColumnRenamed("label", "filed_label")
 
-    def learn(self, taught: DataFrame, author: str | None = None) -> None:
-        """Add vectors (label, v) to the running sums; only sums are kept."""
+    def learn(self, taught: DataFrame, author: str | None = None, marks: dict[str, int] | None = None) -> None:
+        """Add vectors (label, v) to the running sums; only sums are kept. marks: the stream and batch that they are from."""
         sums = taxonomy.learn(self.read("label_centroids").select("label", "vector_sum", "n"), taught)
-        self.overwrite("label_centroids", sums.withColumn("updated_at", F.lit(now())))
+        self.overwrite("label_centroids", sums.withColumn("updated_at", F.lit(now())), marks)
         self.log("learn", {"labels": sorted(r["label"] for r in taught.select("label").distinct().collect())}, author)
 
     def record_run(self, run: dict, assigned: DataFrame) -> int:

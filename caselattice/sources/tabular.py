@@ -13,7 +13,6 @@ from ..functions.scalars import date, na_to_null, severity
 
 DELIMITED, SHEETS = {".csv", ".tsv", ".txt"}, {".xlsx", ".xlsm"}
 LEAST_ROWS = 10
-SNIFF_BYTES = 1 << 16
 
 #: Squashed headers by canonical column, best first.
 SYNONYMS: dict[str, list[str]] = {
@@ -69,17 +68,26 @@ def resolve_columns(df: DataFrame, overrides: dict[str, str] | None = None) -> d
     return out
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Separator, from the first bytes of the file, and encoding, from all its lines: UTF-8 if every one is valid, else windows-1252."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES).alias("c")).first()["c"])
-    valid = spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
-    encoding = "UTF-8" if valid else "windows-1252"
-    text = head.decode("utf-8-sig", "ignore") if valid else head.decode("cp1252", "replace")
-    try:
-        sep = csv.Sniffer().sniff(text.splitlines()[0] if text else ",", delimiters=",;\t|").delimiter
-    except (csv.Error, IndexError):
-        sep = max(",;\t", key=text.count)
-    return sep, encoding
+#: The characters that windows-1252 has in place of ISO-8859-1's control characters.
+C1 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def separator(header: str) -> str:
+    """The one of the usual separators that cuts the header into the most columns; the first of equal ones, a comma if none cuts it."""
+    return max([",", ";", "\t", "|"], key=lambda sep: len(next(csv.reader([header], delimiter=sep), [])))
+
+
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings. UTF-8 if every line of the file is valid, else windows-1252: read as ISO-8859-1, whose few other characters are put right."""
+    lines = spark.read.text(path)
+    header = lines.where(F.trim("value") != "").first()
+    utf8 = lines.where(~F.is_valid_utf8("value")).isEmpty()
+    sep = separator(header["value"].lstrip("\ufeff") if header else ",")
+    df = spark.read.csv(path, sep=sep, encoding="UTF-8" if utf8 else "ISO-8859-1", header=True, multiLine=True, quote='"', escape='"')
+    if utf8:
+        return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns[:1]})
+    right = lambda c: F.translate(c, "".join(C1), "".join(C1.values()))
+    return df.select(*[right(F.col(f"`{c}`")).alias(c.translate(str.maketrans(C1))) for c in df.columns])
 
 
 def read_tabular(spark: SparkSession, path: str) -> DataFrame:
@@ -91,12 +99,7 @@ def read_tabular(spark: SparkSession, path: str) -> DataFrame:
         register(spark)
         df = spark.read.format("xlsx").load(path)
     elif suffix in DELIMITED:
-        sep, encoding = sniff(spark, path)
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        df = spark.read.csv(path, sep=sep, encoding=encoding, header=True, multiLine=True, quote='"', escape='"')
-        first = df.columns[0] if df.columns else ""
-        if first.startswith("﻿"):
-            df = df.withColumnRenamed(first, first.lstrip("﻿"))
+        df = read_delimited(spark, path)
     else:
         raise ValueError(f"{suffix or path} is not a supported kind of file: {sorted(DELIMITED | SHEETS)}")
     return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
