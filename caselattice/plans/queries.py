@@ -80,7 +80,12 @@ def case_justification(spark, d):
     return similarity.justification(vectors(spark, d))
 
 
-@query()
+@query(
+    f"with {JUSTIFY}, two as (select *, round(to_own, 2) + 0.0 as o, round(to_next, 2) + 0.0 as r, printf('%.2f', round(to_own, 2) + 0.0) as so, printf('%.2f', round(to_next, 2) + 0.0) as sr, neighbours_agreeing as agree from why) "
+    "select id, case when o - r < 0.02::double then 'borderline: group ' || next_group || ' is nearly as close (' || sr || ' against ' || so || ')' "
+    "when agree = 3 then 'its three nearest cases share the group; similarity to the centre ' || so when agree = 0 then 'none of its three nearest cases shares the group; placed by similarity ' || so "
+    "else agree || ' of its three nearest cases share the group; similarity ' || so || ', ahead by ' || printf('%.2f', o - r) end as reason from two"
+)
 def case_reasons(spark, d):
     why = similarity.justification(vectors(spark, d))
     return why.select("id", plan.text_reason(why).alias("reason"))
@@ -197,7 +202,16 @@ def separate_pass(spark, d):
     return geometry.separate_pass(points(spark, d)).select("id", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
-@query()
+# centres keep their mean, so each pass makes their gaps 1.65 times as wide: the number of passes follows from the first gap
+@query(
+    f"with {P}, m as (select avg(x) as mx, avg(y) as my, avg(z) as mz from pts), s as (select max(greatest(abs(x - mx), abs(y - my), abs(z - mz))) as span from pts, m), "
+    "q as (select id, label, (x - mx) * 100 / span as x, (y - my) * 100 / span as y, (z - mz) * 100 / span as z from pts, m, s), c as (select label, avg(x) as cx, avg(y) as cy, avg(z) as cz from q group by label), "
+    "g as (select coalesce(min(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2)), 1e9) as gap from c a join c b on a.label < b.label), b as (select avg(x) as bx, avg(y) as by_, avg(z) as bz from q), "
+    "f as (select case when gap >= 45 then 1.0 when gap * 1.65 >= 45 then 1.65 when gap * 1.65 ** 2 >= 45 then 1.65 ** 2 else 1.65 ** 3 end::double - 1 as f from g), "
+    "w as (select id, x + (cx - bx) * f as x, y + (cy - by_) * f as y, z + (cz - bz) * f as z from q join c using (label), b, f), "
+    "m2 as (select avg(x) as mx, avg(y) as my, avg(z) as mz from w), s2 as (select max(greatest(abs(x - mx), abs(y - my), abs(z - mz))) as span from w, m2) "
+    "select id, round((x - mx) * 100 / span, 3) as x, round((y - my) * 100 / span, 3) as y, round((z - mz) * 100 / span, 3) as z from w, m2, s2"
+)
 def separate_clusters(spark, d):
     return geometry.separate(geometry.rescale(points(spark, d)))[0].select("id", *[F.round(a, 3).alias(a) for a in "xyz"])
 
@@ -599,7 +613,7 @@ def taxonomy_eval(spark, d):
 
 
 GROUPS = (
-    f"{V}, {mean_sql('g', 'v')}, {mean_sql('st', '(select label, v from v where id % 10 < 7)')}, gu as (select label as cluster, md5('group-' || label) as fp, {unit_sql('v')} as v from g), "
+    f"{V}, {mean_sql('g', 'v')}, {mean_sql('st', '(select label, list_transform(v, lambda x: x * (1 + id % 3)) as v from v)')}, gu as (select label as cluster, md5('group-' || label) as fp, {unit_sql('v')} as v from g), "
     f"su as (select 'name-' || label as name, case when label % 3 = 0 then md5('group-' || label) else md5('other') end as fp, {unit_sql('v')} as v from st)"
 )
 
@@ -607,7 +621,8 @@ GROUPS = (
 def name_groups(spark, d):
     v = vectors(spark, d)
     groups = similarity.centroids(v).select(F.col("label").alias("cluster"), F.md5(F.concat(F.lit("group-"), "label")).alias("fingerprint"), "v")
-    saved = similarity.centroids(v.where("id % 10 < 7")).select(F.concat(F.lit("name-"), "label").alias("name"), F.md5(F.when(F.col("label") % 3 == 0, F.concat(F.lit("group-"), "label")).otherwise("other")).alias("fingerprint"), "v")
+    weighed = v.withColumn("v", F.transform("v", lambda x: x * (1 + F.pmod("id", F.lit(3)))))  # as of an earlier run
+    saved = similarity.centroids(weighed).select(F.concat(F.lit("name-"), "label").alias("name"), F.md5(F.when(F.col("label") % 3 == 0, F.concat(F.lit("group-"), "label")).otherwise("other")).alias("fingerprint"), "v")
     return groups, saved
 
 
@@ -616,7 +631,15 @@ def name_candidates(spark, d):
     return taxonomy.name_candidates(*name_groups(spark, d))
 
 
-@query()
+@query(
+    f"with recursive {GROUPS}, o as (select cluster, row_number() over (order by cluster) as pos, (select min(name) from su where su.fp = gu.fp) as same, "
+    "(select list({'s': round(list_dot_product(gu.v, su.v), 9), 'n': name} order by round(list_dot_product(gu.v, su.v), 9) desc, name) from su) as offers from gu), "
+    "walk as (select 0::bigint as pos, []::varchar[] as taken, null::int as cluster, null::varchar as name, null::varchar as match, null::double as similarity union all "
+    "select pos, case when nm is null then taken else list_append(taken, nm) end, cluster, nm, case when ex then 'exact' when nm is not null then 'carried_over' end, case when ex then 1.0 else round(best.s, 4) end "
+    "from (select o.pos, taken, o.cluster, list_filter(offers, lambda f: not list_contains(taken, f.n))[1] as best, coalesce(not list_contains(taken, same), false) as ex, "
+    "case when coalesce(not list_contains(taken, same), false) then same when list_filter(offers, lambda f: not list_contains(taken, f.n))[1].s >= 0.92 then list_filter(offers, lambda f: not list_contains(taken, f.n))[1].n end as nm from walk join o on o.pos = walk.pos + 1)) "
+    "select cluster, name, match, similarity, coalesce(match = 'carried_over' and similarity < 0.96, false) as drift from walk where pos > 0"
+)
 def restore_names(spark, d):
     return taxonomy.restore_names(*name_groups(spark, d))
 
