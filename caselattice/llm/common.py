@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import dropped, few, met, one_use, shared_dir, table_path, written  # noqa: F401
+
 #: The ASCII white space that separates words, as characters and as a pattern of words.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,64 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where none is set: a folder of our own in local mode (tests), on a cluster an error."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where and sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc._jsc.sc().getCheckpointDir().get()
-    if not where:
-        if not sc._jsc.sc().isLocal():
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="caselattice-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A path for a new table in the shared folder."""
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-
-
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def one_use(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterator[None]:
-    """Plans begun inside leave no shuffle files behind: Spark removes them as each ends. settings: others that hold meanwhile."""
-    settings = {CLEAN_UP: "true"} | (settings or {})
-    old = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: short lineage that outlives any executor."""
-    path, schema = table_path(df.sparkSession, name), df.schema
-    with one_use(df.sparkSession):
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-    back = df.sparkSession.read.schema(schema).parquet(path)
-    back._table_path = path
-    return back
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by written() that no later plan reads."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._table_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is. Pure ASCII texts take the short way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -100,23 +36,6 @@ def content_hash(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[df[c] for c, t in df.dtypes if "map<" not in t])
 
 
-#: Rows, and bytes of them, that a join may send to every task at once, after they were counted.
-MOST_BROADCAST, MOST_BROADCAST_BYTES = 100_000, 16 << 20
-
-
-def few(rows: DataFrame) -> bool:
-    """Whether rows may be broadcast. At most MOST_BROADCAST + 1 of them are read."""
-    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(16) if "<" not in t else F.octet_length(F.to_json(F.struct(c))) for c, t in rows.dtypes]
-    size = reduce(lambda a, b: a + b, wide, F.lit(8)).cast("long")
-    found = rows.limit(MOST_BROADCAST + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
-    return found["n"] <= MOST_BROADCAST and (found["bytes"] or 0) <= MOST_BROADCAST_BYTES
-
-
-def met(rows: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:
-    """rows joined with a side: broadcast where it is counted small, else merged, where Spark splits large keys."""
-    return rows.join(F.broadcast(side) if few(side) else side.hint("merge"), on, how)
-
-
 def numbered_rows(df: DataFrame) -> DataFrame:
     """df with ``rid``, a number of each row that must be written before it is used."""
     return df.withColumn("rid", F.monotonically_increasing_id())

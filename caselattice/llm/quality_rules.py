@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, documents, written
+from .common import UPPER, documents, few, written
 
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -172,7 +172,7 @@ def join_verdicts(docs: DataFrame, verdicts: DataFrame, host_col: str = "source"
     bad = verdicts.select(F.col("host").alias("__host"), "host_rejected", strict.alias("host_rules")).where("host_rejected or size(host_rules) > 0")
     docs = docs.drop("host_rejected", "host_rules").withColumn("__own", host_of(F.col(host_col)))
     same = F.col("__own").eqNullSafe(F.col("__host"))
-    if bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST and few(bad):
         out = docs.join(F.broadcast(bad), same, "left")
     else:
         bad = bad.withColumn("__salt_b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

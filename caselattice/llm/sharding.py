@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, content_hash, documents, numbered_rows, starts_of, told_apart, written
+from ..functions.tables import MOST_BROADCAST
+from .common import content_hash, documents, numbered_rows, starts_of, told_apart, written
 
 #: A bucket is held about this many times while it is shuffled (rows, sorted rows, shuffled rows, in objects).
 TIMES_HELD = 12

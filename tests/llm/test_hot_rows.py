@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from caselattice.functions import tables
 from caselattice.llm import common, mixing, packing, sharding
 
 
@@ -40,7 +41,7 @@ def test_sharding_spreads_repeated_rows(spark, hot):
 
 
 def test_mixing_many_sources_without_broadcast(spark, hot, monkeypatch):
-    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(tables, "MOST_BROADCAST", 0)
     monkeypatch.setattr(mixing, "LEAF", 50)
     rng = random.Random(3)
     more = spark.createDataFrame([(i, "w " * rng.randint(0, 9), f"s{rng.randrange(300)}") for i in range(2000)], "doc_id long, text string, source string")

@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from caselattice.functions import tables
 from caselattice.llm import common, line_dedup, ngram_join
 
 SCHEMA = "doc_id long, text string, source string"
@@ -31,7 +32,7 @@ def test_runs_meet_without_a_shuffle_or_sort(spark):
     assert "LeftAnti" in fresh and "Exchange" not in fresh and "Sort [" not in fresh
     assert "FullOuter" in merged and "Exchange" not in merged and "Sort [" not in merged
     assert runs.merged().count() == 300 and runs.merged().agg(F.sum("n_docs")).first()[0] == 2000 + 450
-    assert spark.conf.get(common.CLEAN_UP) == "false"
+    assert spark.conf.get(tables.CLEAN_UP) == "false"
     line_dedup.forgotten(*runs.all())
 
 
@@ -87,7 +88,7 @@ def test_one_row_of_a_repeated_id_whatever_the_layout(spark):
 
 
 def test_components_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(tables, "MOST_BROADCAST", 0)
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(1, 20)]
     got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 31)} | {100 + k: 100 for k in range(1, 20)}
