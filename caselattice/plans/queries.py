@@ -81,7 +81,7 @@ def case_justification(spark, d):
 
 
 @query(
-    f"with {JUSTIFY}, two as (select *, round(to_own, 2) + 0.0 as o, round(to_next, 2) + 0.0 as r, printf('%.2f', round(to_own, 2) + 0.0) as so, printf('%.2f', round(to_next, 2) + 0.0) as sr, neighbours_agreeing as agree from why) "
+    f"with {JUSTIFY}, two as (select *, round(to_own::decimal(9, 4), 2)::double + 0.0 as o, round(to_next::decimal(9, 4), 2)::double + 0.0 as r, printf('%.2f', round(to_own::decimal(9, 4), 2)::double + 0.0) as so, printf('%.2f', round(to_next::decimal(9, 4), 2)::double + 0.0) as sr, neighbours_agreeing as agree from why) "
     "select id, case when o - r < 0.02::double then 'borderline: group ' || next_group || ' is nearly as close (' || sr || ' against ' || so || ')' "
     "when agree = 3 then 'its three nearest cases share the group; similarity to the centre ' || so when agree = 0 then 'none of its three nearest cases shares the group; placed by similarity ' || so "
     "else agree || ' of its three nearest cases share the group; similarity ' || so || ', ahead by ' || printf('%.2f', o - r) end as reason from two"
