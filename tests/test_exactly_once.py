@@ -126,3 +126,24 @@ def test_centroid_sims_against_numpy(spark):
         assert r.rival.c == next(c for c in np.argsort(-want[r.id], kind="stable") if c != r.label)
     empty = similarity.centroid_sims(v, b.limit(0), 2, "label").collect()
     assert all(r.sims == [] and r.own_sim is None and r.rival is None for r in empty)
+
+
+def test_kmeans_fits_together_against_numpy(spark):
+    from caselattice.operators import clustering
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(60, 3)) + 7 * np.eye(3)[c] for c in range(3)])
+    w = rng.integers(1, 4, len(x)).astype(float)
+    points = spark.createDataFrame([(i, v.tolist(), float(u)) for i, (v, u) in enumerate(zip(x, w))], "id long, space array<double>, w double").repartition(5).cache()
+    placed, centres, cost = clustering.kmeans(points, 3, 6, weight="w")
+    own = {r.id: r.cluster for r in placed.collect()}
+    c = np.array(centres)
+    far = ((x[:, None] - c[None]) ** 2).sum(2)
+    assert [own[i] for i in range(len(x))] == far.argmin(1).tolist() and abs(cost - (far.min(1) * w).sum()) < 1e-6
+    for q in range(3):  # a fixed point: each centre is its members' mean
+        at = far.argmin(1) == q
+        assert np.abs(c[q] - (x[at] * w[at, None]).sum(0) / w[at].sum()).max() < 1e-3
+    assert all(len({own[i] for i in range(60 * q, 60 * q + 60)}) <= 2 for q in range(3)) and cost <= clustering.kmeans(points, 3, 1, weight="w")[2] + 1e-9
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "id long, space array<double>")
+    assert clustering.kmeans(same, 3, 2)[2] == 0.0
+    assert clustering.kmeans(same.limit(0), 3, 2)[0].count() == 0
