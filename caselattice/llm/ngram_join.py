@@ -28,10 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_hash, documents, dropped, met, written
+from .common import content_hash, documents, dropped, met, one_use, written
 from .quality_rules import pieces, split_words
 
 SLACK, STEP, PARTS, BLOCK = 1, 1.5, 4, 2048
+#: Bytes of text that are hashed at a time, and rows of a batch: both bound what a worker and its executor hold for it.
+PIECE, BATCHES = 1 << 20, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 
@@ -156,7 +158,7 @@ def _per_text(docs: DataFrame, text_col: str, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for whole in batches:
-            for b in pieces(whole, text_col):
+            for b in pieces(whole, text_col, PIECE):
                 yield from make(b, state)
 
     return docs.mapInArrow(run, schema)
@@ -434,8 +436,13 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", width: int = 4,
     different texts count as different sets of one document. Very long texts are taken whole. An empty table gives an
     empty result. Sets, signatures and components are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with one_use(docs.sparkSession, BATCHES):
+        return _components_of(docs, width, percent)
+
+
+def _components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """jaccard_components() of (doc_id, text), in a table."""
     all_rows = written(shared(signature_rows(docs, "text", width, percent)), "shared")
     sets = all_rows.where("n is not null").select("doc_id", "n", "set_id")
     rows = all_rows.where("n is null").select("sig", "set_id", "leader")
