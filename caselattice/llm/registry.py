@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, sharding, spelling, tiff, url_filters
+from . import chat_format, html_text, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, sharding, spelling, tiff, url_filters
 
-MODULES = [pii, sharding, quality_rules, mixing, line_dedup, packing, tiff, ngram_join, url_filters, chat_format, merkle, spelling]
+MODULES = [pii, sharding, quality_rules, mixing, line_dedup, packing, tiff, ngram_join, url_filters, chat_format, merkle, spelling, html_text]
 
 
 def queries() -> dict:
