@@ -11,14 +11,14 @@ from ..sources.store import Store
 
 
 def learn_stream(taught: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """taught: a stream of (label, v). Every batch counts once: the sums' new version holds the stream's identity and the batch's number, so a
-    batch that comes again after a crash is known, and batches of other streams are their own. A stream is known by the id in
+    """taught: a stream of (label, v). Every batch counts once: the commit of the new sums holds the stream's identity and the batch's number, so a
+    batch that comes again after a crash is known; several streams may add to one store at the same time. A stream is known by the id in
     its checkpoint. Empty batches change nothing.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
-        if store.marks("label_centroids").get(stream, -1) < number and batch.limit(1).count():
+        if batch.limit(1).count():
             store.learn(batch, marks={stream: number})
 
     return taught.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
