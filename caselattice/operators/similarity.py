@@ -23,6 +23,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
     """The places of each row's k largest values, best first, the first of equal ones first."""
+    if sims.shape[1] <= k + 1:  # few columns, one of which may be ruled out: none may come twice
+        return np.argsort(-sims, axis=1, kind="stable")[:, :k]
     left, out = sims.copy(), np.empty((len(sims), min(k, sims.shape[1])), np.int64)
     for r in range(out.shape[1]):
         out[:, r] = left.argmax(1)

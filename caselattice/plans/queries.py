@@ -13,7 +13,7 @@ from ..functions import scalars as S
 from ..functions import tables
 from ..functions.rows import numbered
 from ..functions.vectors import norm, unit
-from ..operators import clustering, geometry, resampling, similarity, taxonomy, text_naming
+from ..operators import clustering, geometry, neighbour_index, resampling, similarity, taxonomy, text_naming
 from ..sources import store, tabular
 from . import compile as plan
 
@@ -65,6 +65,21 @@ def knn_top3(spark, d):
     return similarity.knn(vectors(spark, d)).withColumn("sim", F.round("sim", 4))
 
 
+@query(f"with {U}, {KNN.format(s='u')} select i, j, round(sim, 4) as sim, rank from near where rank <= 3 and i % 50 = 0")
+def knn_stated(spark, d):
+    """Rows whose id is divisible by 50 against all rows, exactly."""
+    v = vectors(spark, d).select("id", unit(F.col("v")).alias("v"))
+    return neighbour_index.exact(v.where("id % 50 = 0"), v, 3).withColumn("sim", F.round("sim", 4))
+
+
+@query("select count_if(vec_id % 50 = 0) as queries, true as recall_of_90 from embeddings")
+def knn_index_recall(spark, d):
+    """The inverted file over all rows, held against the exact neighbours of all rows whose id is divisible by 50."""
+    v = tables.written(vectors(spark, d).select("id", unit(F.col("v")).alias("v")), "vectors")
+    found = neighbour_index.recall(neighbour_index.knn_index(v), v)
+    return found.select("queries", (F.col("recall") >= 0.9).alias("recall_of_90"))
+
+
 BANK = f"{U}, {mean_sql('c', 'u')}, bank as (select label as c, {unit_sql('v')} as v from c)"
 JUSTIFY = (
     f"{BANK}, {KNN.format(s='u')}, agree as (select i as id, sum((a.label = b.label)::int)::int as agree from near join v a on a.id = i join v b on b.id = j where rank <= 3 group by i), "
