@@ -319,7 +319,7 @@ def issued_key(value: str, fp: Feistel) -> str | None:
 
 #: Kind, pattern (its group "v" is the value, if it has one) and pseudonym; earlier kinds win.
 KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
-    ("mail", r"[\w.%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", mail),
+    ("mail", r"(?<![\w.%+\-])[\w.%+\-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", mail),
     ("secret", r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<v>[A-Za-z0-9_\-]{16,})", secret),
     ("issued_key", r"(?<![A-Za-z0-9])(?:" + "|".join(h + rest for h, rest in KEY_FORMS.items()) + r")(?![A-Za-z0-9])", issued_key),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban),
@@ -406,7 +406,8 @@ class Pseudonymiser:
 def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with pseudonyms in the text, ``n_values`` and ``kinds`` (distinct, sorted, joined by commas).
 
-    Null texts stay null with no values; empty texts stay empty. Whole texts are searched, however long. Rows are
+    Null texts stay null with no values; empty texts stay empty. Whole texts are searched, however long, in time that grows with
+    their length: a run of word characters is tried as a mail address once, from its beginning. Rows are
     independent: ties and repeated rows give equal results, an empty table an empty one. Added columns replace columns
     of the same names. Domains of mail addresses, calling codes, countries of IBANs and beginnings of issued keys are kept.
     Secrets have any length; dates lie in any year from 1 to 9999 and stay in their range of YEARS.
