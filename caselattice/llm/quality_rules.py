@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -125,38 +126,55 @@ def host_of(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("://")), F.translate(domain, UPPER, UPPER.lower())).otherwise(c)
 
 
-def beta_prior(n_hosts: int, mean: float, var: float) -> tuple[float, float]:
-    """Alpha and beta by moments over the hosts' rates. One host, or equal rates, say nothing of the spread: a weak prior at the mean."""
-    weight = mean * (1 - mean) / var - 1 if n_hosts > 1 and var and var > 0 else 2.0
-    return max(weight, 0.0) * mean, max(weight, 0.0) * (1 - mean)
+def beta_prior(n_hosts: int, docs: int, docs2: int, failed: int, spread: float) -> float | None:
+    """The weight (alpha + beta) of the hosts' beta prior, in documents, by the moments of a beta-binomial; None (infinite) if hosts don't differ.
+
+    docs and docs2: the sum of the hosts' documents and of their squares; spread: the sum of n * (rate - mean) ** 2. What
+    equal hosts would spread by chance alone is taken off first. One host says nothing of the spread: a weak prior of two documents.
+    """
+    if n_hosts < 2:
+        return 2.0
+    noise = failed / docs * (1 - failed / docs)
+    room = noise * (docs - docs2 / docs - (n_hosts - 1))
+    excess = spread - (n_hosts - 1) * noise
+    if room <= 0 or excess <= 0:
+        return None
+    return max(room / excess - 1, 0.0)
 
 
-#: Deviations of the posterior by which a rate must lie over the corpus's for the host to be held to a rule, and over MOST for it to go.
-OVER_CORPUS, OVER_MOST, MOST = 1.0, 1.645, 0.5
+#: The chance that any host is held to a rule, or goes, though it fails no more often than the corpus, or than MOST.
+BY_CHANCE, MOST = 0.05, 0.5
 
 
 def host_verdicts(measures: DataFrame, host_col: str = "source", most: float = MOST) -> DataFrame:
     """(host, n, for each rule its rate and whether the host is held to it (``strict``), host_rejected). A null host is a host of its own.
 
     A rule's rate is the mean of its posterior: the prior of that rule over all hosts, half a document on either side, and the
-    host's documents. The prior needs five numbers a rule on the driver.
+    host's documents. A rate must lie so many deviations over the bar that BY_CHANCE holds for all hosts and rules together. Where
+    hosts don't differ in a rule, its rate is the corpus's and none is held to it. The prior needs six numbers a rule on the driver.
     """
     sums = measures.groupBy(host_of(F.col(host_col)).alias("host")).agg(
         F.count("*").alias("n"), *[F.sum(F.expr(f"cast({rule} as long)")).alias(name) for name, rule in HOST_RULES.items()]
     )
     sums = written(sums, "hosts")
-    rate = {name: F.col(name) / F.col("n") for name in HOST_RULES}
     moments = sums.agg(
-        F.count("*").alias("n"), F.sum("n").alias("docs"), *[F.sum(name).alias(name) for name in HOST_RULES],
-        *[f(r).alias(f"{name}_{k}") for name, r in rate.items() for k, f in (("mean", F.avg), ("var", F.var_pop))],
+        F.count("*").alias("hosts"), F.sum("n").alias("docs"), F.sum(F.col("n").cast("double") * F.col("n")).alias("docs2"), *[F.sum(name).alias(name) for name in HOST_RULES],
+        *[F.sum(F.col(name) * F.col(name) / F.col("n")).alias(f"{name}_squares") for name in HOST_RULES],
     ).first()
+    hosts, docs = moments["hosts"], moments["docs"]
+    bar = NormalDist().inv_cdf(1 - BY_CHANCE / (max(hosts, 1) * len(HOST_RULES)))
     for name in HOST_RULES:
-        a, b = beta_prior(moments["n"], moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0)
-        corpus = moments[name] / moments["docs"] if moments["docs"] else 0.0
-        weight = F.col("n") + a + b + 1
-        mean = (F.col(name) + a + 0.5) / weight
-        spread = F.sqrt(mean * (1 - mean) / (weight + 1))
-        sums = sums.withColumns({f"{name}_rate": mean, f"{name}_strict": mean - OVER_CORPUS * spread > corpus, f"{name}_most": mean - OVER_MOST * spread > most})
+        failed = moments[name] or 0
+        corpus = failed / docs if docs else 0.0
+        weight = beta_prior(hosts, docs, moments["docs2"], failed, moments[f"{name}_squares"] - failed * corpus) if docs else None
+        if weight is None:
+            mean, spread, strict = F.lit(corpus), F.lit((corpus * (1 - corpus) / ((docs or 0) + 1)) ** 0.5), F.lit(False)
+        else:
+            total = F.col("n") + weight + 1
+            mean = (F.col(name) + weight * corpus + 0.5) / total
+            spread = F.sqrt(mean * (1 - mean) / (total + 1))
+            strict = mean - bar * spread > corpus
+        sums = sums.withColumns({f"{name}_rate": mean, f"{name}_strict": strict, f"{name}_most": mean - bar * spread > most})
     rejected = reduce(lambda x, y: x | y, [F.col(f"{name}_most") for name in HOST_RULES])
     return sums.select("host", "n", *[f"{name}_{k}" for name in HOST_RULES for k in ("rate", "strict")], rejected.alias("host_rejected"))
 

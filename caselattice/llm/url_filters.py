@@ -6,6 +6,9 @@ or has labels that differ from the node's; all others are variable and become on
 shares of bad pages don't differ significantly are merged into one branch. Each leaf template is then judged by its
 labelled purity, smoothed towards the corpus: a template whose smoothed share of good pages is too low is rejected. Pages
 meet their path's template once, at the end.
+
+In a template ``*`` is a wildcard, ``a|b`` a merged branch and ``a|+9`` one of ten segments; these characters in a path's own
+segments have a backslash before them, so no literal looks like a wildcard or a branch.
 """
 
 from __future__ import annotations
@@ -93,16 +96,23 @@ def _branches(literals: DataFrame, z: float) -> DataFrame:
 
 
 def _named(grouped: DataFrame) -> DataFrame:
-    """grouped (host, template, g, seg) with ``branch``: the segments of a g, or the first and the number of others if there are many."""
+    """grouped (host, template, g, seg) with ``branch``: the segments of a g, or the first and the number of others if there are many.
+
+    A g may hold any number of segments, so only its first MOST_NAMED come together: the smallest by a bounded aggregate.
+    """
     group = ["host", "template", "g"]
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy("seg"))
-    names = grouped.withColumn("nth", nth).groupBy(*group).agg(
-        F.count("*").alias("of"), F.array_sort(F.collect_list(F.when(F.col("nth") <= MOST_NAMED, F.col("seg")))).alias("segs")
-    )
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("seg"))  # a group limit: each task sends MOST_NAMED of a g on
+    firsts = grouped.select(*group, "seg").withColumn("nth", nth).where(F.col("nth") <= MOST_NAMED).groupBy(*group).agg(F.array_sort(F.collect_list("seg")).alias("segs"))
+    names = grouped.groupBy(*group).agg(F.count("*").alias("of")).join(firsts, group)
     branch = F.when(F.col("of") <= MOST_NAMED, F.array_join("segs", "|")).otherwise(F.concat(F.get("segs", F.lit(0)), F.lit("|+"), F.col("of") - 1))
     return grouped.join(names.select(*group, branch.alias("branch")), group).select("host", "template", "seg", "branch")
 
 
+def _plain(path: Column) -> Column:
+    """A path whose own backslashes, stars, bars and pluses are told from those of templates."""
+    return F.regexp_replace(path, r"([\\*|+])", r"\\$1")
+
+
 def templates(
     paths: DataFrame, min_share: float = 0.01, min_count: int = 20, z: float = 3.0, support: int = 1000, min_labelled: int = 10
 ) -> DataFrame:
@@ -110,33 +120,34 @@ def templates(
 
     Below nodes of fewer than min_count pages all segments are wildcards, so their paths are finished at once, whatever their
     depth; the others go on, level by level, to their last segment. Hosts may be hot: nodes are summed before they are
-    shuffled, and paths meet the few nodes and branches that go on by a broadcast of counted size, or a merge whose large keys
+    shuffled, and paths meet the nodes and branches that go on by a broadcast of counted size, or a merge whose large keys
     Spark splits. Empty segments stay empty; an empty path is the template "". Null counts aren't allowed.
     """
-    here = paths.withColumns({"segs": F.split("path", "/", -1), "template": F.lit("")})
-    here, done, d = written(here, "paths"), [], 0
     cols = ["host", "path", "template", "n", "labelled", "bad"]
+    here = paths.withColumns({"segs": F.split(_plain(F.col("path")), "/", -1), "template": F.lit("")})
+    here, done, d = written(here, "paths"), [], 0
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     star = lambda s: F.when(s == "", F.lit("/")).otherwise(F.lit("/*"))
     while True:
         d += 1
         seg = F.get("segs", F.lit(d))
-        done.append(here.where(seg.isNull()).select(*cols))
+        done.append(here.where("segs is null" if d > 1 else seg.isNull()).select(*cols))
         open_ = here.where(seg.isNotNull()).withColumn("seg", seg)
-        if open_.isEmpty():
+        level = written(open_.groupBy("host", "template", "seg").agg(*sums), "level")
+        if level.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        nodes = written(open_.groupBy("host", "template").agg(*sums).where(F.col("n") >= min_count).select("host", "template", F.lit(True).alias("large")), "nodes")
-        marked = met(open_, nodes, ["host", "template"], "left")
+        large = level.groupBy("host", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("host", "template")
+        large = written(large.withColumn("large", F.lit(True)), "nodes")
+        inside = met(level, large.drop("large"), ["host", "template"])
+        branches = written(_branches(_literals(inside, min_share, min_count, support, z, min_labelled), z), "branches")
+        joined = met(met(open_, large, ["host", "template"], "left"), branches, ["host", "template", "seg"], "left")
         rest = F.array_join(F.transform(F.slice("segs", F.lit(d + 1), F.size("segs")), star), "")
-        split = written(marked.withColumn("template", F.when(F.col("large"), F.col("template")).otherwise(F.concat("template", rest))), "split")
-        done.append(split.where("large is null").select(*cols))
-        large = split.where("large").drop("large")
-        level = written(large.groupBy("host", "template", "seg").agg(*sums), "level")
-        branches = written(_branches(_literals(level, min_share, min_count, support, z, min_labelled), z), "branches")
-        joined = met(large, branches, ["host", "template", "seg"], "left")
         deeper = F.when(F.col("branch").isNotNull(), F.concat(F.lit("/"), F.col("branch"))).otherwise(star(F.col("seg")))
-        here = written(joined.withColumn("template", F.concat("template", deeper)).drop("seg", "branch"), "paths")
-        dropped(level, nodes, branches)
+        template = F.concat("template", F.when(F.col("large"), deeper).otherwise(rest))
+        # without segments: finished, at its end or below a small node
+        segs = F.when(F.col("large") & (F.size("segs") > d + 1), F.col("segs"))
+        here = written(joined.select("host", "path", template.alias("template"), "n", "labelled", "bad", segs.alias("segs")), "paths")
+        dropped(level, large, branches)
 
 
 def judged(pages: DataFrame, threshold: float = 0.5, weight: float = 10.0, **tree) -> DataFrame:
@@ -158,6 +169,14 @@ def judged(pages: DataFrame, threshold: float = 0.5, weight: float = 10.0, **tre
     return pages.join(tree_of.hint("merge"), ["host", "path"])
 
 
+def filtered(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, **settings) -> DataFrame:
+    """pages (id, url, bad 0/1 or null) as (id, host, path, rule, verdict, template, purity)."""
+    host, path = url_parts(F.col("url"))
+    base = pages.select("id", host.alias("host"), path.alias("path"), F.col("bad").isNotNull().cast("long").alias("labelled"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
+    out = judged(written(base, "pages"), **settings).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
+    return out.select("id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", "method").alias("verdict"), "template", "purity")
+
+
 def url_filter(
     pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", **settings
 ) -> DataFrame:
@@ -167,40 +186,53 @@ def url_filter(
     count as bad if any is. Null and malformed urls have an empty host and path and share one template. Null ids have
     no label. Repeated rows are judged alike and each returned. An empty table gives an empty result.
     """
-    host, path = url_parts(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    marks = labels.toDF("page_id", "bad").where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
-    base = base.join(marks, "page_id", "left")
-    base = base.withColumns({"labelled": F.col("bad").isNotNull().cast("long"), "bad": F.coalesce("bad", F.lit(0)).cast("long")})
-    out = judged(written(base, "pages"), **settings).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
-    return out.select(
-        F.col("page_id").alias(id_col), "host", "path", F.col("by_rule.rule").alias("rule"),
-        F.coalesce("by_rule.verdict", "method").alias("verdict"), "template", "purity",
-    )
+    marks = labels.toDF("id", "bad").where(F.col("id").isNotNull() & F.col("bad").isNotNull()).groupBy("id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).join(marks, "id", "left")
+    return filtered(base, rules, **settings).withColumnRenamed("id", id_col)
+
+
+#: What the commonest character references stand for.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def body_text(html: Column) -> Column:
+    """The words of a page's article, or of its body if it has none, without title, scripts, styles, comments and tags, one space between them."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<h1\b.*?</h1\s*>|<nav\b.*?</nav\s*>|<footer\b.*?</footer\s*>|<head\b.*?</head\s*>", " ")
+    inside = F.regexp_extract(bare, r"(?is)<article\b[^>]*>(.*)", 1)
+    inside = F.regexp_replace(F.when(inside == "", bare).otherwise(inside), r"(?is)</article\s*>.*|<[^>]*>", " ")
+    for said, meant in REFERENCES.items():
+        inside = F.replace(inside, F.lit(said), F.lit(meant))
+    return spaced(inside)
 
 
-#: Words in a host's name that mark its pages as bad, for labels where no one has labelled pages.
-SEED_WORDS = ["casino", "bets", "pills", "spam", "adult"]
+def spaced(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D\u00A0]+", " "), F.lit(" "))
 
 
-def content_labels(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: list[str] = SEED_WORDS) -> DataFrame:
-    """(id, bad) of every page with a text: bad if the text has under 50 words or more than 3 symbols in 10 words, or if the host has a seed word.
+def content_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pages (id, url, html) as (id, url, bad): what is known of a page by its text, never by its url.
 
-    A stand-in for labelled pages, from the pages themselves. The text is what is left of the html without scripts, styles, comments
-    and tags. Null html gives no label; empty or endless html is judged like any other. Repeated rows give a label each.
+    A page is bad if people labelled a document of the same words as toxic or of quality 0, or if its text has under 50 words or more
+    than 3 symbols in 10 words; it is good if they labelled it otherwise; else there is no label. docs: (doc_id, text),
+    labels: (doc_id, quality, toxic). Of several labels of one text a bad one counts. Null html gives no label; empty or endless
+    html is judged like any other. Copies of a text meet as one hash, before the join. Repeated rows give a row each.
     """
-    bare = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
-    text = F.regexp_replace(bare, r"<[^>]*>", " ")
-    words, symbols = F.regexp_count(text, F.lit(WORD)), F.regexp_count(text, F.lit(r"[#*$%&|]"))
-    seeded = F.regexp_like(url_parts(F.col(url_col))[0], F.lit("|".join(seeds)))
-    bad = (words < 50) | (10 * symbols > 3 * words) | seeded
-    return pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("page_id"), bad.cast("int").alias("bad"))
+    key = lambda text: F.sha2(text, 256)
+    marks = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("known")).where("known is not null")
+    known = docs.select("doc_id", "text").join(marks, "doc_id").select(key(spaced(F.col("text"))).alias("key"), "known").groupBy("key").agg(F.max("known").alias("known"))
+    # words and symbols are counted on what is left of the whole page, in one pass with the key
+    text = body_text(F.col("html"))
+    words, symbols = F.regexp_count("text", F.lit(WORD)), F.regexp_count("text", F.lit(r"[#*$%&|]"))
+    read = written(pages.select("id", "url", text.alias("text")).select("id", "url", key(F.col("text")).alias("key"), ((words < 50) | (10 * symbols > 3 * words)).alias("poor")), "read")
+    out = met(read, written(known, "known"), "key", "left")
+    return out.select("id", "url", F.when(F.col("poor"), 1).otherwise(F.col("known")).alias("bad"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, labelled by their content; two pages' worth of the corpus's share weigh against a template's labels."""
-    pages = documents(spark, sf_dir, "pages")
-    return url_filter(pages, content_labels(pages), weight=2.0)
+    """All pages, labelled by their texts."""
+    pages, docs, labels = (documents(spark, sf_dir, name) for name in ("pages", "documents", "labels"))
+    marked = content_labels(pages.select(F.col("page_id").alias("id"), "url", "html"), docs, labels)
+    return filtered(marked).withColumnRenamed("id", "page_id")
 
 
 QUERIES = {"op9_url_filters": op9_url_filters}

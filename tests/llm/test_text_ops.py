@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
 import pytest
 
 from caselattice.llm import line_dedup, mixing, ngram_join, packing, quality_rules, sharding
@@ -121,9 +122,14 @@ def test_host_verdicts(spark):
 
 
 def test_beta_prior():
-    a, b = quality_rules.beta_prior(100, 0.2, 0.01)
-    assert abs(a / (a + b) - 0.2) < 1e-9 and abs((a + b) - 15) < 1e-9
-    assert quality_rules.beta_prior(1, 0.5, 0.0) == (1.0, 1.0)
+    # 200 hosts of 50 documents, rates from a beta of weight 20 around 0.2; and rates that differ by chance only
+    rng = np.random.default_rng(1)
+    for rates, least, most in ((rng.beta(4, 16, 200), 12, 32), (np.full(200, 0.2), 300, None)):
+        x = rng.binomial(50, rates)
+        spread = (50 * (x / 50 - x.sum() / 10_000) ** 2).sum()
+        weight = quality_rules.beta_prior(200, 10_000, 200 * 2500, int(x.sum()), spread)
+        assert weight is None or weight > least and (most is None or weight < most)
+    assert quality_rules.beta_prior(5, 500, 50_000, 100, 0.0) is None and quality_rules.beta_prior(1, 10, 100, 5, 0.0) == 2.0
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 from caselattice.llm import chat_format, quality_rules, url_filters
 
@@ -19,19 +20,24 @@ def brute_hosts(rows, measure):
     out = {h: ({}, set(), False) for h in by}
     for rule, f in fails.items():
         k = {h: sum(map(f, ms)) for h, ms in by.items()}
-        rates = [k[h] / len(by[h]) for h in by]
-        mean = sum(rates) / len(rates)
-        var = sum((r - mean) ** 2 for r in rates) / len(rates)
-        weight = mean * (1 - mean) / var - 1 if len(rates) > 1 and var > 0 else 2.0
-        corpus = sum(k.values()) / len(rows)
+        n, hosts, x = len(rows), len(by), sum(k.values())
+        p = x / n
+        found = sum(len(by[h]) * (k[h] / len(by[h]) - p) ** 2 for h in by)
+        chance = (hosts - 1) * p * (1 - p)
+        alike = (found - chance) / (p * (1 - p) * (n - sum(len(ms) ** 2 for ms in by.values()) / n - hosts + 1)) if 0 < p < 1 else 0
+        bar = NormalDist().inv_cdf(1 - 0.05 / (4 * hosts))
         for h, ms in by.items():
-            a, b = weight * mean + k[h] + 0.5, weight * (1 - mean) + len(ms) - k[h] + 0.5
-            p, sd = a / (a + b), (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
             rates_, strict, gone = out[h]
-            rates_[rule] = p
-            if p - sd > corpus:
-                strict.add(rule)
-            out[h] = rates_, strict, gone or p - 1.645 * sd > 0.5
+            if alike <= 0:
+                rate, sd = p, (p * (1 - p) / (n + 1)) ** 0.5
+            else:
+                weight = max(1 / alike - 1, 0)
+                a, b = weight * p + k[h] + 0.5, weight * (1 - p) + len(ms) - k[h] + 0.5
+                rate, sd = a / (a + b), (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+                if rate - bar * sd > p:
+                    strict.add(rule)
+            rates_[rule] = rate
+            out[h] = rates_, strict, gone or rate - bar * sd > 0.5
     return out, fails
 
 
@@ -49,8 +55,8 @@ def test_hosts_against_brute_force(spark):
     same = lambda: "\n".join([clean(6)] * 3 + [clean(20) for _ in range(4)])
     rows = []
     for h in range(12):
-        for _ in range(rng.randint(1, 60)):
-            share = 0.5 if h in (3, 4) else 0.05
+        for _ in range(60 if h in (3, 4) else rng.randint(1, 60)):
+            share = 0.8 if h in (3, 4) else 0.05
             rows.append((f"https://H{h}.example.com/p?q", rng.choice([loud, same])() if rng.random() < share else "short" if rng.random() < 0.05 else clean()))
     rows += [("junk", "short")] * 40 + [("junk", clean())] * 2 + [(None, clean())] * 3 + [("once", "short")]
     docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
@@ -72,19 +78,121 @@ def test_hosts_against_brute_force(spark):
     assert any(r.host_failed and not r.base_failed for r in kept.values()) and any(not r.kept and not r.base_failed and not r.host_failed for r in kept.values())
 
 
+def test_hosts_that_do_not_differ_lose_nothing(spark):
+    """Twenty hosts with one failure rate: chance alone holds none to a rule; a planted one among them is."""
+    rng = random.Random(11)
+    clean = lambda n=60: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    loud = lambda: " ".join(f"w{rng.randrange(10**6)}#$" for _ in range(60))
+    rows = [(f"h{h}", loud() if rng.random() < 0.1 else clean()) for h in range(20) for _ in range(100)]
+    make = lambda rows: spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    assert all(r.kept for r in quality_rules.quality_rules(make(rows)).collect())
+    planted = rows + [("bad", loud() if i % 2 else clean()) for i in range(100)]
+    gone = [r for r in quality_rules.quality_rules(make(planted)).collect() if not r.kept]
+    assert len(gone) == 50 and all(r.source == "bad" and r.host_rules == ["symbols"] for r in gone)
+
+
 def test_content_labels_and_query(spark, tmp_path):
-    good = "<html><style>p{}</style><body><p>" + " ".join(f"word{i}" for i in range(60)) + "</p><!-- $$$ --></body></html>"
+    """Labels come from the pages' texts alone, and on hosts without telling names they decide."""
+    text = lambda i: " ".join(f"word{i}x{k}" for k in range(60))
+    page = lambda t: f"<html><head><title>t</title></head><style>p{{}}</style><body><nav>menu</nav><article><h1>Title</h1><p>{t.replace('word', '<b>word', 1)}</p>\n<!-- $$$ --></article><footer>f</footer></body></html>"
     noisy = "<p>" + " ".join("a|$" for _ in range(60)) + "</p>"
     script = "<script>" + "x " * 100 + "</script><p>few</p>"
-    pages = [(i, f"http://site.example.io/news/{i}", good) for i in range(30)] + [(100 + i, f"http://site.example.io/junk/{i}", [noisy, script, ""][i % 3]) for i in range(30)]
-    pages += [(200, "http://casino-x.example.io/1", good), (201, "http://casino-x.example.io/2", good), (202, None, None), (203, "http://n.example.net/", None), (None, "http://site.example.io/junk/77", noisy)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    marks = {r.page_id: r.bad for r in url_filters.content_labels(df).collect()}
-    assert all(marks[i] == 0 for i in range(30)) and all(marks[100 + i] == 1 for i in range(30)) and marks[200] == 1 and 202 not in marks
-    df.write.parquet(str(tmp_path / "pages.parquet"))
+    pages = [(i, f"http://site.example.io/news/{i}", page(text(i))) for i in range(90)] + [(100 + i, f"http://site.example.io/junk/{i}", [noisy, script, ""][i % 3]) for i in range(30)]
+    pages += [(300 + i, f"http://plain.example.io/a/{i}", page(text(300 + i))) for i in range(40)]  # toxic or poor by people's labels
+    pages += [(200, "http://casino-x.example.io/1", page(text(200))), (202, None, None), (203, "http://n.example.net/", None), (None, "http://site.example.io/junk/77", noisy)]
+    docs = [(i, text(i).replace(" ", "\n  ", 3)) for i in (*range(90), *range(300, 340), 200)] + [(999, None), (998, text(300))]
+    labels = [(i, 1, 0) for i in range(90)] + [(i, int(i % 4 == 3), int(i % 4 != 3 and i % 8 > 3)) for i in range(300, 340)] + [(301, 0, None), (998, 1, 0), (999, 0, 0), (200, None, None), (None, 0, 1)]
+    for name, rows, schema in (("pages", pages, "page_id long, url string, html string"), ("documents", docs, "doc_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    read = {n: spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("pages", "documents", "labels")}
+    marks = {r.id: r.bad for r in url_filters.content_labels(read["pages"].withColumnRenamed("page_id", "id"), read["documents"], read["labels"]).collect()}
+    assert all(marks[i] == 0 for i in range(90)) and all(marks[100 + i] == 1 for i in range(30)) and marks[200] is None and marks[202] is None
+    assert all(marks[300 + i] == int(i % 4 != 3) for i in range(40))
     got = {r.page_id: r for r in url_filters.op9_url_filters(spark, str(tmp_path)).collect()}
-    assert len(got) == len(pages) and all(got[i].verdict == "allow" for i in range(30)) and all(got[100 + i].verdict == "block" for i in range(30))
-    assert got[200].verdict == "block" and got[None].verdict == "block" and got[203].rule == "net/" and got[202].host == ""
+    assert len(got) == len(pages) and all(got[i].verdict == "allow" for i in range(90)) and all(got[100 + i].verdict == "block" for i in range(30))
+    assert all(got[300 + i].verdict == "block" for i in range(40)) and got[200].verdict == "allow"
+    assert got[None].verdict == "block" and got[203].rule == "net/" and got[202].host == ""
+
+
+def brute_templates(rows, min_share=0.01, min_count=20, z=3.0, support=1000, min_labelled=10):
+    """rows (path, bad or None) of one host: path -> template, the rules written out over plain lists."""
+    plain = lambda s: re.sub(r"([\\\\*|+])", r"\\\1", s)
+    apart = lambda a, n, b, m: ((a + 0.5) / (n + 1) - (b + 0.5) / (m + 1)) / ((q := (a + b + 1) / (n + m + 2)) * (1 - q) * (1 / (n + 1) + 1 / (m + 1))) ** 0.5
+    out = {}
+
+    def grow(members, depth, template):
+        rest = []
+        for path, bad in members:
+            if len(path.split("/")) <= depth:
+                out[path] = template
+            else:
+                rest.append((path, bad))
+        if len(rest) < min_count:
+            for path, _ in rest:
+                out[path] = template + "".join("/*" if s else "/" for s in path.split("/")[depth:])
+            return
+        by = defaultdict(list)
+        for path, bad in rest:
+            by[path.split("/")[depth]].append((path, bad))
+        count = lambda ms: (sum(b or 0 for _, b in ms), sum(b is not None for _, b in ms))
+        all_bad, all_n = count(rest)
+        known, names = [], {}
+        for seg, ms in by.items():
+            bad, n = count(ms)
+            enough = n >= min_labelled
+            differs = abs(apart(bad, n, all_bad - bad, all_n - n)) > z
+            if seg and len(ms) >= min_count and (len(ms) >= min_share * len(rest) or (enough and (len(ms) >= support or differs))):
+                if enough:
+                    known.append((((bad + 0.5) / (n + 1), n, bad), seg))
+                else:
+                    names[seg] = plain(seg)
+        branches = []
+        for key, seg in sorted(known):
+            _, n, bad = key
+            if branches:
+                o = branches[-1]
+                if key in o["keys"] or not (apart(bad, n, o["bad"], o["n"]) > z or apart(bad, n, o["first"][2], o["first"][1]) > z):
+                    o["segs"].append(seg)
+                    o["keys"].add(key)
+                    o["bad"], o["n"] = o["bad"] + bad, o["n"] + n
+                    continue
+            branches.append({"segs": [seg], "keys": {key}, "bad": bad, "n": n, "first": key})
+        for o in branches:
+            for seg in o["segs"]:
+                names[seg] = "|".join(sorted(plain(s) for s in o["segs"]))
+        groups = defaultdict(list)
+        for seg, ms in by.items():
+            groups["/" + names[seg] if seg in names else "/*" if seg else "/"] += ms
+        for name, ms in groups.items():
+            grow(ms, depth + 1, template + name)
+
+    grow(rows, 1, "")
+    return out
+
+
+def test_templates_against_a_plain_tree(spark):
+    """Hosts of random trees with sections of different shares, among them segments named like wildcards, branches and escapes."""
+    rng = random.Random(12)
+    odd = ["*", "a|b", "a", "b", "\\", "+1", "c", "d", ""]
+    for _ in range(3):
+        share = {s: rng.choice([0.05, 0.5, 0.95]) for s in odd}
+        rows = {}
+        for k in range(1500):
+            s = rng.choice(odd)
+            path = f"/{s}/{rng.choice(odd)}" + (f"/{k}" if rng.random() < 0.8 else f"/{k}/") if rng.random() < 0.9 else f"/v{k}/x"
+            rows[path] = rng.choice([int(rng.random() < share[s]), None])
+        pages = spark.createDataFrame([(i, f"http://h.org{p}") for i, p in enumerate(rows)], "page_id long, url string")
+        labels = spark.createDataFrame([(i, b) for i, b in enumerate(rows.values()) if b is not None], "id long, bad int")
+        got = {r.path: r.template for r in url_filters.url_filter(pages, labels, rules=[]).collect()}
+        assert got == brute_templates(list(rows.items()))
+
+
+def test_a_star_is_no_wildcard(spark):
+    """Bad pages under a literal star aren't hidden among the good ones of its variable siblings."""
+    rows = [(i, f"http://h.org/*/{i}", 1) for i in range(40)] + [(100 + i, f"http://h.org/v{i}/{i}", 0) for i in range(3000)]
+    pages, labels = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, bad int")
+    got = {r.page_id: r.verdict for r in url_filters.url_filter(pages, labels, rules=[]).collect()}
+    assert all(got[i] == "block" for i in range(40)) and all(got[100 + i] == "allow" for i in range(3000))
 
 
 def test_paths_of_any_depth_and_length(spark):
