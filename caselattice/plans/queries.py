@@ -807,9 +807,18 @@ def kmeans(spark, d):
     return clustering.cluster(vectors(spark, d), 5).select("id", "cluster")
 
 
-@query()
+@query(
+    f"with recursive {V}, {VLINKS}, c as (select label as c, v from v qualify row_number() over (partition by label order by id) = 1), "
+    "x as (select v.id, c.c, round(list_sum(list_transform(list_zip(v.v, c.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 9) as d from v, c), "
+    "o as (select id, min(d) as near, list(c order by d, c) as ord from x group by id), "
+    "e as (select id_a as id, id_b as other from vl where kind = 'different' union select id_b, id_a from vl where kind = 'different'), "
+    "w as (select id, list(other) as others from e group by id), u as (select o.id, ord, others, row_number() over (order by near, o.id) as n from o join w using (id)), "
+    "s as (select 0::bigint as n, []::struct(id bigint, c int)[] as done union all select u.n, list_append(done, {'id': u.id, 'c': coalesce(list_filter(ord, lambda q: not list_contains(list_transform(list_filter(done, lambda z: list_contains(others, z.id)), lambda z: z.c), q))[1], ord[1])}) from s join u on u.n = s.n + 1), "
+    "p as (select unnest(done) as p from s where n = (select max(n) from s)) "
+    "select o.id, coalesce(p.p.c, ord[1]) as cluster from o left join p on p.p.id = o.id"
+)
 def cop_assign(spark, d):
-    return clustering.placed_apart(vectors(spark, d), _first_centres(spark, d), vector_links(spark, d))
+    return clustering.placed_apart(vectors(spark, d), _first_centres(spark, d), vector_links(spark, d)).select("id", "cluster")
 
 
 @query()
