@@ -217,9 +217,10 @@ def content_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> Data
     labels: (doc_id, quality, toxic). Of several labels of one text a bad one counts. Null html gives no label; empty or endless
     html is judged like any other. Copies of a text meet as one hash, before the join. Repeated rows give a row each.
     """
-    key = lambda text: F.sha2(text, 256)
+    key = lambda text: F.unhex(F.sha2(text, 256))
     marks = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("known")).where("known is not null")
-    known = docs.select("doc_id", "text").join(marks, "doc_id").select(key(spaced(F.col("text"))).alias("key"), "known").groupBy("key").agg(F.max("known").alias("known"))
+    keyed = docs.select("doc_id", key(spaced(F.col("text"))).alias("key"))  # hashes travel to the labels, not texts
+    known = keyed.join(marks, "doc_id").groupBy("key").agg(F.max("known").alias("known"))
     # words and symbols are counted on what is left of the whole page, in one pass with the key
     text = body_text(F.col("html"))
     words, symbols = F.regexp_count("text", F.lit(WORD)), F.regexp_count("text", F.lit(r"[#*$%&|]"))
