@@ -748,9 +748,25 @@ def term_candidates(spark, d):
     return text_naming.candidates(grouped_texts(spark, d), STOP, 0.05)
 
 
-@query()
+NAMED = (
+    ORACLE["term_candidates"].replace("with ", "with recursive ", 1).replace(" select label, term, round(score * case", ", cand as (select label, term, round(score * case") + "), "
+    "o as materialized (select *, row_number() over (order by score desc, label desc, term desc, coverage desc) as n from cand), "
+    "s as (select 0::bigint as n, []::struct(label int, term varchar, coverage double, n bigint)[] as done union all select o.n, case when len(list_filter(done, lambda z: z.term = o.term)) = 0 "
+    f"and len(list_filter(done, lambda z: z.label = o.label)) < {text_naming.TERMS_KEPT} and len(list_filter(done, lambda z: z.label = o.label and (contains(z.term, o.term) or contains(o.term, z.term)))) = 0 "
+    "then list_append(done, {'label': o.label, 'term': o.term, 'coverage': o.coverage, 'n': o.n}) else done end from s join o on o.n = s.n + 1), "
+    "p as (select unnest(done) as p from s where n = (select max(n) from s)), "
+    "g as (select p.label as label, list(p.term order by p.n) as keywords, list(p.coverage order by p.n) as shares from p group by p.label), "
+    "z as (select label, count(*) as size from d group by label), "
+    "a as (select z.label, size, coalesce(keywords, []::varchar[]) as k, shares from z left join g on g.label is not distinct from z.label) "
+    "select label, size, array_to_string(k, '|') as keywords, case when len(k) >= 2 then 'terms' else 'numbered' end as label_source, case when len(k) >= 2 then round(list_min(shares[:3]), 3) else 0.0 end as coverage, "
+    f"case when len(k) >= 2 then array_to_string(list_transform(k[:3], lambda t: array_to_string(list_transform(string_split(t, ' '), lambda w: case when list_contains({text_naming.ABBREVIATIONS}, w) then upper(w) else upper(w[1]) || w[2:] end), ' ')), ' / ') else 'Group ' || (label + 1) end as name from a"
+)
+
+
+@query(NAMED)
 def name_clusters(spark, d):
-    return text_naming.name_groups(grouped_texts(spark, d))
+    """Groups named by terms found in a twentieth of them; these texts share few words."""
+    return text_naming.name_groups(grouped_texts(spark, d), STOP, 0.05).withColumn("keywords", F.array_join("keywords", "|"))
 
 
 @query(

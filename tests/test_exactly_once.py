@@ -80,14 +80,21 @@ def one_by_one(rows):
     return own
 
 
-def test_terms_in_rounds_against_one_by_one():
-    rng = random.Random(8)
-    for _ in range(60):
-        words = [chr(97 + k) * 2 for k in range(rng.randint(3, 14))]
+def test_terms_in_rounds_against_one_by_one(spark):
+    """Sixty sets of groups, each with letters of its own, settled together."""
+    rng, every, want = random.Random(8), [], {}
+    for case in range(60):
+        words = [chr(0x4E00 + 20 * case + k) * 2 for k in range(rng.randint(3, 14))]
         pool = words + [f"{a} {b}" for a in words for b in words[:4]]
-        rows = {(label, t): (round(rng.random(), 2), label, t, 0.5) for label in range(rng.randint(1, 6)) for t in rng.sample(pool, rng.randint(1, len(pool)))}
-        assert text_naming.assign_terms(list(rows.values())) == one_by_one(list(rows.values()))
-    assert text_naming.assign_terms([]) == {}
+        rows = {(label, t): (round(rng.random(), 2), 10 * case + label, t, 0.5) for label in range(rng.randint(1, 6)) for t in rng.sample(pool, rng.randint(1, len(pool)))}
+        every += rows.values()
+        want |= {label: own for label, own in one_by_one(list(rows.values())).items() if own}
+    df = spark.createDataFrame(every, "score double, label int, term string, coverage double")
+    got = {}
+    for r in sorted(text_naming.assign_terms(df).collect(), key=lambda r: (r.score, r.term), reverse=True):
+        got.setdefault(r.label, []).append((r.term, r.coverage))
+    assert got == want
+    assert text_naming.assign_terms(df.where("false")).collect() == []
 
 
 def test_answers_are_cleaned_and_asked_twice(spark):

@@ -165,9 +165,10 @@ def test_names_of_groups(spark):
     assert {r.term: r.coverage for r in cover} == {"ct": 0.0, "insulin": 1.0}
 
 
-def test_greedy_terms():
-    got = text_naming.assign_terms([(0.9, 0, "theatre list", 0.5), (0.8, 0, "theatre", 0.9), (0.7, 1, "theatre list", 0.4), (0.6, 1, "delay", 0.3)])
-    assert got == {0: [("theatre list", 0.5)], 1: [("delay", 0.3)]}
+def test_greedy_terms(spark):
+    rows = [(0.9, 0, "theatre list", 0.5), (0.8, 0, "theatre", 0.9), (0.7, 1, "theatre list", 0.4), (0.6, 1, "delay", 0.3)]
+    got = text_naming.assign_terms(spark.createDataFrame(rows, "score double, label int, term string, coverage double")).collect()
+    assert {(r.label, r.term, r.coverage) for r in got} == {(0, "theatre list", 0.5), (1, "delay", 0.3)}
 
 
 def test_taxonomy(spark):
