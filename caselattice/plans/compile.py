@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +13,10 @@ from ..functions.rows import numbered
 from ..functions.scalars import CONFIDENCE_LEVELS, case_key, clean_label, fingerprint, reason
 from ..operators import clustering, geometry, resampling, similarity, taxonomy, text_naming
 from ..sources import store as stores
+from .payload import END, START, Payload, injected, write_payload  # noqa: F401
 
-#: Colours of groups, and the markers around a payload in a page.
+#: Colours of groups.
 PALETTE = ["#00B3B3", "#FF8A5B", "#9D8CFF", "#F2C14E", "#5BD1A0"]
-START, END = "<!-- MM_PAYLOAD_START -->", "<!-- MM_PAYLOAD_END -->"
 
 
 def register_filter(register: DataFrame, search: str | None = None, least_severity: int | None = None, departments: list[str] | None = None, cluster: int | None = None) -> DataFrame:
@@ -52,14 +54,14 @@ def embed(register: DataFrame, model=None, dims: int = 64) -> DataFrame:
     return docs.select("id", "label", F.pandas_udf(model, "array<double>")("text").alias("v"))
 
 
-def points_payload(register: DataFrame, coords: DataFrame, true_coords: DataFrame, near: DataFrame, house: DataFrame, why: DataFrame) -> DataFrame:
-    """One row a case, with the fields of a payload's point. why: justification() with its margin as why_margin. register: id, case_id, date, department, case_summary, severity_score, cluster."""
+def points_payload(register: DataFrame, coords: DataFrame, true_coords: DataFrame, near: DataFrame, house: DataFrame, why: DataFrame, order: str | None = None) -> DataFrame:
+    """One row a case, with the fields of a payload's point. order: the name of a column for the register's id. why: justification() with its margin as why_margin. register: id, case_id, date, department, case_summary, severity_score, cluster."""
     nearest = near.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "j", "sim"))), lambda s: F.struct(s["j"].alias("i"), F.round(s["sim"], 4).alias("sim"))).alias("nearest"))
     three = lambda df, p: df.select("id", *[F.round(a, 3).alias(f"{p}{a}") for a in geometry.AXES])
     met = register.join(three(coords, ""), "id").join(three(true_coords, "t"), "id").join(nearest.withColumnRenamed("i", "id"), "id", "left").join(house.withColumnRenamed("label", "house"), "id", "left").join(why.drop("label"), "id", "left")
     human = F.coalesce(F.col("source") == "human", F.lit(False))
     return met.select(
-        F.col("case_id").alias("id"), "x", "y", "z", "tx", "ty", "tz", "cluster", "department", F.col("severity_score").alias("severity"),
+        *([F.col("id").alias(order)] if order else []), F.col("case_id").alias("id"), "x", "y", "z", "tx", "ty", "tz", "cluster", "department", F.col("severity_score").alias("severity"),
         F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("")).alias("date"), F.col("case_summary").alias("summary"), "nearest", "house",
         F.col("confidence").alias("house_confidence"), F.col("margin").alias("house_margin"), F.when(~human, F.col("candidate_label")).alias("house_candidate"),
         F.when(~human, F.col("withheld_at_default")).alias("house_withheld"), F.when(F.col("house").isNotNull(), F.coalesce("source", F.lit("taxonomy"))).alias("house_source"),
@@ -74,6 +76,17 @@ def inject(payload: str, template: str) -> str | None:
     return None if a < 0 or b < 0 else template[: a + len(START)] + payload + template[b:]
 
 
+@contextmanager
+def held(*frames: DataFrame) -> Iterator[list[DataFrame]]:
+    """A list of cached tables, released at the end."""
+    kept = list(frames)
+    try:
+        yield kept
+    finally:
+        for f in kept:
+            f.unpersist()
+
+
 def _asked(spark: SparkSession, namer, texts: list[str], used: set[str]) -> str | None:
     """The namer's answer as a clean label that no group has; asked a second time with the names to avoid. An error is no answer."""
     for avoid in (set(), used):
@@ -88,18 +101,40 @@ def _asked(spark: SparkSession, namer, texts: list[str], used: set[str]) -> str
 
 
 def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed: int = 42, store: stores.Store | None = None, rounds: int = resampling.ROUNDS, model=None, namer=None, source: str = "", vectors: DataFrame | None = None) -> dict:
-    """The whole run over a normalised register; what it returns is the payload as a dict. vectors: (id, v), else embed() makes them.
+    """compiled(), for registers small enough to be one dict: its points are collected."""
+    with held() as kept:
+        head, points = compiled(kept, spark, register, k, seed, store, rounds, model, namer, source, vectors)
+        fields = [c for c in points.columns if c != "n"]
+        rows = points.orderBy("n").select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).collect()
+        return head | {"points": [json.loads(j) for (j,) in rows]}
+
+
+def compile_to(path: str, spark: SparkSession, register: DataFrame, *args, **kwargs) -> Payload:
+    """compiled(), written as the payload in a folder. Only the groups' rows pass through the driver."""
+    with held() as kept:
+        head, points = compiled(kept, spark, register, *args, **kwargs)
+        return write_payload(points, head, path)
 
-    namer: an optional function of (representative texts, names to avoid) to a label; groups of cohesion under 0.25 keep theirs.
+
+def compiled(kept: list[DataFrame], spark: SparkSession, register: DataFrame, k: int = 5, seed: int = 42, store: stores.Store | None = None, rounds: int = resampling.ROUNDS, model=None, namer=None, source: str = "", vectors: DataFrame | None = None) -> tuple[dict, DataFrame]:
+    """The whole run over a normalised register: {meta, departments, clusters}, and the points with ``n``, their order. vectors: (id, v), else embed() makes them.
+
+    kept: gets the cached tables that points are read from, which the caller releases. namer: an optional function of
+    (representative texts, names to avoid) to a label; groups of cohesion under 0.25 keep theirs.
     """
-    cases = numbered(register.orderBy("case_id", "case_summary"), "id").withColumn("id", F.col("id") - 1).cache()
+
+    def cached(df: DataFrame) -> DataFrame:
+        kept.append(df.cache())
+        return df
+
+    cases = cached(numbered(register.orderBy("case_id", "case_summary"), "id").withColumn("id", F.col("id") - 1))
     n = cases.count()
     k = k if k <= n else max(2, n // 4)
-    v = (vectors if vectors is not None else embed(cases, model)).select("id", "v").cache()
+    v = cached((vectors if vectors is not None else embed(cases, model)).select("id", "v"))
     links = clustering.matched_links(cases.select("id", case_key(F.col("case_summary")).alias("case_key")), store.links()) if store else None
-    fit = clustering.cluster(v, k, links, seed).cache()
-    labelled = v.join(fit.select("id", F.col("cluster").alias("label")), "id").cache()
-    docs = cases.join(fit.select("id", F.col("cluster").alias("label")), "id").select("id", "label", F.col("case_summary").alias("text")).cache()
+    fit = cached(clustering.cluster(v, k, links, seed))
+    labelled = cached(v.join(fit.select("id", F.col("cluster").alias("label")), "id"))
+    docs = cached(cases.join(fit.select("id", F.col("cluster").alias("label")), "id").select("id", "label", F.col("case_summary").alias("text")))
     names = {r["label"]: r.asDict() for r in text_naming.name_groups(docs).collect()}
     cohesion = {r["label"]: r["cohesion"] for r in similarity.cohesion(labelled).collect()}
     nearest = {r["label"]: r for r in similarity.nearest_cluster(labelled).collect()}
@@ -116,8 +151,8 @@ def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed:
                 names[c] |= {"name": label, "label_source": "model"}
     known = store.read("label_centroids").select("label", "vector_sum", "n") if store else spark.createDataFrame([], "label string, vector_sum array<double>, n long")
     filed = store.filed() if store else spark.createDataFrame([], "case_key string, filed_label string")
-    keys = cases.select("id", case_key(F.col("case_summary")).alias("case_key")).cache()
-    house = taxonomy.with_filed(taxonomy.classify(v, known), keys, filed).cache()
+    keys = cached(cases.select("id", case_key(F.col("case_summary")).alias("case_key")))
+    house = cached(taxonomy.with_filed(taxonomy.classify(v, known), keys, filed))
     for r in taxonomy.dominant_label(house.select("id", "label").join(fit.select("id", "cluster"), "id")).collect():
         names[r["cluster"]] |= {"name": r["label"], "label_source": "taxonomy", "label_agreement": r["share"]}
     drifted = 0
@@ -129,11 +164,12 @@ def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed:
                 names[r["cluster"]] |= {"name": r["name"], "label_source": "human" if r["match"] == "exact" else "human_carried", "label_match": r["match"], "label_similarity": r["similarity"], "label_drift": r["drift"]}
                 drifted += bool(r["drift"])
     flat, variance = clustering.projected(v, 3)
-    points = flat.join(fit.select("id", F.col("cluster").alias("label")), "id").select("id", "label", *[F.col("space")[i].alias(a) for i, a in enumerate(geometry.AXES)]).cache()
+    points = flat.join(fit.select("id", F.col("cluster").alias("label")), "id").select("id", "label", *[F.col("space")[i].alias(a) for i, a in enumerate(geometry.AXES)])
+    kept.append(points.cache())
     true_points = geometry.rescale(points)
     moved, gain = geometry.separate(true_points)
     why = similarity.justification(labelled)
-    why = why.withColumn("reason", text_reason(why)).cache()
+    why = cached(why.withColumn("reason", text_reason(why)))
     qc = resampling.report(labelled, k, rounds, seed).first().asDict()
     if store:
         label_of = spark.createDataFrame([(c, m["name"]) for c, m in names.items()], "cluster_id int, name string")
@@ -141,8 +177,7 @@ def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed:
         assigned = assigned.join(label_of, "cluster_id").withColumnRenamed("name", "label").join(keys, "id")
         store.record_run({"source": source, "k": k, "n_cases": n, "silhouette": qc["silhouette"], "shuffled": qc["shuffled_silhouette"], "stability": qc["stability"], "agreement": qc["agreement"], "chance": qc["chance"], "verdict": qc["verdict"]}, assigned)
     full = cases.join(fit.select("id", "cluster"), "id")
-    rows = points_payload(full, moved, true_points, similarity.knn(v), house, why.withColumnRenamed("margin", "why_margin"))
-    found = [json.loads(j) for (j,) in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).collect()]
+    rows = points_payload(full, moved, true_points, similarity.knn(v), house, why.withColumnRenamed("margin", "why_margin"), "n")
     top = stores.best_k(store.read("runs")).first() if store else None
     clusters = [
         {"id": c, "label": m["name"], "label_coverage": m["coverage"], "label_source": m["label_source"], "centroid": [round(x, 5) for x in centres[c]], "color": PALETTE[c % len(PALETTE)], "size": m["size"], "keywords": m["keywords"],
@@ -155,4 +190,4 @@ def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed:
         "confidence": {level: {"min_confidence": a, "min_margin": b} for level, (a, b) in CONFIDENCE_LEVELS.items()},
         "constraints": [r.asDict() for r in clustering.constraint_report(links, clustering.link_components(v.select("id"), links.where("kind = 'same'")), fit.select("id", "cluster")).collect()] if links is not None and links.limit(1).count() else None,
     }
-    return {"meta": meta, "departments": sorted(r["department"] for r in cases.select("department").distinct().collect()), "clusters": clusters, "points": found}
+    return {"meta": meta, "departments": sorted(r["department"] for r in cases.select("department").distinct().collect()), "clusters": clusters}, rows

@@ -16,6 +16,7 @@ from ..functions.vectors import norm, unit
 from ..operators import clustering, geometry, neighbour_index, resampling, similarity, taxonomy, text_naming
 from ..sources import store, tabular
 from . import compile as plan
+from . import payload
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -864,3 +865,22 @@ def payload_points(spark, d):
     why = why.withColumn("reason", plan.text_reason(why)).withColumnRenamed("margin", "why_margin")
     none = reg.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("confidence", "double"), ("margin", "double"), ("candidate_label", "string"), ("withheld_at_default", "boolean"), ("source", "string"))])
     return plan.points_payload(reg, geometry.separate(true)[0], true, similarity.knn(v), none, why)
+
+
+@query(
+    "select doc_id::varchar as id, regexp_extract(source, '(\\d+)', 1)::int as cluster, 'src' || regexp_extract(source, '(\\d+)', 1) as department, (doc_id % 5 + 1)::int as severity, '' as date, md5(text) as summary, "
+    "round(doc_id / 8, 3) as x, [{'i': doc_id + 1, 'sim': 0.5::double}]::varchar as nearest from documents"
+)
+def payload_read_back(spark, d):
+    """Points of all documents written as a payload, and read from it."""
+    docs = grouped_texts(spark, d)
+    given = {
+        "id": F.col("id").cast("string"), "cluster": F.col("label"), "department": F.concat(F.lit("src"), F.regexp_extract(F.concat(F.lit(""), F.col("label").cast("string")), r"(\d+)", 1)),
+        "severity": (F.pmod("id", F.lit(5)) + 1).cast("int"), "date": F.lit(""), "summary": F.col("text"), "x": F.round(F.col("id") / 8, 3),
+        "nearest": F.array(F.struct((F.col("id") + 1).alias("i"), F.lit(0.5).alias("sim"))),
+    }
+    empty = spark.createDataFrame([], payload.POINT)
+    points = docs.select(F.col("id").alias("n"), *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])
+    written = payload.write_payload(points, {"meta": {}, "departments": [], "clusters": []}, tables.table_path(spark, "payload"))
+    near = F.concat(F.lit("[{'i': "), F.col("nearest")[0]["i"], F.lit(", 'sim': "), F.col("nearest")[0]["sim"], F.lit("}]"))
+    return written["points"].frame().select("id", "cluster", "department", "severity", "date", F.md5("summary").alias("summary"), "x", near.alias("nearest"))

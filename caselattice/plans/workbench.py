@@ -5,17 +5,18 @@ What a reader decides goes to the store; the next run takes it from there.
 
 from __future__ import annotations
 
-import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import numbered
 from ..functions.scalars import case_key
 from ..operators import geometry
 from ..sources.store import Store
 from ..sources.tabular import DELIMITED, SHEETS, load_register
-from .compile import compile_register, embed, inject
+from .compile import compile_to, embed
+from .payload import injected
 
 MOST_BYTES, LEAST_K, MOST_K, LONGEST_NAME = 32 << 20, 2, 12, 60
 
@@ -39,7 +40,7 @@ class Workbench:
     def rebuild(self) -> dict:
         if self.register is None:
             raise ValueError("no register is loaded")
-        self.payload = compile_register(self.spark, self.register, self.k, self.seed, self.store, self.rounds, self.model, self.namer, self.source)
+        self.payload = compile_to(f"{self.store.root}/payload", self.spark, self.register, self.k, self.seed, self.store, self.rounds, self.model, self.namer, self.source)
         return self.payload
 
     def set_clusters(self, k: int) -> dict:
@@ -47,27 +48,24 @@ class Workbench:
         return self.rebuild()
 
     def point(self, case_id: str) -> dict:
-        """A case of the last run."""
-        found = next((p for p in self.payload["points"] if p["id"] == case_id), None)
-        if found is None:
-            raise ValueError(f"no case {case_id}")
-        return found
+        """A case of the last run, read from the written payload."""
+        return self.payload.point(case_id)
 
-    def members(self, cluster: int) -> list[dict]:
-        return [p for p in self.payload["points"] if p["cluster"] == cluster]
+    def members(self, cluster: int) -> DataFrame:
+        """A group's points, read from the written payload."""
+        return self.payload.members(cluster)
 
     def name_group(self, cluster: int, name: str, author: str | None = None) -> dict:
         """Name a group; its core, the cases nearest to its centre, teaches the name."""
-        name, own = _name(name), self.members(cluster)
-        if not own:
+        name, own = _name(name), self.members(cluster).select("id", "summary", "x", "y", "z")
+        if own.isEmpty():
             raise ValueError(f"no group {cluster}")
         centre = next(c["centroid"] for c in self.payload["clusters"] if c["id"] == cluster)
-        texts = self.spark.createDataFrame([(p["summary"],) for p in own], "t string")
-        keys = [r["k"] for r in texts.select(case_key(F.col("t")).alias("k")).collect()]
+        keys = [r["k"] for r in own.select(case_key(F.col("summary")).alias("k")).collect()]
         self.store.save_name(keys, name, centre, author)
-        points = self.spark.createDataFrame([(i, cluster, p["x"], p["y"], p["z"]) for i, p in enumerate(own)], "id long, label int, x double, y double, z double")
-        core = [own[r["id"]] for r in geometry.core_members(points).collect()]
-        self._teach([p["id"] for p in core], name, author)
+        points = numbered(own.orderBy("id"), "row").select(F.col("row").alias("id"), F.lit(cluster).alias("label"), "x", "y", "z", F.col("id").alias("case_id"))
+        core = geometry.core_members(points.drop("case_id")).join(points.select("id", "case_id"), "id")
+        self._teach([r["case_id"] for r in core.select("case_id").collect()], name, author)
         return self.rebuild()
 
     def file_cases(self, case_ids: list[str], label: str, author: str | None = None) -> dict:
@@ -93,17 +91,16 @@ class Workbench:
 
     def write(self, json_path: str, template: str | None = None, page: str | None = None) -> bool:
         """The payload as a file; also injected into a copy of an HTML template. False if that has no markers."""
-        text = json.dumps(self.payload, ensure_ascii=False)
         with open(json_path, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.writelines(self.payload.text())
         if template is None:
             return True
         with open(template, encoding="utf-8") as f:
-            made = inject(text.replace("</", "<\\/"), f.read())
+            made = injected(self.payload.text(), f.read())
         if made is None:
             return False
         with open(page, "w", encoding="utf-8") as f:
-            f.write(made)
+            f.writelines(made)
         return True
 
 
