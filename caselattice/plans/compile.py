@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import numbered
 from ..functions.scalars import CONFIDENCE_LEVELS, case_key, clean_label, fingerprint, reason
-from ..operators import clustering, geometry, resampling, similarity, taxonomy, text_naming
+from ..operators import clustering, geometry, layout, resampling, similarity, taxonomy, text_naming
 from ..sources import store as stores
 from .payload import END, START, Payload, injected, write_payload  # noqa: F401
 
@@ -100,10 +100,10 @@ def _asked(spark: SparkSession, namer, texts: list[str], used: set[str]) -> str
     return None
 
 
-def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed: int = 42, store: stores.Store | None = None, rounds: int = resampling.ROUNDS, model=None, namer=None, source: str = "", vectors: DataFrame | None = None) -> dict:
+def compile_register(spark: SparkSession, register: DataFrame, k: int = 5, seed: int = 42, store: stores.Store | None = None, rounds: int = resampling.ROUNDS, model=None, namer=None, source: str = "", vectors: DataFrame | None = None, projection: str = "pca") -> dict:
     """compiled(), for registers small enough to be one dict: its points are collected."""
     with held() as kept:
-        head, points = compiled(kept, spark, register, k, seed, store, rounds, model, namer, source, vectors)
+        head, points = compiled(kept, spark, register, k, seed, store, rounds, model, namer, source, vectors, projection)
         fields = [c for c in points.columns if c != "n"]
         rows = points.orderBy("n").select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).collect()
         return head | {"points": [json.loads(j) for (j,) in rows]}
@@ -116,12 +116,15 @@ def compile_to(path: str, spark: SparkSession, register: DataFrame, *args, **kwa
         return write_payload(points, head, path)
 
 
-def compiled(kept: list[DataFrame], spark: SparkSession, register: DataFrame, k: int = 5, seed: int = 42, store: stores.Store | None = None, rounds: int = resampling.ROUNDS, model=None, namer=None, source: str = "", vectors: DataFrame | None = None) -> tuple[dict, DataFrame]:
+def compiled(kept: list[DataFrame], spark: SparkSession, register: DataFrame, k: int = 5, seed: int = 42, store: stores.Store | None = None, rounds: int = resampling.ROUNDS, model=None, namer=None, source: str = "", vectors: DataFrame | None = None, projection: str = "pca") -> tuple[dict, DataFrame]:
     """The whole run over a normalised register: {meta, departments, clusters}, and the points with ``n``, their order. vectors: (id, v), else embed() makes them.
 
     kept: gets the cached tables that points are read from, which the caller releases. namer: an optional function of
-    (representative texts, names to avoid) to a label; groups of cohesion under 0.25 keep theirs.
+    (representative texts, names to avoid) to a label; groups of cohesion under 0.25 keep theirs. projection: ``pca``, or
+    ``neighbours`` for the layout that keeps neighbours near.
     """
+    if projection not in ("pca", "neighbours"):
+        raise ValueError(f"projection must be pca or neighbours, not {projection!r}")
 
     def cached(df: DataFrame) -> DataFrame:
         kept.append(df.cache())
@@ -163,7 +166,7 @@ def compiled(kept: list[DataFrame], spark: SparkSession, register: DataFrame, k:
             if r["name"]:
                 names[r["cluster"]] |= {"name": r["name"], "label_source": "human" if r["match"] == "exact" else "human_carried", "label_match": r["match"], "label_similarity": r["similarity"], "label_drift": r["drift"]}
                 drifted += bool(r["drift"])
-    flat, variance = clustering.projected(v, 3)
+    flat, variance = clustering.projected(v, 3) if projection == "pca" else (layout.layout(v, seed=seed), None)
     points = flat.join(fit.select("id", F.col("cluster").alias("label")), "id").select("id", "label", *[F.col("space")[i].alias(a) for i, a in enumerate(geometry.AXES)])
     kept.append(points.cache())
     true_points = geometry.rescale(points)
@@ -185,8 +188,8 @@ def compiled(kept: list[DataFrame], spark: SparkSession, register: DataFrame, k:
         for c, m in sorted(names.items())
     ]
     meta = {
-        "source_file": source, "n_cases": n, "n_clusters": len(clusters), "cluster_space_dims": clustering.DIMS, "separation_gain": round(gain, 3), "variance_retained": round(sum(variance), 4),
-        "projection": "pca", "silhouette": qc["silhouette"], "qc": qc, "best_k": top.asDict() if top else None, "name_drift": drifted,
+        "source_file": source, "n_cases": n, "n_clusters": len(clusters), "cluster_space_dims": clustering.DIMS, "separation_gain": round(gain, 3), "variance_retained": None if variance is None else round(sum(variance), 4),
+        "projection": projection, "silhouette": qc["silhouette"], "qc": qc, "best_k": top.asDict() if top else None, "name_drift": drifted,
         "confidence": {level: {"min_confidence": a, "min_margin": b} for level, (a, b) in CONFIDENCE_LEVELS.items()},
         "constraints": [r.asDict() for r in clustering.constraint_report(links, clustering.link_components(v.select("id"), links.where("kind = 'same'")), fit.select("id", "cluster")).collect()] if links is not None and links.limit(1).count() else None,
     }

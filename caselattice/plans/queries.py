@@ -13,7 +13,7 @@ from ..functions import scalars as S
 from ..functions import tables
 from ..functions.rows import numbered
 from ..functions.vectors import norm, unit
-from ..operators import clustering, geometry, neighbour_index, resampling, similarity, taxonomy, text_naming
+from ..operators import clustering, geometry, layout, neighbour_index, resampling, similarity, taxonomy, text_naming
 from ..sources import store, tabular
 from . import compile as plan
 from . import payload
@@ -884,3 +884,12 @@ def payload_read_back(spark, d):
     written = payload.write_payload(points, {"meta": {}, "departments": [], "clusters": []}, tables.table_path(spark, "payload"))
     near = F.concat(F.lit("[{'i': "), F.col("nearest")[0]["i"], F.lit(", 'sim': "), F.col("nearest")[0]["sim"], F.lit("}]"))
     return written["points"].frame().select("id", "cluster", "department", "severity", "date", F.md5("summary").alias("summary"), "x", near.alias("nearest"))
+
+
+@query("select count(*) as n, true as keeps_more from embeddings")
+def layout_neighbours(spark, d):
+    """Whether the neighbour layout of all vectors keeps more of their neighbours than three principal components do."""
+    v = tables.written(vectors(spark, d).select("id", "v"), "vectors")
+    placed = tables.written(layout.layout(v), "layout")
+    kept = layout.kept_neighbours(v, placed) > layout.kept_neighbours(v, clustering.projected(v, 3)[0].select("id", "space"))
+    return placed.agg(F.count("*").alias("n")).withColumn("keeps_more", F.lit(kept))
