@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -37,18 +38,35 @@ def table_path(spark: SparkSession, name: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock, _held = threading.Lock(), {}
+
+
 @contextmanager
 def one_use(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterator[None]:
-    """Plans begun inside leave no shuffle files behind: Spark removes them as each ends. settings: others that hold meanwhile."""
+    """Plans begun inside leave no shuffle files behind: Spark removes them as each ends. settings: others that hold meanwhile.
+
+    They are the session's, so threads that share one share them: the first to enter sets a value, the last to leave puts back
+    what was there before. Threads that want different values of a setting need sessions of their own.
+    """
     settings = {CLEAN_UP: "true"} | (settings or {})
-    old = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
+    session = spark._jsparkSession.hashCode()
+    with _lock:
+        for k, v in settings.items():
+            if (session, k) in _held and _held[session, k][2] != v:
+                raise RuntimeError(f"{k} is held at {_held[session, k][2]} by another plan of this session")
+        for k, v in settings.items():
+            _held.setdefault((session, k), [0, spark.conf.get(k), v])[0] += 1
+            spark.conf.set(k, v)
     try:
         yield
     finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+        with _lock:
+            for k in settings:
+                entry = _held[session, k]
+                entry[0] -= 1
+                if not entry[0]:
+                    spark.conf.set(k, entry[1])
+                    del _held[session, k]
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
