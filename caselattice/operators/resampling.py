@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import numbered
 from ..functions.scalars import verdict
+from ..functions.tables import written
 from .clustering import denoised, kmeans
 from .similarity import agreement, silhouette
 
@@ -52,43 +53,52 @@ def _pairs_by_common(counts: dict[int, int], rounds: int) -> np.ndarray:
     return np.bincount(bits, weights=np.round(g).ravel(), minlength=rounds + 1)
 
 
-def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42, restarts: int = RESTARTS, round_restarts: int = ROUND_RESTARTS) -> DataFrame:
-    """One row (stability, rounds): of pairs grouped together in the full fit, the mean share of rounds with both in which they meet again.
+def meeting_share(drawn: DataFrame, rounds: int) -> DataFrame:
+    """One row (stability, rounds) from given groups: of pairs that share ``base``, the mean share of the rounds with both in which they
+    share ``r0``, ``r1``, ... (null: not drawn). Pairs that no round has don't count; no pairs give null. At most 16 rounds.
 
     No pair is listed: members are counted by group and by the set of rounds that drew them, at most k * k * rounds * 2^rounds
-    counts whatever their number, and pairs follow from the counts. At most 16 rounds.
+    counts whatever their number, and pairs follow from the counts.
     """
     if rounds > 16:
         raise ValueError("at most 16 rounds")
-    if vectors.count() < 3 * k:
-        return vectors.sparkSession.createDataFrame([(None, 0)], "stability double, rounds int")
-    base = kmeans(denoised(vectors).select("id", "space").cache(), k, restarts, seed)[0].select("id", F.col("cluster").alias("base"))
-    for r in range(rounds):
-        sub = denoised(subsample(vectors, r)).select("id", "space").cache()
-        base = base.join(kmeans(sub, k, round_restarts, seed + r)[0].select("id", F.col("cluster").alias(f"r{r}")), "id", "left")
     mask = reduce(lambda a, b: a + b, [F.when(F.col(f"r{r}").isNotNull(), 1 << r).otherwise(0) for r in range(rounds)])
-    each = base.select("base", mask.alias("mask"), F.posexplode(F.array(F.lit(-1), *[f"r{r}" for r in range(rounds)])).alias("round", "cluster")).where("cluster is not null")
+    each = drawn.select("base", mask.alias("mask"), F.posexplode(F.array(F.lit(-1), *[f"r{r}" for r in range(rounds)])).alias("round", "cluster")).where("cluster is not null")
     groups: dict[tuple, dict[int, int]] = {}
     for r in each.groupBy("base", "round", "cluster", "mask").count().collect():
         groups.setdefault((r["base"], r["round"], r["cluster"]), {})[r["mask"]] = r["count"]
     share, pairs = 0.0, 0.0
-    for (_, drawn, _), counts in groups.items():
+    for (_, of, _), counts in groups.items():
         n = _pairs_by_common(counts, rounds)
         for m, c in counts.items():  # nobody is a pair with itself
             n[bin(m).count("1")] -= c
-        if drawn == 0:  # the full fit
+        if of == 0:  # the full fit
             pairs += n[1:].sum()
         else:
             share += (n[1:] / np.arange(1, rounds + 1)).sum()
     value = round(float(share / pairs), 4) if pairs else None
-    return vectors.sparkSession.createDataFrame([(value, rounds)], "stability double, rounds int")
+    return drawn.sparkSession.createDataFrame([(value, rounds)], "stability double, rounds int")
+
+
+def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42, restarts: int = RESTARTS, round_restarts: int = ROUND_RESTARTS) -> DataFrame:
+    """One row (stability, rounds): of pairs grouped together in the full fit, the mean share of rounds with both in which they meet again.
+
+    Each round fits a subsample anew; its spaces and groups are written tables. Fewer than 3 * k vectors give null.
+    """
+    if vectors.count() < 3 * k:
+        return vectors.sparkSession.createDataFrame([(None, 0)], "stability double, rounds int")
+    fitted = lambda v, n, s: written(kmeans(written(denoised(v).select("id", "space"), "space"), k, n, s)[0].select("id", "cluster"), "groups")
+    drawn = fitted(vectors, restarts, seed).withColumnRenamed("cluster", "base")
+    for r in range(rounds):
+        drawn = drawn.join(fitted(subsample(vectors, r), round_restarts, seed + r).withColumnRenamed("cluster", f"r{r}"), "id", "left")
+    return meeting_share(drawn, rounds)
 
 
 def against_shuffled(vectors: DataFrame, k: int, seed: int = 42, restarts: int = RESTARTS) -> DataFrame:
     """One row: silhouette, shuffled_silhouette, beats_noise (by half)."""
 
     def score(v: DataFrame, name: str) -> DataFrame:
-        fit = kmeans(denoised(v).select("id", "space").cache(), k, restarts, seed)[0]
+        fit = kmeans(written(denoised(v).select("id", "space"), "space"), k, restarts, seed)[0]
         return silhouette(fit.select("id", F.col("cluster").cast("int").alias("label"), F.col("space").alias("v"))).toDF(name)
 
     both = score(vectors, "silhouette").crossJoin(score(column_shuffled(vectors), "shuffled_silhouette"))

@@ -855,12 +855,12 @@ def versus_shuffled(spark, d):
 
 @query()
 def payload_points(spark, d):
-    """The points of a payload, over documents with hashed vectors and their source as group."""
-    docs = grouped_texts(spark, d).where("label is not null")
-    v = text_naming.hashed_vectors(docs).cache()
+    """The points of a payload, over all documents with hashed vectors, their principal components as places and their source as group (-1 without one)."""
+    docs = grouped_texts(spark, d).withColumn("label", F.coalesce("label", F.lit(-1)))
+    v = tables.written(text_naming.hashed_vectors(docs), "vectors")
     reg = docs.select("id", F.col("id").cast("string").alias("case_id"), F.lit(None).cast("timestamp_ntz").alias("date"), F.concat(F.lit("src"), "label").alias("department"), F.col("text").alias("case_summary"), (F.pmod("id", F.lit(5)) + 1).cast("int").alias("severity_score"), F.col("label").alias("cluster"))
-    pts = v.select("id", "label", *[F.col("v")[i].alias(a) for i, a in enumerate("xyz")])
-    true = geometry.rescale(pts)
+    pts = clustering.projected(v, 3)[0].select("id", "label", *[F.col("space")[i].alias(a) for i, a in enumerate("xyz")])
+    true = geometry.rescale(tables.written(pts, "points"))
     why = similarity.justification(v)
     why = why.withColumn("reason", plan.text_reason(why)).withColumnRenamed("margin", "why_margin")
     none = reg.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("confidence", "double"), ("margin", "double"), ("candidate_label", "string"), ("withheld_at_default", "boolean"), ("source", "string"))])
@@ -893,3 +893,17 @@ def layout_neighbours(spark, d):
     placed = tables.written(layout.layout(v), "layout")
     kept = layout.kept_neighbours(v, placed) > layout.kept_neighbours(v, clustering.projected(v, 3)[0].select("id", "space"))
     return placed.agg(F.count("*").alias("n")).withColumn("keeps_more", F.lit(kept))
+
+
+@query(
+    "with a as (select vec_id as id, label as base, r, case when (vec_id + r) % 5 > 0 then (7 * vec_id + 3 * r + vec_id // 10) % (4 + r % 3) end as c from embeddings, (select unnest(range(6)) as r)), "
+    "p as (select x.id, y.id as other, avg((x.c = y.c)::int) as share from a x join a y on x.r = y.r and x.id <> y.id and x.base = y.base where x.c is not null and y.c is not null group by all) "
+    "select round(avg(share), 4) as stability, 6 as rounds from p"
+)
+def stability_given(spark, d):
+    """The stability of all vectors from given groups, their labels and six rounds of made-up ones."""
+    drawn = vectors(spark, d).select("id", F.col("label").alias("base"))
+    for r in range(6):
+        group = F.pmod(7 * F.col("id") + 3 * r + F.floor(F.col("id") / 10), F.lit(4 + r % 3)).cast("int")
+        drawn = drawn.withColumn(f"r{r}", F.when(F.pmod(F.col("id") + r, F.lit(5)) > 0, group))
+    return resampling.meeting_share(drawn, 6)
