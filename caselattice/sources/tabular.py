@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import numbered
 from ..functions.scalars import date, na_to_null, severity
+from .xlsx import read_xlsx
 
 DELIMITED, SHEETS = {".csv", ".tsv", ".txt"}, {".xlsx", ".xlsm"}
 LEAST_ROWS = 10
@@ -94,10 +95,7 @@ def read_tabular(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, missing-value texts as null. Suffixes: csv, tsv, txt, xlsx, xlsm."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix in SHEETS:
-        from .xlsx import register
-
-        register(spark)
-        df = spark.read.format("xlsx").load(path)
+        df = read_xlsx(spark, path)
     elif suffix in DELIMITED:
         df = read_delimited(spark, path)
     else:

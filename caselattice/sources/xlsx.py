@@ -1,8 +1,9 @@
-"""A Spark data source for the first sheet of .xlsx files, all cells as text; and tables written as .xlsx files."""
+"""Workbooks: the first sheet of .xlsx files as a table of texts, and tables written as .xlsx files."""
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import uuid
 import zipfile
@@ -10,10 +11,9 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.rows import numbered
 from ..functions.tables import written
@@ -21,71 +21,74 @@ from ..functions.tables import written
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def _elements(f, name: str) -> Iterator[ElementTree.Element]:
+    """The elements of a name, one at a time; what was passed is let go."""
+    parents = []
+    for event, e in ElementTree.iterparse(f, ("start", "end")):
+        if event == "start":
+            parents.append(e)
+            continue
+        parents.pop()
+        if e.tag == MAIN + name:
+            yield e
+            if parents:
+                parents[-1].clear()
+
+
 def sheet_rows(data: bytes) -> Iterator[list[str | None]]:
-    """The cells of the first sheet, row by row, in place."""
+    """The cells of the first sheet, row by row, in place. Shared texts are held, rows are not."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         strings = []
         if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-            strings = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in root.iter(f"{MAIN}si")]
+            with z.open("xl/sharedStrings.xml") as f:
+                strings = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in _elements(f, "si")]
         sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{MAIN}row"):
-            cells: list[str | None] = []
-            for c in row.iter(f"{MAIN}c"):
-                at = 0
-                for letter in re.match(r"[A-Z]*", c.get("r", ""))[0]:
-                    at = at * 26 + ord(letter) - 64
-                cells += [None] * (max(at, len(cells) + 1) - len(cells))
-                kind, v = c.get("t"), c.find(f"{MAIN}v")
-                if kind == "inlineStr":
-                    cells[(at or len(cells)) - 1] = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
-                elif v is not None and v.text is not None:
-                    cells[(at or len(cells)) - 1] = strings[int(v.text)] if kind == "s" else v.text
-            yield cells
-
-
-class XlsxReader(DataSourceReader):
-    def __init__(self, data: bytes, width: int):
-        self.data, self.width = data, width
-
-    def read(self, partition):
-        for i, cells in enumerate(sheet_rows(self.data)):
-            if i and any(c is not None for c in cells):
-                yield tuple((cells + [None] * self.width)[: self.width])
-
-
-class XlsxDataSource(DataSource):
-    """A workbook is one compressed file, read by Spark's binary reader on the driver and by one task."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def _data(self) -> bytes:
-        if not hasattr(self, "_bytes"):
-            spark = SparkSession.getActiveSession()
-            path = self.options["path"]
-            if spark is not None:
-                self._bytes = bytes(spark.read.format("binaryFile").load(path).first()["content"])
-            else:
-                with open(path.removeprefix("file:"), "rb") as f:
-                    self._bytes = f.read()
-        return self._bytes
-
-    def _header(self) -> list[str]:
-        head = next(sheet_rows(self._data()), [])
-        return [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(head)]
-
-    def schema(self) -> StructType:
-        return StructType([StructField(h, StringType()) for h in self._header()])
-
-    def reader(self, schema: StructType) -> XlsxReader:
-        return XlsxReader(self._data(), len(schema))
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(XlsxDataSource)
+        with z.open(sheet) as f:
+            for row in _elements(f, "row"):
+                cells: list[str | None] = []
+                for c in row.iter(f"{MAIN}c"):
+                    at = 0
+                    for letter in re.match(r"[A-Z]*", c.get("r", ""))[0]:
+                        at = at * 26 + ord(letter) - 64
+                    cells += [None] * (max(at, len(cells) + 1) - len(cells))
+                    kind, v = c.get("t"), c.find(f"{MAIN}v")
+                    if kind == "inlineStr":
+                        cells[(at or len(cells)) - 1] = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
+                    elif v is not None and v.text is not None:
+                        cells[(at or len(cells)) - 1] = strings[int(v.text)] if kind == "s" else v.text
+                yield cells
+
+
+def _sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, cells) of the first sheet of each workbook; the header is a batch of its own."""
+    for b in batches:
+        for data in b["content"]:
+            rows = enumerate(sheet_rows(data.as_buffer().to_pybytes()))
+            size = 1
+            while part := list(itertools.islice(rows, size)):
+                size = 10_000
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int64()), pa.array([c for _, c in part], pa.list_(pa.string()))], names=["n", "cells"])
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook, all cells as text, columns named by its first row.
+
+    A workbook is one compressed file: Spark's binary reader hands it to one task, which reads it row by row; the header alone comes to
+    the driver. Columns without a name are ``Unnamed: n``, names that come again get ``.1`` and so on. Empty rows are left out; a
+    row's cells beyond the header too. A workbook of over 2 GB is more than a cell of Spark holds and is an error.
+    """
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_sheets, "n long, cells array<string>")
+    first = rows.where("n = 0").first()
+    names: list[str] = []
+    for i, h in enumerate(first["cells"] if first else []):
+        name, times = h if h is not None else f"Unnamed: {i}", 0
+        while name in names:
+            times += 1
+            name = f"{h}.{times}"
+        names.append(name)
+    some = rows.where("n > 0 and exists(cells, c -> c is not null)")
+    return some.select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)])
 
 
 #: Rows of a sheet, and the parts of a workbook around its sheets.

@@ -65,3 +65,20 @@ def test_a_failed_write_leaves_the_file(spark, tmp_path):
     with pytest.raises(Exception):
         xlsx.write_xlsx(spark.range(3).withColumn("t", F.raise_error(F.lit("no")).cast("string")), str(path))
     assert path.read_bytes() == before and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["k.xlsx"]
+
+
+def test_reading_in_place(spark, tmp_path):
+    """Shared texts in runs, gaps, names that are missing or come again, rows without cells, numbers and sheets in no order."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = "".join(f"<si>{x}</si>" for x in ("<t>Name</t>", "<r><t>two</t></r><r><t xml:space='preserve'> runs</t></r>", "<t/>"))
+    sheet = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>0</v></c></row><row r="2"/><row r="3"><c r="C3" t="s"><v>1</v></c><c r="A3"><v>1.5</v></c><c r="AB3"><v>9</v></c></row><row r="4"><c><v>7</v></c><c t="s"><v>2</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet10.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{shared}</sst>")
+    df = xlsx.read_xlsx(spark, str(tmp_path / "s.xlsx"))
+    assert df.columns == ["Name", "Unnamed: 1", "Name.1"]
+    assert [tuple(r) for r in df.collect()] == [("1.5", None, "two runs"), ("7", "", None)]
+    with zipfile.ZipFile(tmp_path / "n.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+    assert xlsx.read_xlsx(spark, str(tmp_path / "n.xlsx")).columns == []
