@@ -907,3 +907,57 @@ def stability_given(spark, d):
         group = F.pmod(7 * F.col("id") + 3 * r + F.floor(F.col("id") / 10), F.lit(4 + r % 3)).cast("int")
         drawn = drawn.withColumn(f"r{r}", F.when(F.pmod(F.col("id") + r, F.lit(5)) > 0, group))
     return resampling.meeting_share(drawn, 6)
+
+
+# --- the store itself: every row goes through its commits, in a folder of its own
+
+
+def fresh_store(spark) -> store.Store:
+    return store.Store(spark, tables.table_path(spark, "store"))
+
+
+@query("select 'case-' || user_id as case_key, arg_max(event_type, (ts, event_id)) as filed_label from events group by user_id")
+def store_filed(spark, d):
+    """All decisions, added in three commits, and read back as each case's latest label."""
+    own = fresh_store(spark)
+    rows = decisions(spark, d).select(
+        "case_key", "label", F.lit(None).cast("string").alias("author"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
+        F.lpad(F.col("seq").cast("string"), 19, "0").alias("seq"), F.pmod("seq", F.lit(3)).alias("part"),
+    )
+    for part in range(3):
+        own.append("case_labels", rows.where(F.col("part") == part))
+    return own.filed()
+
+
+@query(
+    f"with {V}, e as (select 'label-' || label as label, id % 2 as part, unnest(v) as x, unnest(range(len(v)))::int as pos from v) "
+    "select label, pos, count(*) as n, round(round(coalesce(sum(x) filter (part = 0), 0), 6) + coalesce(sum(x) filter (part = 1), 0), 6) + 0.0::double as x from e group by label, pos"
+)
+def store_learned(spark, d):
+    """All vectors taught in two commits, and the running sums read back."""
+    own, v = fresh_store(spark), vectors(spark, d)
+    for part in range(2):
+        own.learn(taught(v.where(F.pmod("id", F.lit(2)) == part)), marks={"vectors": part})
+    own.learn(taught(v.where("id < 0")), marks={"vectors": 1})  # a batch that comes again
+    return own.read("label_centroids").select("label", "n", F.posexplode("vector_sum").alias("pos", "x")).withColumn("x", F.col("x") + 0.0)
+
+
+@query("select 1::bigint as run_id, 'case-' || (vec_id // 2) as case_key, arg_max(label, vec_id) as cluster_id from embeddings group by vec_id // 2")
+def store_run(spark, d):
+    """All vectors as the assignments of one run, of cases of one key the last; the run is told twice and there once."""
+    own = fresh_store(spark)
+    none = {"label": "string", "to_own": "double", "to_next": "double", "margin": "double", "neighbours": "int", "borderline": "boolean", "reason": "string"}
+    rows = vectors(spark, d).select("id", F.concat(F.lit("case-"), F.floor(F.col("id") / 2)).alias("case_key"), F.col("label").cast("int").alias("cluster_id"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    for _ in range(2):
+        own.record_run({"k": 10, "verdict": "weak"}, rows, token="once")
+    return own.read("assignments").join(own.read("runs").select("run_id"), "run_id").select("run_id", "case_key", "cluster_id")
+
+
+@query(
+    f"with {TERMS}, x as (select distinct term from term_rows) select term, array_to_string(list_transform(string_split(term, ' '), lambda w: case when list_contains({text_naming.ABBREVIATIONS}, w) then upper(w) else upper(w[1]) || w[2:] end), ' ') as title from x where not regexp_matches(term, '(^| )[^a-zàâäçéèêëîïñóôöùûüœ0-9]')"
+)
+def term_titles(spark, d):
+    """Terms as they are shown, of all that begin with usual letters."""
+    each = grouped_texts(spark, d).select(F.explode(text_naming.terms(F.col("text"), STOP)).alias("term")).distinct()
+    usual = each.where(~F.regexp_like("term", F.lit("(^| )[^a-zàâäçéèêëîïñóôöùûüœ0-9]")))
+    return usual.select("term", text_naming.titled(F.col("term")).alias("title"))
