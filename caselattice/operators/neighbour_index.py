@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import dropped, met, written
-from .similarity import _best, _matrix
+from .similarity import _best, _matrix, nearest
 
 #: Most lists (there are as many as the root of the rows), rows of the sample a list, passes of the fit, pilots, rows of a tile's side.
 MOST_LISTS, SAMPLE_ROWS, PASSES, PILOTS, TILE_ROWS = 16_384, 64, 8, 512, 8192
@@ -96,17 +96,12 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) ->
         ids, m = (own["id"].to_numpy(), _matrix(own["v"].combine_chunks())) if own.num_rows else (np.zeros(0, np.int64), np.zeros((0, 0)))
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, m: np.ndarray = m) -> Iterator[pa.RecordBatch]:
-            best_sim, best_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            kept = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for whole in batches:
-                for s in range(0, whole.num_rows if len(ids) else 0, 2048):
-                    b = whole.slice(s, 2048)
-                    other = b["id"].to_numpy()
-                    sims = np.round(m @ _matrix(pa.concat_arrays([b["v"]])).T, 9)
-                    sims[ids[:, None] == other[None, :]] = -np.inf
-                    sims = np.concatenate([best_sim, sims], 1)
-                    them = np.concatenate([best_id, np.broadcast_to(other, (len(ids), len(other)))], 1)
-                    top = np.lexsort((them, -sims), axis=1)[:, :k]
-                    best_sim, best_id = np.take_along_axis(sims, top, 1), np.take_along_axis(them, top, 1)
+                for s in range(0, whole.num_rows if len(ids) else 0, 8192):
+                    b = whole.slice(s, 8192)
+                    kept = nearest(ids, m, b["id"].to_numpy(), _matrix(pa.concat_arrays([b["v"]])), k, kept)
+            best_sim, best_id = kept
             real = np.isfinite(best_sim)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[real.ravel()]), pa.array(best_id[real]), pa.array(best_sim[real])], names=["i", "j", "sim"])
 
