@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,8 @@ from ..functions.tables import written
 from .clustering import denoised, kmeans
 from .similarity import agreement, silhouette
 
-ROUNDS, FRACTION = 12, 0.8
+#: Rounds, the share of vectors in each, rounds at a time.
+ROUNDS, FRACTION, AT_ONCE = 12, 0.8, 4
 #: Seeded fits of k-means, of which the best counts: over all vectors, and in each round.
 RESTARTS, ROUND_RESTARTS = 10, 5
 
@@ -83,14 +85,17 @@ def meeting_share(drawn: DataFrame, rounds: int) -> DataFrame:
 def stability(vectors: DataFrame, k: int, rounds: int = ROUNDS, seed: int = 42, restarts: int = RESTARTS, round_restarts: int = ROUND_RESTARTS) -> DataFrame:
     """One row (stability, rounds): of pairs grouped together in the full fit, the mean share of rounds with both in which they meet again.
 
-    Each round fits a subsample anew; its spaces and groups are written tables. Fewer than 3 * k vectors give null.
+    Each round fits a subsample anew; its spaces and groups are written tables. AT_ONCE rounds go on together, since a round's many short jobs
+    leave cores idle. Fewer than 3 * k vectors give null.
     """
     if vectors.count() < 3 * k:
         return vectors.sparkSession.createDataFrame([(None, 0)], "stability double, rounds int")
     fitted = lambda v, n, s: written(kmeans(written(denoised(v).select("id", "space"), "space"), k, n, s)[0].select("id", "cluster"), "groups")
     drawn = fitted(vectors, restarts, seed).withColumnRenamed("cluster", "base")
-    for r in range(rounds):
-        drawn = drawn.join(fitted(subsample(vectors, r), round_restarts, seed + r).withColumnRenamed("cluster", f"r{r}"), "id", "left")
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        groups = list(pool.map(lambda r: fitted(subsample(vectors, r), round_restarts, seed + r), range(rounds)))
+    for r, own in enumerate(groups):
+        drawn = drawn.join(own.withColumnRenamed("cluster", f"r{r}"), "id", "left")
     return meeting_share(drawn, rounds)
 
 
