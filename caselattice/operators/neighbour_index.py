@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import dropped, met, written
-from .similarity import _best, _matrix, nearest
+from .similarity import TILE_BYTES, _best, _matrix, nearest
 
-#: Most lists (there are as many as the root of the rows), rows of the sample a list, passes of the fit, pilots, rows of a tile's side.
-MOST_LISTS, SAMPLE_ROWS, PASSES, PILOTS, TILE_ROWS = 16_384, 64, 8, 512, 8192
+#: Most lists (there are as many as the root of the rows), rows of the sample a list, passes of the fit, pilots, most rows of a tile's side.
+MOST_LISTS, SAMPLE_ROWS, PASSES, PILOTS, TILE_ROWS = 16_384, 64, 8, 512, 32_768
 
 
 def entries(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -122,12 +122,22 @@ def calibrated(reps: DataFrame, centres: np.ndarray, k: int, wanted: float, seed
     return int(np.quantile(places, wanted, method="higher")) if len(places) else 1
 
 
+def shelves(centres: np.ndarray, held: dict[int, int], side: int) -> np.ndarray:
+    """Each list's shelf: lists in the order of their centroids' first principal component, about ``side`` rows a shelf. A query travels once a shelf, not once a list."""
+    centred = centres - centres.mean(0)
+    order = np.argsort(centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1], kind="stable")
+    out = np.zeros(len(centres), np.int64)
+    sizes = np.array([held.get(int(c), 0) for c in order], np.int64)
+    out[order] = (np.cumsum(sizes) - sizes) // side
+    return out
+
+
 def knn_index(vectors: DataFrame, k: int = 3, wanted: float = 0.93, probes: int | None = None, lists: int | None = None, seed: int = 42) -> DataFrame:
     """(i, j, sim, rank): k near others of every vector (id, v), ties by id, by an inverted file over all rows. Rows of a null id or vector are left out.
 
     wanted: the share of true neighbours that pilots must find, from which the lists probed follow (or give probes). Results are
-    exact where all lists are probed. A list of many rows, or probed by many, is cut into tiles of TILE_ROWS a side, dealt to different
-    tasks. A single vector has no neighbours; an empty table gives no rows.
+    exact where all lists are probed. Lists share shelves of at most TILE_ROWS rows or TILE_BYTES, about; a shelf of more, or probed by many, is cut into tiles of that side, dealt to
+    different tasks. A single vector has no neighbours; an empty table gives no rows.
     """
     vectors = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v")
     reps, of, firsts = entries(vectors, k)
@@ -139,30 +149,35 @@ def knn_index(vectors: DataFrame, k: int = 3, wanted: float = 0.93, probes: int
     probes = min(len(centres), probes or calibrated(reps, centres, k, wanted, seed))
     placed = written(ranked(reps, centres, probes), "placed")
     base = placed.select("rep", "v", F.col("lists")[0].alias("list"))
-    asked = placed.select(F.col("rep").alias("i"), F.col("v").alias("w"), F.explode("lists").alias("list"))
-    held, wants = base.groupBy("list").agg(F.count("*").alias("held")), asked.groupBy("list").agg(F.count("*").alias("wants"))
-    cuts = held.join(wants, "list", "full").select("list", F.ceil(F.coalesce("held", F.lit(1)) / TILE_ROWS).alias("a"), F.ceil(F.coalesce("wants", F.lit(1)) / TILE_ROWS).alias("b"))
+    held = {r["list"]: r["held"] for r in base.groupBy("list").agg(F.count("*").alias("held")).collect()}  # at most MOST_LISTS rows of two numbers
+    tiles = 2 * vectors.sparkSession.sparkContext.defaultParallelism  # at least, where all lists are probed
+    side = max(1, min(TILE_ROWS, TILE_BYTES // (8 * centres.shape[1]), -(-n // int(tiles**0.5))))
+    shelf, most = shelves(centres, held, side), F.lit(side)
+    on = F.array(*[F.lit(int(x)) for x in shelf]) if len(shelf) <= 64 else F.from_json(F.lit(str(shelf.tolist())), "array<int>")
+    base = base.withColumn("shelf", F.get(on, F.col("list")))
+    asked = placed.select(F.col("rep").alias("i"), F.col("v").alias("w"), F.explode(F.array_distinct(F.transform("lists", lambda x: F.get(on, x)))).alias("shelf"), "lists")
+    asked = asked.withColumn("lists", F.filter("lists", lambda x: F.get(on, x) == F.col("shelf")))
+    sizes, wants = base.groupBy("shelf").agg(F.count("*").alias("held")), asked.groupBy("shelf").agg(F.count("*").alias("wants"))
+    cuts = sizes.join(wants, "shelf", "full").select("shelf", F.ceil(F.coalesce("held", F.lit(1)) / most).alias("a"), F.ceil(F.coalesce("wants", F.lit(1)) / most).alias("b"))
     cuts = F.broadcast(written(cuts, "cuts"))  # at most MOST_LISTS rows of three numbers
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    base = base.join(cuts, "list").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("a"))).select("list", "x", every("b").alias("y"), "rep", "v")
-    asked = asked.join(cuts, "list").withColumn("y", F.pmod(F.xxhash64("i"), F.col("b"))).select("list", every("a").alias("x"), "y", "i", "w")
+    base = base.join(cuts, "shelf").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("a"))).select("shelf", "x", every("b").alias("y"), "list", "rep", "v")
+    asked = asked.join(cuts, "shelf").withColumn("y", F.pmod(F.xxhash64("i"), F.col("b"))).select("shelf", every("a").alias("x"), "y", "i", "w", "lists")
 
     def tile(own: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(wants):
             return pd.DataFrame({"i": [], "rep": [], "sim": []})
-        own = own.sort_values("rep")
-        m, ids, out = np.stack(own["v"].to_numpy()), own["rep"].to_numpy(), []
-        for s in range(0, len(wants), 512):
-            part = wants.iloc[s:s + 512]
-            sims = np.round(np.stack(part["w"].to_numpy()) @ m.T, 9)
-            sims[part["i"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            best = _best(sims, k)
-            sim = np.take_along_axis(sims, best, 1).ravel()
-            real = np.isfinite(sim)
-            out.append(pd.DataFrame({"i": np.repeat(part["i"].to_numpy(), best.shape[1])[real], "rep": ids[best].ravel()[real], "sim": sim[real]}))
-        return pd.concat(out)
-
-    keys = ["list", "x", "y"]
+        m, ids, lists, w, i = np.stack(own["v"].to_numpy()), own["rep"].to_numpy(), own["list"].to_numpy(), np.stack(wants["w"].to_numpy()), wants["i"].to_numpy()
+        row, asks = np.repeat(np.arange(len(wants)), wants["lists"].str.len()), np.concatenate(wants["lists"].to_numpy())
+        sim, rep = np.full((len(i), k), -np.inf), np.full((len(i), k), np.iinfo(np.int64).max)
+        for c in np.unique(lists):
+            r, o = row[asks == c], lists == c
+            if len(r):
+                sim[r], rep[r] = nearest(i[r], w[r], ids[o], m[o], k, (sim[r], rep[r]))
+        real = np.isfinite(sim)
+        return pd.DataFrame({"i": np.repeat(i, k)[real.ravel()], "rep": rep[real], "sim": sim[real]})
+
+    keys = ["shelf", "x", "y"]
     found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(tile, "i long, rep long, sim double")
     best = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "rep"))
     found = written(found.withColumn("place", best).where(F.col("place") <= k).drop("place"), "found")

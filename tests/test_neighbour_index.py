@@ -76,3 +76,20 @@ def test_few_rows(spark, n):
     if n:
         assert got(similarity.knn(df.where("id < 9 and v is not null"))) == plain([(i, x) for i, x in enumerate(m)])
     assert got(ni.knn_index(df)) == plain([(i, x) for i, x in enumerate(m)])
+
+
+def test_a_query_travels_once_a_shelf(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    sent, real = [], type(df).groupBy
+
+    def seen(frame, *cols):
+        if cols and cols[0] == "shelf" and "w" in frame.columns:
+            sent.append(frame.count())
+        return real(frame, *cols)
+
+    monkeypatch.setattr(type(df), "groupBy", seen)
+    monkeypatch.setattr(ni, "TILE_ROWS", 200)
+    found = got(ni.knn_index(df, 3, probes=24, lists=24))
+    assert max(sent) <= 600 * 8 and found == plain([(i, x) for i, x in enumerate(m)])  # once a list were 600 * 24
