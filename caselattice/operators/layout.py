@@ -28,11 +28,14 @@ K, DIFFUSE, ROUNDS, STEPS, SAMPLE = 15, 6, 10, 10, 2048
 CURVE_A, CURVE_B, PUSHES = 1.577, 0.895, 5
 
 
-def fuzzy_graph(vectors: DataFrame, k: int = K, index: bool = False) -> DataFrame:
+def fuzzy_graph(vectors: DataFrame, k: int = K, index: bool = False, near: DataFrame | None = None) -> DataFrame:
     """(i, j, w): each vector's k nearest by cosine distance, weighted 1 for the nearest and falling on a scale at which weights sum to log2(k);
-    then w + w' - w * w' with the weight of the way back. index: neighbours by the inverted file instead of all pairs."""
-    v = vectors.select("id", unit(F.col("v")).alias("v"))
-    near = (neighbour_index.knn_index(v, k) if index else knn(v, k)).select("i", "j", (1 - F.col("sim")).alias("far"))
+    then w + w' - w * w' with the weight of the way back. index: neighbours by the inverted file instead of all pairs.
+    near: knn() of the unit vectors, where it is known."""
+    if near is None:
+        v = vectors.select("id", unit(F.col("v")).alias("v"))
+        near = neighbour_index.knn_index(v, k) if index else knn(v, k)
+    near = near.where(F.col("rank") <= k).select("i", "j", (1 - F.col("sim")).alias("far"))
     lists = written(near.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("far", "j"))).alias("near")), "near")  # k a vector
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,8 +93,8 @@ def moved(y: np.ndarray, to: np.ndarray, w: np.ndarray, sample: np.ndarray, rate
     return y
 
 
-def layout(vectors: DataFrame, dims: int = 3, k: int = K, seed: int = 42, rounds: int = ROUNDS, index: bool = False) -> DataFrame:
-    """(id, space): vectors (id, v) in dims dimensions. The same seed gives the same layout, however the input is laid out.
+def layout(vectors: DataFrame, dims: int = 3, k: int = K, seed: int = 42, rounds: int = ROUNDS, index: bool = False, near: DataFrame | None = None) -> DataFrame:
+    """(id, space): vectors (id, v) in dims dimensions. near: knn() of the unit vectors, where it is known. The same seed gives the same layout, however the input is laid out.
 
     Fewer than dims + 3 vectors, or vectors that are all equal, are only projected. Equal vectors are near each other, not one point. Vectors
     must not be null; an empty table gives no rows.
@@ -102,7 +105,7 @@ def layout(vectors: DataFrame, dims: int = 3, k: int = K, seed: int = 42, rounds
     if n < dims + 3 or vectors.select("v").distinct().limit(dims + 1).count() <= dims:
         width = F.size("v")
         return vectors.select("id", F.slice(F.concat("v", F.array_repeat(F.lit(0.0), dims)), 1, dims).alias("space")) if n < 2 else projected(vectors.where(width > 0), min(dims, n, len(vectors.first()["v"])))[0].select("id", "space")
-    edges = written(fuzzy_graph(vectors, k, index), "graph")
+    edges = written(fuzzy_graph(vectors, k, index, near), "graph")
     first = written(projected(vectors, dims)[0].select("id", F.col("space").alias("y")), "projected")
     y = diffused(first, edges, dims)
     spread = y.agg(*[F.max(F.abs(F.col("y")[a])).alias(f"s{a}") for a in range(dims)]).first()
@@ -131,13 +134,20 @@ def layout(vectors: DataFrame, dims: int = 3, k: int = K, seed: int = 42, rounds
     return here.select("id", F.col("y").alias("space"))
 
 
-def kept_neighbours(vectors: DataFrame, placed: DataFrame, k: int = K, every: int = 50) -> float:
-    """The share of the k nearest in the layout that are among the 2 * k nearest by cosine, for all ids divisible by ``every`` against all rows."""
-    v = vectors.select("id", unit(F.col("v")).alias("v"))
-    truth = neighbour_index.exact(v.where(F.col("id") % every == 0), v, 2 * k).select("i", "j")
-    # the nearest by distance are the largest by dot product, with half the squared length as one more coordinate
-    half = F.aggregate("space", F.lit(0.0), lambda s, x: s + x * x) / -2
-    base = placed.select("id", F.concat("space", F.array(half)).alias("v"))
-    asked = placed.where(F.col("id") % every == 0).select("id", F.concat("space", F.array(F.lit(1.0))).alias("v"))
-    near = neighbour_index.exact(asked, base, k).select("i", "j")
+def kept_neighbours(vectors: DataFrame, placed: DataFrame, k: int = K, every: int = 1, truth: DataFrame | None = None) -> float:
+    """The share of the k nearest in the layout that are among the 2 * k nearest by cosine, of all rows against all rows. every: only of ids
+    divisible by it. truth: knn() of the unit vectors, where it is known."""
+    if truth is None:
+        v = vectors.select("id", unit(F.col("v")).alias("v"))
+        truth = knn(v, 2 * k) if every == 1 else neighbour_index.exact(v.where(F.col("id") % every == 0), v, 2 * k)
+    truth = truth.where(F.col("rank") <= 2 * k).select("i", "j")
+    if every == 1:
+        near = knn(placed.select("id", F.col("space").alias("v")), k, by_distance=True).select("i", "j")
+    else:
+        # the nearest by distance are the largest by dot product, with half the squared length as one more coordinate
+        half = F.aggregate("space", F.lit(0.0), lambda s, x: s + x * x) / -2
+        base = placed.select("id", F.concat("space", F.array(half)).alias("v"))
+        asked = placed.where(F.col("id") % every == 0).select("id", F.concat("space", F.array(F.lit(1.0))).alias("v"))
+        near = neighbour_index.exact(asked, base, k).select("i", "j")
+    near = written(near, "nearest")
     return near.join(truth, ["i", "j"]).count() / max(near.count(), 1)

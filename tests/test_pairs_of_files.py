@@ -1,8 +1,8 @@
-"""All pairs of blocks of vectors: what is shuffled, and the nearest by distance."""
+"""All pairs of blocks of vectors: what is shuffled, the nearest by distance, and shares of neighbours over all rows."""
 
 import numpy as np
 
-from caselattice.operators import similarity
+from caselattice.operators import layout, similarity
 
 
 def made(spark, m, name="v"):
@@ -45,3 +45,15 @@ def test_nearest_by_distance(spark):
     got = {(r.i, r.rank): r.j for r in similarity.knn(made(spark, m), 4, block_rows=21, by_distance=True).collect()}
     want = nearest(m, 4, True)
     assert got == {(i, r + 1): want[i, r] for i in range(300) for r in range(4)}
+
+
+def test_kept_neighbours_are_told_of_all_rows(spark):
+    """Rows whose id is divisible by 50 lie well, the others anywhere."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(260, 3))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    places = np.where(np.arange(260)[:, None] % 50 == 0, m, rng.normal(size=(260, 3)))
+    near, truth = nearest(places, 5, True), nearest(m, 10, False)
+    share = np.mean([len(set(a) & set(b)) / 5 for a, b in zip(near, truth)])
+    got = layout.kept_neighbours(made(spark, m), made(spark, places, "space"), 5)
+    assert abs(got - share) < 1e-9
